@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from shoalgrid.llm import line_dedup, simhash, url_filter
+from shoalgrid.llm import line_dedup, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }

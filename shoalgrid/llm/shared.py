@@ -58,8 +58,8 @@ def crc_mod(doc_id: Column | str, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """Texts and 0/1 targets of a bounded sample of labelled rows, for fitting on the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int, max_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Texts and 0/1 targets of a bounded sample of labelled rows, for fitting on the driver; and the labels' counts by class.
 
     ``held_out`` is a condition on ``doc_id``; rows that fulfil it, and rows where it is
     null, are never taken. At most ``per_class`` ids of each class are chosen, in the order
@@ -73,6 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
         .where(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out)
         .groupBy("doc_id").agg(F.max("_y").alias("_y"))
     )
+    totals = {r["_y"]: r["count"] for r in votes.groupBy("_y").count().collect()}
     chosen = None
     for y in (0, 1):
         part = votes.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -83,7 +84,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
         .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_y")
     )
     rows = sorted({(r["doc_id"], r["text"], r["_y"]) for r in texts.toLocalIterator(prefetchPartitions=True)})
-    return [(t, y) for _, t, y in rows]
+    return [(t, y) for _, t, y in rows], {y: totals.get(y, 0) for y in (0, 1)}
 
 
 def skewed_left_join(big: DataFrame, small: DataFrame, on: list[str], rows_bound: int = 100_000) -> DataFrame:
