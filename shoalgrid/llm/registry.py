@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from shoalgrid.llm import line_dedup, mixing, quality, simhash, toxicity, url_filter
+from shoalgrid.llm import embedding_dedup, line_dedup, mixing, nearest, quality, sentencepiece_codec, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op2_embedding_near_dedup": embedding_dedup.op2_embedding_near_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
 }
 SQL = {"op8_url_filter": url_filter.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
