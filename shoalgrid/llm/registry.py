@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shoalgrid.llm import embedding_dedup, line_dedup, mixing, nearest, quality, sentencepiece_codec, simhash, toxicity, url_filter
+from shoalgrid.llm import embedding_dedup, line_dedup, mixing, nearest, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_embedding_near_dedup": embedding_dedup.op2_embedding_near_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
