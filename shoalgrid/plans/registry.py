@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from shoalgrid.plans import terrain_queries
+
+QUERIES = {**terrain_queries.QUERIES}
+SQL = {**terrain_queries.SQL}
 FLAGSHIP = "habitat_histogram"
