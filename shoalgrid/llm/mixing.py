@@ -6,8 +6,9 @@ with fractional parts and moves *words* from one to the other, in the random dir
 both expectations, until one of them is whole. Documents are dealt by a hash into leaves of
 bounded size; each leaf leaves one residual, and residuals are combined the same way in a
 reduction tree until one is left for each source, which is rounded by itself. As words are what
-moves, a source misses its target by no more than that last document's share, and as larger
-documents pivot first, that is a small one.
+moves, a source then misses its target by that last document's share. A few documents of every
+order of size travel up the tree beside the residuals, already whole; at the root some of them
+are given one copy more or less, which makes good the miss to within a few words.
 """
 
 from __future__ import annotations
@@ -83,18 +84,53 @@ def pivot(size: np.ndarray, part: np.ndarray, chance: np.ndarray) -> tuple[np.nd
     return np.array(p), held
 
 
-def _leaf(level: int, seed: int):
+#: Documents of each order of size (powers of two) that travel up the tree.
+RESERVE = 8
+
+
+def _reserve(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """The documents of each order of size with the smallest draws."""
+    octave = np.floor(np.log2(np.maximum(size, 1))).astype(int)
+    order = np.lexsort((chance, octave))
+    first = np.searchsorted(octave[order], octave[order], "left")
+    out = np.zeros(len(size), bool)
+    out[order[np.arange(len(size)) - first < RESERVE]] = True
+    return out
+
+
+def settle(size: np.ndarray, copies: np.ndarray, miss: float, most: int) -> np.ndarray:
+    """Copies changed by one for some documents, largest first, so that ``miss`` words too many (or too few) go."""
+    copies, sign = copies.copy(), -1 if miss > 0 else 1
+    for k in np.argsort(-size, kind="stable"):
+        if 0 < size[k] <= abs(miss) and 0 <= copies[k] + sign <= most:
+            copies[k] += sign
+            miss += sign * size[k]
+    return copies
+
+
+def _level(level: int, seed: int, most: int, root: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "unit"], ascending=[False, True], kind="stable")
-        p, held = pivot(pdf["size"].to_numpy(float), pdf["part"].to_numpy(float), _uniform(pdf["unit"].to_numpy(), level, seed))
-        pdf["part"] = p
-        pdf["open"] = np.arange(len(pdf)) == held
+        size, chance = pdf["size"].to_numpy(float), _uniform(pdf["unit"].to_numpy(), level, seed)
+        p, held = pivot(size, pdf["part"].to_numpy(float), chance)
+        keep = _reserve(size, _uniform(pdf["unit"].to_numpy(), 0, seed + 1))
+        if held >= 0:
+            keep[held] = True
+        if root:
+            miss = 0.0
+            if held >= 0:  # the last residual of a source is rounded by its own probability
+                up = float(_uniform(pdf["unit"].to_numpy()[held : held + 1], level + 1, seed)[0] < p[held])
+                miss, p[held] = (up - p[held]) * size[held], up
+            base = pdf["base"].to_numpy(int)
+            p = settle(size, base + p.astype(int), miss, most) - base
+            keep[:] = False
+        pdf["part"], pdf["open"] = p, keep
         return pdf[["unit", "place", "bucket", "size", "base", "part", "open"]]
 
     return run
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, leaf_rows: int = 20_000, fan_in: int = 4096, seed: int = 5, max_sources: int = 100_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, leaf_rows: int = 20_000, fan_in: int = 64, seed: int = 5, max_sources: int = 100_000) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies)`` for each row of ``docs(doc_id, text, source)``.
 
     ``size`` is the number of words of the text (null or without words: 0). Sources are ordered
@@ -104,7 +140,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: fl
     units of their own that share the hash and are told apart by nothing: reruns return the same
     multiset. Null ids are hashed as one value. Only one row per source is brought to the driver
     (more than ``max_sources`` raise an error); leaves hold about ``leaf_rows`` rows however
-    large a source is, and each level of the tree divides the residuals by ``fan_in``.
+    large a source is, and each level of the tree divides the leaves by ``fan_in``.
     """
     spark = docs.sparkSession
     base = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
@@ -126,16 +162,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: fl
     sized = units.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(buckets)))
     shape = "unit long, place int, bucket long, size long, base long, part double, open boolean"
     level = 0
-    layer = staged(sized.groupBy("place", "bucket").applyInPandas(_leaf(level, seed), shape), "leaf")
+    most = int(limit)
+    layer = staged(sized.groupBy("place", "bucket").applyInPandas(_level(level, seed, most, buckets == 1), shape), "leaf")
     done = [layer.where("not open")]
     while buckets > 1:
         level, buckets = level + 1, -(-buckets // fan_in)
         rest = layer.where("open").withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-        layer = staged(rest.groupBy("place", "bucket").applyInPandas(_leaf(level, seed), shape), "tree")
+        layer = staged(rest.groupBy("place", "bucket").applyInPandas(_level(level, seed, most, buckets == 1), shape), "tree")
         done.append(layer.where("not open"))
-    # the last residual of a source is rounded by its own probability
-    draw = F.pmod(F.xxhash64("unit", "size", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    done.append(layer.where("open").withColumn("part", F.when(draw < F.col("part"), 1.0).otherwise(0.0)))
     rounded = done[0]
     for d in done[1:]:
         rounded = rounded.unionByName(d)
