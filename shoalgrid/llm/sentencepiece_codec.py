@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -201,36 +202,61 @@ def parity(texts: list[str], path: str = DEFAULT_MODEL) -> list[int]:
     return [k for k, t in enumerate(texts) if ids[k] != want[k] or back[k] != theirs.decode(want[k])]
 
 
-SLICE_CHARS = 4_000_000
+#: Rows are worked on in slices of about so many characters, or ids; a longer row is a slice by itself.
+SLICE_CHARS, SLICE_IDS = 400_000, 100_000
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size >= SLICE_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows whose sizes sum to about ``most``."""
+    at, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= most:
+            yield at, k + 1
+            at, held = k + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
-def encode_texts(docs: DataFrame, path: str = DEFAULT_MODEL, text: str = "text") -> DataFrame:
+def _lengths(column: pa.Array) -> np.ndarray:
+    lengths = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    return lengths.fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _id_lists(rows: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.asarray(x, np.int32) for x in rows]) if rows else np.empty(0, np.int32)))
+
+
+def encode_texts(docs: DataFrame, path: str = DEFAULT_MODEL, text: str = "text", round_trip: str | None = None) -> DataFrame:
     """``docs`` with ``ids array<int>`` and ``n_tokens long`` added (replacing such columns), and the text kept.
 
-    One pass without a shuffle; whole texts. Null and empty texts have no ids. The model's bytes
-    are read where the job starts and travel with it, so executors need no such file.
+    One pass without a shuffle; whole texts. Null and empty texts have no ids. ``round_trip``
+    names a further column: whether decoding the ids gives the text (null: empty) back. The
+    model's bytes are read where the job starts and travel with it, so executors need no such file.
     """
-    return _mapped(docs.drop("ids", "n_tokens"), path, text, lambda codec, x: codec.encode(x), "ids", "array<int>").withColumn("n_tokens", F.size("ids").cast("long"))
+    docs = docs.drop("ids", "n_tokens", *([round_trip] if round_trip else []))
+
+    def work(codec: Codec, column: pa.Array) -> list[pa.Array]:
+        texts = column.to_pylist()
+        ids = codec.encode(texts)
+        lists = _id_lists(ids)
+        return [lists, *([pa.array([a == (b or "") for a, b in zip(codec.decode(ids), texts)], pa.bool_())] if round_trip else [])]
+
+    out = _mapped(docs, path, text, work, SLICE_CHARS, {"ids": "array<int>"} | ({round_trip: "boolean"} if round_trip else {}))
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 def decode_ids(rows: DataFrame, path: str = DEFAULT_MODEL, ids: str = "ids") -> DataFrame:
     """``rows`` with ``decoded string`` added; null lists decode to an empty text. Ids outside the model raise an error."""
-    return _mapped(rows.drop("decoded"), path, ids, lambda codec, x: codec.decode([list(y) if y is not None else [] for y in x]), "decoded", "string")
 
+    def work(codec: Codec, column: pa.Array) -> list[pa.Array]:
+        return [pa.array(codec.decode([x or [] for x in column.to_pylist()]), pa.string())]
+
+    return _mapped(rows.drop("decoded"), path, ids, work, SLICE_IDS, {"decoded": "string"})
 
-def _mapped(df: DataFrame, path: str, column: str, work, name: str, kind: str) -> DataFrame:
+
+def _mapped(df: DataFrame, path: str, column: str, work: Callable[[Codec, pa.Array], list[pa.Array]], most: int, added: dict[str, str]) -> DataFrame:
     with open(path, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
     names = df.columns
@@ -239,24 +265,15 @@ def _mapped(df: DataFrame, path: str, column: str, work, name: str, kind: str) -
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         codec = Codec(sent.value)
         for b in batches:
-            at = 0
-            for part in _slices(b.column(b.schema.get_field_index(column)).to_pylist()) if kind != "string" else [b.column(b.schema.get_field_index(column)).to_pylist()]:
-                out = work(codec, part)
-                if kind == "string":
-                    col = pa.array(out, pa.string())
-                else:
-                    sizes = np.fromiter(map(len, out), np.int32, len(out))
-                    flat = np.fromiter((i for x in out for i in x), np.int32, int(sizes.sum()))
-                    col = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.slice(at, len(part)).columns, col], [*names, name])
-                at += len(part)
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{types}, `{name}` {kind}")
+            values = b.column(b.schema.get_field_index(column))
+            for at, to in _slices(_lengths(values), most):
+                yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, *work(codec, values.slice(at, to - at))], [*names, *added])
+
+    types = ", ".join(f"`{n}` {k}" for n, k in [*df.dtypes, *added.items()])
+    return df.mapInArrow(run, types)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode_ids(encode_texts(docs))
-    return out.select("doc_id", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encode_texts(docs, round_trip="round_trip").select("doc_id", "n_tokens", "ids", "round_trip")
