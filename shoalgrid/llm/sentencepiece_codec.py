@@ -15,6 +15,7 @@ import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -167,8 +168,18 @@ def _codec(raw: bytes) -> tuple[Model, Tokenizer]:
 class Codec:
     """Encode and decode batches of texts with one model, given as the bytes of its file."""
 
+    #: Words whose ids are remembered; beyond it the memory starts anew.
+    REMEMBERED = 200_000
+
     def __init__(self, raw: bytes):
         self.model, self.tokenizer = _codec(raw)
+        m = self.model
+        self.by_word = m.dummy_prefix and not m.charsmap and not m.squeeze and self.tokenizer.pre_tokenizer is not None
+        self.words: dict[str, list[int]] = {}
+        if self.by_word:  # the same pieces, for words that carry their markers already
+            self.bare = Tokenizer(self.tokenizer.model)
+        control, unknown, byte = (set(m.special(k)) for k in (CONTROL, UNKNOWN, BYTE))
+        self.bytes = [b"" if i in control else b" \xe2\x81\x87 " if i in unknown else bytes([int(p[3:5], 16)]) if i in byte else p.replace(MARK, " ").encode() for i, (p, _, _) in enumerate(m.pieces)]
 
     @classmethod
     def load(cls, path: str = DEFAULT_MODEL) -> Codec:
@@ -176,19 +187,63 @@ class Codec:
             return cls(f.read())
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; null and empty texts have none."""
-        return [e.ids if t else [] for t, e in zip(texts, self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False))]
+        """Ids of each text; null and empty texts have none.
+
+        Where no piece reaches over a word's start, distinct words are encoded as a batch, once,
+        and texts are put together from them; texts that hold the marker itself, and models for
+        which this doesn't hold, are encoded whole.
+        """
+        whole = [k for k, t in enumerate(texts) if t and (not self.by_word or MARK in t)]
+        out: list[list[int]] = [[] for _ in texts]
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
+            out[k] = e.ids
+        skip = set(whole)
+        split = [(k, marked_words(t)) for k, t in enumerate(texts) if t and k not in skip]
+        if split:
+            known = self.words
+            new = list({w for _, ws in split for w in ws if w not in known})
+            if len(known) + len(new) > self.REMEMBERED:
+                known = self.words = {}
+                new = list({w for _, ws in split for w in ws})
+            for at in range(0, len(new), 4096):
+                part = new[at : at + 4096]
+                known.update((w, e.ids) for w, e in zip(part, self.bare.encode_batch_fast(part, add_special_tokens=False)))
+            for k, ws in split:
+                out[k] = list(chain.from_iterable(map(known.__getitem__, ws)))
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of id lists; control pieces are passed over and unknown ones read `` ⁇ ``, as the format has it."""
-        control, unknown = set(self.model.special(CONTROL)), set(self.model.special(UNKNOWN))
-        if any(i in control or i in unknown for x in ids for i in x):
-            return [self._decode_marked(x, control, unknown) for x in ids]
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-
-    def _decode_marked(self, ids: list[int], control: set[int], unknown: set[int]) -> str:
-        pieces = [" ⁇ " if i in unknown else self.model.pieces[i][0] for i in ids if i not in control]
-        return self.tokenizer.decoder.decode(pieces) if pieces else ""
+        """Texts of id lists: pieces and fallback bytes put together, markers as spaces, the first space taken off.
+
+        Control pieces are passed over and unknown ones read `` ⁇ ``, as the format has it. Lists
+        whose bytes are no UTF-8 are decoded by the library, which marks what is broken.
+        """
+        out = []
+        for x in ids:
+            raw = b"".join(map(self.bytes.__getitem__, x))
+            try:
+                text = raw.decode()
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(x, skip_special_tokens=False))
+        return out
+
+
+def marked_words(text: str) -> list[str]:
+    """Words of a text without markers, each with the markers of the spaces before it; the text itself counts as after one.
+
+    Joined they are the normalised text. Spaces at the end are a word of markers.
+    """
+    words = text.split(" ")
+    if "" not in words:
+        return [MARK + w for w in words]
+    out, run = [], ""
+    for w in words:
+        run += MARK
+        if w:
+            out.append(run + w)
+            run = ""
+    return [*out, run] if run else out
 
 
 def parity(texts: list[str], path: str = DEFAULT_MODEL) -> list[int]:
