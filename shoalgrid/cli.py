@@ -47,7 +47,7 @@ def model(cells: DataFrame, s, entries, broad: tuple[int, int], fine: tuple[int,
     """All six layers: both position indices, both standardised, slope and class."""
     out = t.position_index(cells, s, *broad, out="broad_bpi")
     out = t.position_index(out, s, *fine, out="fine_bpi")
-    out = t.standardise(t.standardise(t.slope(out, s), "broad_bpi", "broad"), "fine_bpi", "fine")
+    out = t.slope(t.standardise_all(out, {"broad_bpi": "broad", "fine_bpi": "fine"}), s)
     return cl.classify(out, entries)
 
 

@@ -257,11 +257,20 @@ def standardise(cells: DataFrame, value: str = "bpi", out: str = "std", legacy_z
 
     ``legacy_zero_nodata`` leaves out cells of value 0 from the statistics and from the result.
     """
-    v = F.nullif(F.col(value), F.lit(0)) if legacy_zero_nodata else F.col(value)
-    m = cells.agg(F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.count(v).alias("n")).first()
-    if not m["n"]:
-        return cells.withColumn(out, F.lit(0))
-    if not m["s"]:
-        raise ValueError("the values do not vary")
-    x = (v - F.lit(m["m"])) / F.lit(m["s"]) * 100
-    return cells.withColumn(out, (x + 0.5).cast("int") if legacy_round else F.rint(x).cast("int"))
+    return standardise_all(cells, {value: out}, legacy_zero_nodata, legacy_round)
+
+
+def standardise_all(cells: DataFrame, columns: dict[str, str], legacy_zero_nodata: bool = False, legacy_round: bool = False) -> DataFrame:
+    """The same for several columns (input to output), whose statistics are one aggregate."""
+    values = {c: F.nullif(F.col(c), F.lit(0)) if legacy_zero_nodata else F.col(c) for c in columns}
+    m = cells.agg(*[a for c, v in values.items() for a in (F.avg(v).alias(f"m_{c}"), F.stddev_pop(v).alias(f"s_{c}"), F.count(v).alias(f"n_{c}"))]).first()
+    out = {}
+    for c, name in columns.items():
+        if not m[f"n_{c}"]:
+            out[name] = F.lit(0)
+            continue
+        if not m[f"s_{c}"]:
+            raise ValueError(f"the values of {c} do not vary")
+        x = (values[c] - F.lit(m[f"m_{c}"])) / F.lit(m[f"s_{c}"]) * 100
+        out[name] = (x + 0.5).cast("int") if legacy_round else F.rint(x).cast("int")
+    return cells.withColumns(out)

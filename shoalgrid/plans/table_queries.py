@@ -66,7 +66,7 @@ def export_features(points: DataFrame, cells: DataFrame, s, t_: sp.Affine = sp.A
     """Derivatives of the raster at the points, and their interactions: one join for all layers."""
     work = t.position_index(cells, s, *broad, value, "broad_bpi")
     work = t.position_index(work, s, *fine, value, "fine_bpi")
-    work = t.standardise(t.standardise(work, "broad_bpi", "broad_std"), "fine_bpi", "fine_std")
+    work = t.standardise_all(work, {"broad_bpi": "broad_std", "fine_bpi": "fine_std"})
     work = t.surface_ratio(t.ruggedness(t.slope(work, s, value), s, vrm, value), s, value)
     layers = ["broad_bpi", "fine_bpi", "broad_std", "fine_std", "slope", "vrm", "surface_ratio"]
     if eco:

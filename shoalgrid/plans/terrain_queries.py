@@ -96,8 +96,7 @@ def habitat(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.shape(cells)
     cells = t.position_index(cells, s, 1, 5, out="broad_bpi")
     cells = t.position_index(cells, s, 1, 3, out="fine_bpi")
-    cells = t.slope(cells, s)
-    return t.standardise(t.standardise(cells, "broad_bpi", "broad"), "fine_bpi", "fine")
+    return t.slope(t.standardise_all(cells, {"broad_bpi": "broad", "fine_bpi": "fine"}), s)
 
 
 HABITAT_SQL = (
