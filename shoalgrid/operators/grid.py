@@ -78,7 +78,7 @@ def ring(cells: DataFrame, value: str, mode: str) -> DataFrame:
 
     v = F.col(value)
     line = cells.withColumn("_line", F.struct(beside(v, along, -1).alias("l"), v.alias("m"), beside(v, along, 1).alias("r")))
-    three = line.withColumn("_up", beside(F.col("_line"), down, -1)).withColumn("_down", beside(F.col("_line"), down, 1))
+    three = line.withColumns({"_up": beside(F.col("_line"), down, -1), "_down": beside(F.col("_line"), down, 1)})
     names = dict(zip(["_" + k for k in "abcdefghi"], [f"{s}.{k}" for s in ("_up", "_line", "_down") for k in "lmr"]))
     return three.select(*cells.columns, *[F.col(x).alias(k) for k, x in names.items()])
 
@@ -99,11 +99,11 @@ def box(cells: DataFrame, shape: Shape, n: int, sums: dict[str, Column], mode: s
     for axis, other, size in (("c", "r", shape.cols), ("r", "c", shape.rows)):
         wide = _ghosts(work, axis, size, -first, last, mode)
         order = Window.partitionBy(other).orderBy(axis)
-        for k in sums:
-            s = F.col(f"_s_{k}")
-            if n <= 64:
-                wide = wide.withColumn(f"_s_{k}", F.sum(s).over(order.rowsBetween(first, last)))
-            else:
+        if n <= 64:
+            wide = wide.withColumns({f"_s_{k}": F.sum(f"_s_{k}").over(order.rowsBetween(first, last)) for k in sums})
+        else:
+            for k in sums:
+                s = F.col(f"_s_{k}")
                 run, seen = F.sum(F.coalesce(s, F.lit(0))).over(order), F.count(s).over(order)
                 wide = wide.withColumn("_run", F.struct(run.alias("t"), seen.alias("n")))
                 at = lambda f, k_: F.coalesce(F.col(f), F.lit(0))  # noqa: E731, ARG005
@@ -139,9 +139,9 @@ def runs(cells: DataFrame, shape: Shape, inner: int, outer: int, value: str, mod
     widths = sorted({*width.values(), *hole.values()})
     wide = _ghosts(_ghosts(cells, "c", shape.cols, outer, outer, mode), "r", shape.rows, outer, outer, mode)
     along, down = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    for w in widths:
-        s = along.rowsBetween(-w, w)
-        wide = wide.withColumn(f"_t{w}", F.coalesce(F.sum(value).over(s), F.lit(0.0))).withColumn(f"_n{w}", F.count(value).over(s))
+    spans = {w: along.rowsBetween(-w, w) for w in widths}
+    sums = {f"_t{w}": F.coalesce(F.sum(value).over(s), F.lit(0.0)) for w, s in spans.items()} | {f"_n{w}": F.count(value).over(s) for w, s in spans.items()}
+    wide = wide.withColumns(sums)  # one projection: each is analysed as a whole
     wide = wide.where(F.col("c").between(0, shape.cols - 1))
 
     def row_sum(kind: str, y: int) -> Column:
@@ -157,7 +157,7 @@ def runs(cells: DataFrame, shape: Shape, inner: int, outer: int, value: str, mod
             out = s if out is None else out + s
         return out
 
-    done = wide.withColumn("total", added("t")).withColumn("n", added("n")).where(F.col("r").between(0, shape.rows - 1))
+    done = wide.withColumns({"total": added("t"), "n": added("n")}).where(F.col("r").between(0, shape.rows - 1))
     return done.select(*cells.columns, F.when(F.col("n") > 0, F.col("total")).alias("total"), F.col("n").cast("long").alias("n"))
 
 
