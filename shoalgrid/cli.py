@@ -106,7 +106,7 @@ def parser() -> argparse.ArgumentParser:
     add("depth-stats", size=3, stats="mean,std", window="rectangle")
     add("scale-compare", filter="median", min=3, max=11, count=5)
     add("run-model", dictionary=..., broad_inner=1, broad_outer=5, fine_inner=1, fine_outer=3, keep=False)
-    add("export-features", points=..., id_col="ID", x_col="x", y_col="y", prefix="btm_", eco=False)
+    add("export-features", points=..., id_col="ID", x_col="x", y_col="y", prefix="terrain_", eco=False)
     return p
 
 

@@ -106,8 +106,8 @@ class EcoModel:
     def fit(cls, df: DataFrame, label: str | None = None, target: str = "SGAM") -> EcoModel:
         own = F.when(F.col(label) == target, F.col("bathymetry")) if label else F.lit(None).cast("double")
         r = df.agg(
-            F.percentile("bathymetry", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("e"), F.percentile("btm_fine_bpi", F.lit(0.25)).alias("b"),
-            F.percentile("btm_slope", F.lit(0.25)).alias("s"), F.min(own).alias("lo"), F.max(own).alias("hi"),
+            F.percentile("bathymetry", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("e"), F.percentile("terrain_fine_bpi", F.lit(0.25)).alias("b"),
+            F.percentile("terrain_slope", F.lit(0.25)).alias("s"), F.min(own).alias("lo"), F.max(own).alias("hi"),
         ).first()
         edges = list(r["e"])
         for k in range(1, len(edges)):
@@ -116,8 +116,8 @@ class EcoModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         zone = sum((F.when(F.col("bathymetry") > e, 1).otherwise(0) for e in self.depth_bin_edges[1:-1]), F.lit(1))
-        niche = (F.col("btm_fine_bpi") < self.p25_bpi) & (F.col("btm_slope") < self.p25_slope) & F.col("bathymetry").between(self.sgam_depth_min, self.sgam_depth_max)
-        return df.withColumn("btm_depth_zone", zone).withColumn("btm_sgam_niche", F.coalesce(niche, F.lit(False)).cast("int"))
+        niche = (F.col("terrain_fine_bpi") < self.p25_bpi) & (F.col("terrain_slope") < self.p25_slope) & F.col("bathymetry").between(self.sgam_depth_min, self.sgam_depth_max)
+        return df.withColumn("terrain_depth_zone", zone).withColumn("terrain_sgam_niche", F.coalesce(niche, F.lit(False)).cast("int"))
 
     def to_dict(self) -> dict:
         return asdict(self)

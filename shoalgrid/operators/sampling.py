@@ -56,12 +56,13 @@ def lookup_with_median(points: DataFrame, stats: DataFrame, key: str, columns: l
     return got.crossJoin(medians).select(*points.columns, *[F.coalesce(c, f"_m_{c}").alias(c) for c in columns])
 
 
-def habitat_interactions(df: DataFrame, broad: str = "btm_broad_std", fine: str = "btm_fine_std", vrm: str = "btm_vrm", ratio: str = "btm_surface_ratio") -> DataFrame:
-    """Position magnitude, product of the standardised positions, and total roughness."""
+def habitat_interactions(df: DataFrame, prefix: str = "terrain_") -> DataFrame:
+    """Position magnitude, product of the standardised positions, and total roughness, of columns with this prefix."""
+    broad, fine, vrm, ratio = (F.col(prefix + k) for k in ("broad_std", "fine_std", "vrm", "surface_ratio"))
     return df.withColumns({
-        "btm_bpi_magnitude": F.sqrt(F.col(broad) * F.col(broad) + F.col(fine) * F.col(fine)),
-        "btm_broad_x_fine_std": F.col(broad) * F.col(fine),
-        "btm_rough_total": F.col(vrm) + (F.col(ratio) - 1),
+        f"{prefix}bpi_magnitude": F.sqrt(broad * broad + fine * fine),
+        f"{prefix}broad_x_fine_std": broad * fine,
+        f"{prefix}rough_total": vrm + (ratio - 1),
     })
 
 

@@ -192,7 +192,7 @@ def focal_stats(cells: DataFrame, shape: Shape, n: int, stats: tuple[str, ...] =
 
 
 def multiscale_columns(names: list[str], scales: list[int]) -> list[str]:
-    return [f"btm_{n}_{s}" for n in names for s in scales]
+    return [f"terrain_{n}_{s}" for n in names for s in scales]
 
 
 def multiscale_mean(cells: DataFrame, shape: Shape, scales: list[int], value: str = "z") -> DataFrame:

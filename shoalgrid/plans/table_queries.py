@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from shoalgrid.operators import features as ft
 from shoalgrid.operators import metrics as mt
 from shoalgrid.operators import records as rc
+from shoalgrid.operators import regions as rg
 from shoalgrid.operators import sampling as sp
 from shoalgrid.operators import terrain as t
 from shoalgrid.operators import texture as tx
 from shoalgrid.operators import zonal as zn
 from shoalgrid.plans import views
-from shoalgrid.plans.terrain_queries import BASE, SLOPE, around, bpi_sql, horn, offsets, ring3, rounded, std_sql, surface_planar_ratio  # noqa: F401
+from shoalgrid.plans.terrain_queries import AREA, BASE, SLOPE, around, bpi_sql, horn, offsets, ring3, rounded, std_sql, surface_planar_ratio  # noqa: F401
 from shoalgrid.plans.views import BOTH_SQL, POINTS_SQL, SIZE_SQL
 
 QUERIES: dict = {}
@@ -56,13 +57,13 @@ def sample_clipped(spark, sf_dir):  # J5 T8
 
 EXPORT_SQL = (
     f"{BASE}, {views.POINTS_SQL}, {bpi_sql(1, 5, 'b5')}, {bpi_sql(1, 3, 'b3')}, {std_sql('b5', 's5')}, {std_sql('b3', 's3')}, {ring3('reflect')} "
-    f"SELECT p.id, b5.bpi AS btm_broad_bpi, b3.bpi AS btm_fine_bpi, s5.std AS btm_broad_std, s3.std AS btm_fine_std, round({SLOPE}, 6) AS btm_slope, "
-    "round(sqrt(s5.std * s5.std + s3.std * s3.std), 6) AS btm_bpi_magnitude, s5.std * s3.std AS btm_broad_x_fine_std FROM p LEFT JOIN b5 ON b5.r = floor(-p.y) AND b5.c = floor(p.x) "
+    f"SELECT p.id, b5.bpi AS terrain_broad_bpi, b3.bpi AS terrain_fine_bpi, s5.std AS terrain_broad_std, s3.std AS terrain_fine_std, round({SLOPE}, 6) AS terrain_slope, "
+    "round(sqrt(s5.std * s5.std + s3.std * s3.std), 6) AS terrain_bpi_magnitude, s5.std * s3.std AS terrain_broad_x_fine_std FROM p LEFT JOIN b5 ON b5.r = floor(-p.y) AND b5.c = floor(p.x) "
     f"LEFT JOIN b3 ON b3.r = b5.r AND b3.c = b5.c LEFT JOIN s5 ON s5.r = b5.r AND s5.c = b5.c LEFT JOIN s3 ON s3.r = b5.r AND s3.c = b5.c LEFT JOIN {horn('ring')} ON q.r = b5.r AND q.c = b5.c"
 )
 
 
-def export_features(points: DataFrame, cells: DataFrame, s, t_: sp.Affine = sp.Affine(), prefix: str = "btm_", broad: tuple[int, int] = (1, 5), fine: tuple[int, int] = (1, 3), vrm: int = 3, texture: int | None = None, eco: bool = False, scales: tuple[int, ...] = (), value: str = "z") -> DataFrame:  # noqa: B008
+def export_features(points: DataFrame, cells: DataFrame, s, t_: sp.Affine = sp.Affine(), prefix: str = "terrain_", broad: tuple[int, int] = (1, 5), fine: tuple[int, int] = (1, 3), vrm: int = 3, texture: int | None = None, eco: bool = False, scales: tuple[int, ...] = (), value: str = "z") -> DataFrame:  # noqa: B008
     """Derivatives of the raster at the points, and their interactions: one join for all layers."""
     work = t.position_index(cells, s, *broad, value, "broad_bpi")
     work = t.position_index(work, s, *fine, value, "fine_bpi")
@@ -75,9 +76,7 @@ def export_features(points: DataFrame, cells: DataFrame, s, t_: sp.Affine = sp.A
     for k in scales:
         work = t.relative_deviation(t.multiscale_mean(work, s, [k], value), s, k, value, f"rdmv_{k}")
         layers += [f"{value}_{k}", f"rdmv_{k}"]
-    out = sp.sample(points, work, s, t_, layers, prefix=prefix)
-    if prefix == "btm_":
-        out = sp.habitat_interactions(out)
+    out = sp.habitat_interactions(sp.sample(points, work, s, t_, layers, prefix=prefix), prefix)
     if texture:
         grey = tx.glcm(located(points, s), cells, s, texture, value=value).select("id", F.col("contrast").alias(f"{prefix}contrast"), F.col("homogeneity").alias(f"{prefix}homogeneity"))
         out = out.join(grey, "id", "left")
@@ -89,7 +88,7 @@ def point_features(spark, sf_dir):  # export of features: J4 E1 E2 E3 O-F2 O-F3
     cells = views.depth_grid(spark, sf_dir)
     s = views.shape(cells)
     out = export_features(views.points(spark, sf_dir, s.rows), cells, s)
-    return rounded(out.select("id", "btm_broad_bpi", "btm_fine_bpi", "btm_broad_std", "btm_fine_std", "btm_slope", "btm_bpi_magnitude", "btm_broad_x_fine_std"), "btm_slope", "btm_bpi_magnitude")
+    return rounded(out.select("id", "terrain_broad_bpi", "terrain_fine_bpi", "terrain_broad_std", "terrain_fine_std", "terrain_slope", "terrain_bpi_magnitude", "terrain_broad_x_fine_std"), "terrain_slope", "terrain_bpi_magnitude")
 
 
 FRAME_SQL = f"{TABLES}, f AS (SELECT p.id, p.x, p.y, p.class, g.z AS bathymetry, g.k AS backscatter FROM p LEFT JOIN g ON g.r = floor(-p.y) AND g.c = floor(p.x))"
@@ -112,13 +111,13 @@ def engineered(spark, sf_dir):  # E4 E5 E6 A5 A8 R2
 
 @query(f"""{BASE}, {bpi_sql(1, 3, 'b')}, {ring3('reflect')}, e AS (SELECT g.r, g.c, g.z, b.bpi, {SLOPE} AS slope, CASE WHEN g.c % 7 = 0 THEN 'SGAM' ELSE 'NVB' END AS class FROM g JOIN b USING (r, c) JOIN {horn('ring')} USING (r, c)),
 h AS (SELECT quantile_cont(z, 0.25) AS q1, quantile_cont(z, 0.5) AS q2, quantile_cont(z, 0.75) AS q3, quantile_cont(bpi, 0.25) AS pb, quantile_cont(slope, 0.25) AS ps, min(z) FILTER (class = 'SGAM') AS lo, max(z) FILTER (class = 'SGAM') AS hi FROM e)
-SELECT r, c, 1 + CAST(z > q1 AS INT) + CAST(z > q2 AS INT) + CAST(z > q3 AS INT) AS btm_depth_zone, CAST(bpi < pb AND slope < ps AND z BETWEEN lo AND hi AS INT) AS btm_sgam_niche FROM e, h""")
+SELECT r, c, 1 + CAST(z > q1 AS INT) + CAST(z > q2 AS INT) + CAST(z > q3 AS INT) AS terrain_depth_zone, CAST(bpi < pb AND slope < ps AND z BETWEEN lo AND hi AS INT) AS terrain_sgam_niche FROM e, h""")
 def eco_zones(spark, sf_dir):  # M28 A6 A7 J11 P7
     cells = views.depth_grid(spark, sf_dir)
     s = views.shape(cells)
-    work = t.slope(t.position_index(cells, s, 1, 3, out="btm_fine_bpi"), s, out="btm_slope")
+    work = t.slope(t.position_index(cells, s, 1, 3, out="terrain_fine_bpi"), s, out="terrain_slope")
     work = work.withColumn("class", F.when(F.col("c") % 7 == 0, "SGAM").otherwise("NVB")).withColumnRenamed("z", "bathymetry")
-    return ft.EcoModel.fit(work, "class").transform(work).select("r", "c", "btm_depth_zone", "btm_sgam_niche")
+    return ft.EcoModel.fit(work, "class").transform(work).select("r", "c", "terrain_depth_zone", "terrain_sgam_niche")
 
 
 def _bins(c: str) -> str:
@@ -272,11 +271,11 @@ def smoothed_probabilities(spark, sf_dir):  # M15
     return rounded(zn.smooth_probabilities(rows, cols, 5, 4.0).select("id", *cols), *cols)
 
 
-@query(f"""{TABLES}, {NEAR_SQL.format(where="WHERE a.id % 10 = 0 AND b.id % 10 <> 0")}, w AS (SELECT ranked.id, p.class, sum(CASE WHEN ex THEN CAST(d = 0 AS INT) ELSE 1 / d END) AS w FROM (SELECT *, bool_or(d = 0) OVER (PARTITION BY id) AS ex FROM ranked WHERE rank <= 5) ranked JOIN p ON p.id = ranked.other GROUP BY 1, 2)
+@query(f"""{TABLES}, {NEAR_SQL.format(where="WHERE a.c_acctbal < 0 AND b.c_acctbal >= 0")}, w AS (SELECT ranked.id, p.class, sum(CASE WHEN ex THEN CAST(d = 0 AS INT) ELSE 1 / d END) AS w FROM (SELECT *, bool_or(d = 0) OVER (PARTITION BY id) AS ex FROM ranked WHERE rank <= 5) ranked JOIN p ON p.id = ranked.other GROUP BY 1, 2)
 SELECT id, class AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(w, 9) DESC, class) AS rn FROM w) WHERE rn = 1""")
 def nearest_vote(spark, sf_dir):  # J13
     _, _, points = _points(spark, sf_dir)
-    return zn.vote_nearest(points.where("id % 10 = 0"), points.where("id % 10 <> 0"), "class", 5, 4.0)
+    return zn.vote_nearest(points.where("c_acctbal < 0"), points.where("c_acctbal >= 0"), "class", 5, 4.0)
 
 
 @query(f"{TABLES}, {NEAR_SQL.format(where='WHERE a.id <> b.id')}, z AS (SELECT id, c_acctbal - (SELECT avg(c_acctbal) FROM p) AS z FROM p), l AS (SELECT ranked.id, avg(z.z) AS lag FROM ranked JOIN z ON z.id = ranked.other WHERE rank <= 8 GROUP BY 1) SELECT round(sum(z * lag) / sum(z * z), 6) AS morans_i FROM z JOIN l USING (id)")
@@ -354,3 +353,22 @@ def run_lineage(spark, sf_dir):  # J16 M29
 @query(f"WITH {RUNS_SQL} SELECT run_id, round(f, 6) AS f1 FROM u WHERE run_type = 'baseline' ORDER BY ord DESC LIMIT 1")
 def latest_baseline(spark, sf_dir):  # J17 T-4
     return rc.latest_baseline(runs(spark, sf_dir)).select("run_id", F.round("metric_weighted_f1", 6).alias("f1"))
+
+
+@query(f"""{BASE}, zo AS (SELECT *, (r // 10) * 10 + c // 10 AS zone FROM g), {ring3('clamp')},
+s AS (SELECT r, c, {AREA} AS area FROM ring),
+e AS (SELECT zo.*, area, NOT (r > 0 AND r < nr - 1 AND c > 0 AND c < nc - 1 AND r % 10 BETWEEN 1 AND 8 AND c % 10 BETWEEN 1 AND 8) AS edge FROM zo JOIN s USING (r, c), n),
+f AS (SELECT zone, count(*) AS n_cells, sum(area) AS sa, covar_pop(c, c) FILTER (edge) AS xx, covar_pop(-r, -r) FILTER (edge) AS yy, covar_pop(c, -r) FILTER (edge) AS xy, covar_pop(c, z) FILTER (edge) AS xz, covar_pop(-r, z) FILTER (edge) AS yz FROM e GROUP BY zone),
+p AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM f)
+SELECT CAST(zone AS BIGINT) AS zone, n_cells, round(sa / (n_cells * sqrt(1 + a * a + b * b)), 6) AS rugosity, round(degrees(atan(sqrt(a * a + b * b))), 5) AS plane_slope,
+  round(CASE WHEN atan2(-a, -b) < 0 THEN degrees(atan2(-a, -b)) + 360 ELSE degrees(atan2(-a, -b)) END, 4) AS plane_aspect FROM p""")
+def plane_rugosity(spark, sf_dir):  # L7
+    cells = zoned(spark, sf_dir).drop("k")
+    out = rg.plane_rugosity(cells, views.shape(cells), "zone")
+    return rounded(rounded(rounded(out, "rugosity"), "plane_slope", digits=5), "plane_aspect", digits=4)
+
+
+@query()
+def connected_regions(spark, sf_dir):  # M27: recursion in SQL is too slow over the whole raster; tests walk small ones
+    cells = views.depth_grid(spark, sf_dir).withColumn("deep", F.col("z") < -9)
+    return rg.connected(cells, views.shape(cells), "deep").select("r", "c", "region")

@@ -29,7 +29,7 @@ def test_commands(spark, tmp_path):
     out = ["export-features", "--bathy", str(src), "--out", str(tmp_path / "f"), "--points", str(tmp_path / "p.csv")]
     assert go(*out) == 0 and go(*out, "--x-col", "lon") == 3
     rows = spark.read.csv(str(tmp_path / "f"), header=True, inferSchema=True).orderBy("ID").collect()
-    assert rows[0]["btm_slope"] is not None and rows[1]["btm_slope"] is None
+    assert rows[0]["terrain_slope"] is not None and rows[1]["terrain_slope"] is None
 
 
 def test_registry_stream(spark, tmp_path):

@@ -80,9 +80,9 @@ def test_nearest_matches_brute_force(spark):
 
 
 def test_eco_model_round_trip(spark):
-    df = spark.createDataFrame([(-float(k), float(k % 7), float(k % 5), "SGAM" if k < 8 else "NVB") for k in range(40)], "bathymetry double, btm_fine_bpi double, btm_slope double, class string")
+    df = spark.createDataFrame([(-float(k), float(k % 7), float(k % 5), "SGAM" if k < 8 else "NVB") for k in range(40)], "bathymetry double, terrain_fine_bpi double, terrain_slope double, class string")
     m = ft.EcoModel.fit(df, "class")
-    assert m.transform(df).select("btm_depth_zone").distinct().count() == 4
+    assert m.transform(df).select("terrain_depth_zone").distinct().count() == 4
     assert ft.EcoModel.from_dict(m.to_dict()) == m and m.sgam_depth_min == -7
     with pytest.raises(ValueError):
         ft.EcoModel.from_dict({})

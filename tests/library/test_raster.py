@@ -173,3 +173,24 @@ def test_gaussian_and_blocks(spark):
     assert np.allclose(back(same, "out", z.shape), z)
     curv = tiles.smoothed_curvature(cells(spark, z), shape(z), 1.0)
     assert curv.count() == z.size
+
+
+def test_regions_match_a_walk(spark):
+    from shoalgrid.operators import regions
+
+    rng = np.random.default_rng(9)
+    z = rng.integers(0, 3, (12, 15))
+    z[3, 4] = -9999
+    df = cells(spark, z.astype(float), -9999)
+    got = back(regions.connected(df, shape(z), "z"), "region", z.shape)
+    want = np.full(z.shape, np.nan)
+    for r in range(12):
+        for c in range(15):
+            if z[r, c] != -9999 and np.isnan(want[r, c]):
+                todo = [(r, c)]
+                while todo:
+                    y, x = todo.pop()
+                    if 0 <= y < 12 and 0 <= x < 15 and np.isnan(want[y, x]) and z[y, x] == z[r, c]:
+                        want[y, x] = r * 15 + c
+                        todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    assert np.array_equal(got, want, equal_nan=True)
