@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.shared import shared_dir, table
+from shoalgrid.llm.shared import release_memory, shared_dir, table
 
 SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -139,6 +139,7 @@ class LineIndex:
                     refs += held.values()
                 k = _halves(digests)
                 yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids, pa.int64()), pa.array(refs, pa.int64())], ["hi", "lo", "doc_id", "refs"])
+            release_memory()
 
         rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         return rows.mapInArrow(run, f"{KEY}, doc_id long, refs long")
@@ -183,6 +184,7 @@ class LineIndex:
                         keep[at] = f.contains(k[at, 0].copy(), k[at, 1].copy())
                     k, ids = k[keep], [ids[i] for i in np.flatnonzero(keep)]
                 yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids, pa.int64())], ["hi", "lo", "doc_id"])
+            release_memory()
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, f"{KEY}, doc_id long")
 
@@ -217,6 +219,7 @@ class LineIndex:
                     dropped.append(len(lines) - len(kept))
                 cols = [pa.array(texts, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
+            release_memory()
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         return joined.mapInArrow(run, f"{types}, n_lines long, n_dropped long")

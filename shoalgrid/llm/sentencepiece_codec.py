@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from shoalgrid.llm.shared import table
+from shoalgrid.llm.shared import release_memory, table
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -169,7 +169,7 @@ class Codec:
     """Encode and decode batches of texts with one model, given as the bytes of its file."""
 
     #: Words whose ids are remembered; beyond it the memory starts anew.
-    REMEMBERED = 200_000
+    REMEMBERED = 60_000
 
     def __init__(self, raw: bytes):
         self.model, self.tokenizer = _codec(raw)
@@ -258,7 +258,7 @@ def parity(texts: list[str], path: str = DEFAULT_MODEL) -> list[int]:
 
 
 #: Rows are worked on in slices of about so many characters, or ids; a longer row is a slice by itself.
-SLICE_CHARS, SLICE_IDS = 400_000, 100_000
+SLICE_CHARS, SLICE_IDS = 200_000, 50_000
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -323,6 +323,8 @@ def _mapped(df: DataFrame, path: str, column: str, work: Callable[[Codec, pa.Arr
             values = b.column(b.schema.get_field_index(column))
             for at, to in _slices(_lengths(values), most):
                 yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, *work(codec, values.slice(at, to - at))], [*names, *added])
+        codec.words.clear()
+        release_memory()
 
     types = ", ".join(f"`{n}` {k}" for n, k in [*df.dtypes, *added.items()])
     return df.mapInArrow(run, types)

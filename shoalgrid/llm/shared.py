@@ -7,9 +7,12 @@ which every executor can read, never by a copy that lives on one executor.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +90,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
     return [(t, y) for _, t, y in rows], {y: totals.get(y, 0) for y in (0, 1)}
 
 
+def release_memory() -> None:
+    """Give what a worker no longer uses back to the system: workers live on between tasks, and share their executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def skewed_left_join(big: DataFrame, small: DataFrame, on: list[str], rows_bound: int = 100_000) -> DataFrame:
     """Left join that broadcasts ``small`` only when it is counted and within ``rows_bound``.
 

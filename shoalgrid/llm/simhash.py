@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.components import connected_components
-from shoalgrid.llm.shared import staged, table, unstage
+from shoalgrid.llm.shared import release_memory, staged, table
 
 SPACES = bytes(range(9, 14)) + b" "
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1) -> DataFrame:
             fps = np.array([fingerprint(t, width, words) for t in b.column(1).to_pylist()], np.uint64).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, words), pa.int32()), pa.array(fps.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "fp"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp array<long>")
 

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.shared import crc_mod, labelled_sample, table
+from shoalgrid.llm.shared import crc_mod, labelled_sample, release_memory, table
 
 A = 27  # a to z, and any letter beyond ASCII
 REACH, DECAY, WINDOW = 4, 0.7, 12
 PATTERNS = [(i, k, DECAY ** (k - 2)) for k in range(2, REACH + 1) for i in range(1, k)]
-PIECE = 1 << 20
+PIECE = 1 << 18
 _SPACE, _SKIP = 254, 255
 _CODE = np.full(256, _SKIP, np.uint8)
 for _c in range(26):
@@ -290,6 +290,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for b in batches:
             s = model.score(b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, "score"])
+        release_memory()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{types}, score double")
