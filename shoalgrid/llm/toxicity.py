@@ -174,17 +174,18 @@ class ToxicityModel:
 _MARKS = re.compile(r"[\W\d_]+")
 
 
-def _words(text: str) -> set[str]:
-    return {w for t in set(text.lower().split()) if len(w := t if t.isalpha() else _MARKS.sub("", t)) >= 3}
+def _words(text: str, same: dict[str, str]) -> tuple[str, ...]:
+    """Distinct words of three letters or more, marks taken out; ``same`` makes equal words of all texts one object."""
+    return tuple({same.setdefault(w, w) for t in set(text.lower().split()) if len(w := t if t.isalpha() else _MARKS.sub("", t)) >= 3})
 
 
-def explaining_words(sets: list[set[str]], labels: list[int], least_gain: float = 0.005) -> list[str]:
+def explaining_words(sets: list[tuple[str, ...]], labels: list[int], least_gain: float = 0.005) -> list[str]:
     """Fewest words that cover the toxic texts and hardly occur in clean ones, found greedily; then
     the other such words that are about as frequent as these, which a cover alone would leave out."""
     pos, neg = [s for s, y in zip(sets, labels) if y], [s for s, y in zip(sets, labels) if not y]
     in_pos, in_neg = Counter(w for s in pos for w in s), Counter(w for s in neg for w in s)
     good = {w for w, n in in_pos.items() if n >= 2 and n / len(pos) > 20 * in_neg[w] / max(1, len(neg))}
-    left, found = [s & good for s in pos], []
+    left, found = [good.intersection(s) for s in pos], []
     while True:
         gain = Counter(w for s in left for w in s)
         word, n = min(gain.items(), key=lambda x: (-x[1], x[0]), default=("", 0))
@@ -247,7 +248,8 @@ def fit_toxicity(sample: list[tuple[str, int]], totals: dict[int, int] | None =
     labels = [y for _, y in sample]
     n1, n0 = sum(labels), len(labels) - sum(labels)
     totals = totals or {0: n0, 1: n1}
-    sets = [_words(t) for t, _ in sample]
+    same: dict[str, str] = {}
+    sets = [_words(t, same) for t, _ in sample]
     words = explaining_words(sets, labels) if n1 and n0 else []
     if not words:
         rate = (totals[1] + 1) / (totals[0] + totals[1] + 2)
@@ -302,7 +304,9 @@ FIT_PER_CLASS, FIT_CHARS = 3000, 20_000
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
     held = crc_mod("doc_id", 5) == 0
-    return fit_toxicity(*labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", held, FIT_PER_CLASS, FIT_CHARS))
+    model = fit_toxicity(*labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", held, FIT_PER_CLASS, FIT_CHARS))
+    release_memory()
+    return model
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
