@@ -208,13 +208,162 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Sets of up to so many shingles meet by shared shingles, longer ones by fingerprints; a pair alike to 0.8 has one side above SHORT only if the other is at most SHORT_MEETS.
+SHORT, SHORT_MEETS = 32, 40
+#: Shingles (and 256 for each set) that one task compares with as many others, about.
+BLOCK_SHINGLES = 1 << 18
+
+
+def shingle_sets(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """``(doc_id, node, w, fp, prefix, bits)`` of each row of ``docs(doc_id, text)``: the set of the text's shingles.
+
+    ``bits`` holds the sorted distinct hashes, ``w`` their number and ``node`` a hash of them all; ``fp`` is the
+    majority fingerprint of the set. Two sets alike to 0.8 or more share a hash of their ``prefix``, the first
+    ``w - ceil(0.8 w) + 1`` hashes, which sets of at most ``SHORT_MEETS`` shingles carry.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
+            fps = [(_WEIGHTS[None, :] * (2 * np.array([_bit_sums(_mixed(h, k)) for k in range(words)]) > len(h))).sum(axis=1, dtype=np.uint64).view(np.int64) for h in sets]
+            raw = [h.astype("<u8").tobytes() for h in sets]
+            node = np.array([xxhash.xxh64_intdigest(x, 7) for x in raw], np.uint64).view(np.int64)
+            prefix = [h[: len(h) - -(-4 * len(h) // 5) + 1].view(np.int64).tolist() if 0 < len(h) <= SHORT_MEETS else [] for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.array([f.tolist() for f in fps], pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
+                ["doc_id", "node", "w", "fp", "prefix", "bits"],
+            )
+        release_memory()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, w int, fp array<long>, prefix array<long>, bits binary")
+
+
+def alike(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs ``i < j`` of sorted distinct hashes whose Jaccard similarity is 0.8 or more; exact, all pairs."""
+    n, w = len(sets), np.array([len(x) for x in sets])
+    seen, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), w)
+    at = np.cumsum(df > 1) - 1  # a hash of one set alone is in no intersection
+    keep = df[col] > 1
+    row, col = row[keep], at[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    shared = np.zeros((n, n), np.float32)
+    step = max(256, (1 << 22) // n)
+    for k in range(0, int(at[-1]) + 1 if len(at) else 0, step):
+        lo, hi = np.searchsorted(col, [k, k + step])
+        part = np.zeros((n, int(col[hi - 1]) - k + 1), np.float32)
+        part[row[lo:hi], col[lo:hi] - k] = 1
+        shared += part @ part.T
+    for k in range(0, n, 256):
+        both = shared[k : k + 256].astype(np.int64)
+        i, j = np.nonzero(5 * both >= 4 * (w[k : k + 256, None] + w[None, :] - both))
+        i += k
+        if (keep := i < j).any():
+            yield i[keep], j[keep]
+
+
+def _alike_edges(rows: DataFrame) -> DataFrame:
+    """``rows(g, lo, hi, comp, node, label, bits)`` -> ``(a, b)`` spanning the links of each group's components; a node is joined to its label first."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, part in pdf.groupby("comp", sort=False):
+            part = part.drop_duplicates("node")
+            node, label = part["node"].tolist(), part["label"].tolist()
+            forest, first = Forest(len(node)), {}
+            for k, x in enumerate(label):
+                forest.link(first.setdefault(x, k), k)
+            if len(node) > 1 and len(first) > 1:
+                for i, j in alike([np.frombuffer(x, "<u8") for x in part["bits"]]):
+                    for x, y in zip(i.tolist(), j.tolist()):
+                        forest.link(x, y)
+            for x, y in forest.edges():
+                a.append(node[x])
+                b.append(node[y])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return rows.select("g", "lo", "hi", "comp", "node", "label", "bits").groupBy("g", "lo", "hi").applyInPandas(compare, "a long, b long")
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Add ``blocks``, the number of blocks of the row's component, and ``block``."""
+    sizes = rows.groupBy("comp").agg(F.ceil(F.sum(F.col("w") + 256) / BLOCK_SHINGLES).alias("blocks"))
+    return rows.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")))
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """Blocked rows sent to every pair of blocks of their component."""
+    other = rows.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return other.withColumn("g", F.col("comp")).withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o"))
+
+
+def verified_links(rows: DataFrame) -> DataFrame:
+    """``rows(comp, node, w, bits)``: sets in components of candidates -> ``(a, b)``, links of sets alike to 0.8 or more.
+
+    Sets are connected by the result exactly if a chain of such pairs joins them. Small components are
+    compared whole, several to a task. A large one is cut into blocks; the sets of a block are linked first,
+    then the smallest of what hangs together in each block, which joins copies without pairing them
+    all; only a component still in parts after that is compared over all pairs of its blocks.
+    """
+    rows = staged(_blocked(rows), "candidates")
+    total = rows.agg(F.sum(F.col("w") + 256).alias("t")).first()["t"] or 0
+    shared = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // BLOCK_SHINGLES))))
+    small = rows.where("blocks = 1").select(shared.alias("g"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), "comp", "node", F.col("node").alias("label"), "bits")
+    inside = rows.where("blocks > 1").select(F.col("comp").alias("g"), F.col("block").alias("lo"), F.col("block").alias("hi"), "comp", "node", F.col("node").alias("label"), "bits")
+    links = staged(_alike_edges(small.unionByName(inside)), "links")
+    large = rows.where("blocks > 1")
+    if not large.limit(1).count():
+        return links
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return large.join(connected_components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    firsts = labelled(links).where("label = node").drop("blocks", "block")
+    links = staged(links.unionByName(_alike_edges(_all_pairs(_blocked(firsts)))), "links")
+    now = labelled(links)
+    parts = now.groupBy("comp").agg(F.countDistinct("label").alias("n")).where("n > 1").select("comp")
+    return staged(links.unionByName(_alike_edges(_all_pairs(now.join(parts, "comp")))), "links")
+
+
+def near_copy_groups(docs: DataFrame, width: int = 5, radius: int = 60, words: int = 4, first_radius: int = 24) -> DataFrame:
+    """``(doc_id, component_id)`` for each row of ``docs(doc_id, text)``: the smallest doc_id of its group of near copies.
+
+    Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of 0.8 or more,
+    and a group is what a chain of links joins. Fingerprints only find candidates: 256 bits, of which texts
+    alike to 0.8 differ in 39 with a deviation of 6, within a loose ``radius``; texts of few shingles are found
+    by shared shingles instead, without a miss. Texts without words are linked to each other only.
+    Null ids are kept and never name a group.
+    """
+    told = shingle_sets(docs, width, words)
+    prints = staged(told.drop("bits"), "fingerprints")
+    nodes = staged(prints.groupBy("node", "w", "fp", "prefix").agg(F.min("doc_id").alias("rep")), "reps")
+    keys = nodes.where("w > 0").select("node", F.explode("prefix").alias("key"))
+    lowest = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    by_key = keys.join(lowest, "key").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    by_print = fingerprint_links(nodes.where(F.col("w") > SHORT).select("node", "fp"), radius, words, first_radius)
+    candidates = connected_components(staged(by_key.unionByName(by_print), "links"))
+    held = staged(nodes.join(candidates, "node").select("node", "w", "rep", F.col("component").alias("comp")), "held")
+    # the texts of candidates are read again, one document of each set
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = again.join(held.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if held.where("rep is null").limit(1).count():
+        texts = texts.unionByName(again.where("doc_id is null"))
+    sets = shingle_sets(texts, width, 1).select("node", "bits").join(held.select("node", "w", "comp"), "node")
+    links = verified_links(sets.groupBy("comp", "node", "w").agg(F.first("bits").alias("bits")))
+    named = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_node = staged(named.join(ids, "component").select("node", "component_id"), "classes")
+    return prints.join(by_node, "node", "left").select("doc_id", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """Keep one document of each group of near copies: the one with the smallest doc_id.
 
     Rows repeated under that id are reduced to one (the smallest remaining columns); rows with
     a null doc_id cannot name a group and are all kept. All columns are kept.
     """
-    groups = simhash_groups(docs.select("doc_id", "text"), **how)
+    groups = near_copy_groups(docs.select("doc_id", "text"), **how)
     ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
     if ids.where("n > 1").limit(1).count():

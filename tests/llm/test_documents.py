@@ -89,6 +89,50 @@ def test_near_copies_at_the_stage_defaults(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()) == [1, 3, 4]
 
 
+def brute_near(rows, width=5):
+    """The smallest id of each chain of texts whose shingle sets are alike to 0.8."""
+    def shingles(t):
+        w = (t or "").split()
+        return {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = up[i], up[j]
+                up = [min(x, y) if z in (x, y) else z for z in up]
+    return {rows[k][0] for k in set(up)}
+
+
+@pytest.mark.parametrize("block", [2000, 1 << 18])
+def test_near_copies_are_checked_by_shingle_sets(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+
+    def add(ws):
+        rows.append((len(rows), " ".join(ws), "s"))
+
+    for n in (9, 12, 30, 60, 300):
+        for _ in range(3):
+            first = [rng.choice(words) for _ in range(n)]
+            add(first)
+            for share in (0.9, 0.84, 0.78, 0.72, 0.65):  # the first part kept, the rest new: near and far on both sides of 0.8
+                cut = round((n - 4) * 2 * share / (1 + share)) + 4
+                add(first[:cut] + [rng.choice(words) for _ in range(n - cut)])
+    for _ in range(40):
+        add([rng.choice(words) for _ in range(6)])
+    base = [rng.choice(words) for _ in range(120)]
+    for k in range(25):  # a group of several blocks
+        add(base[:k] + ["other"] + base[k + 1 :])
+    rows += [(1000, "", "s"), (1001, None, "s"), (1002, " \n", "s")]
+    got = {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()}
+    assert got == brute_near(rows)
+
+
 def brute_lines(rows, least=40, docs_=5):
     def key(x):
         return x.strip(" \t\n\x0b\x0c\r").translate({k: k + 32 for k in range(65, 91)})
