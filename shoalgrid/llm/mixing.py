@@ -110,27 +110,29 @@ def settle(size: np.ndarray, copies: np.ndarray, miss: float, most: int) -> np.n
 
 def _level(level: int, seed: int, most: int, root: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "unit"], ascending=[False, True], kind="stable")
-        size, chance = pdf["size"].to_numpy(float), _uniform(pdf["unit"].to_numpy(), level, seed)
+        unit, key = pdf["unit"].to_numpy(), pdf["key"].to_numpy()
+        pdf = pdf.assign(draw=np.where(unit == NO_ID, key, unit)).sort_values(["size", "draw", "key"], ascending=[False, True, True], kind="stable")
+        size, draw = pdf["size"].to_numpy(float), pdf["draw"].to_numpy()
+        chance = _uniform(draw, level, seed)
         p, held = pivot(size, pdf["part"].to_numpy(float), chance)
-        keep = _reserve(size, _uniform(pdf["unit"].to_numpy(), 0, seed + 1))
+        keep = _reserve(size, _uniform(draw, 0, seed + 1))
         if held >= 0:
             keep[held] = True
         if root:
             miss = 0.0
             if held >= 0:  # the last residual of a source is rounded by its own probability
-                up = float(_uniform(pdf["unit"].to_numpy()[held : held + 1], level + 1, seed)[0] < p[held])
+                up = float(_uniform(draw[held : held + 1], level + 1, seed)[0] < p[held])
                 miss, p[held] = (up - p[held]) * size[held], up
             base = pdf["base"].to_numpy(int)
             p = settle(size, base + p.astype(int), miss, most) - base
             keep[:] = False
         pdf["part"], pdf["open"] = p, keep
-        return pdf[["unit", "place", "bucket", "size", "base", "part", "open"]]
+        return pdf[["unit", "key", "place", "bucket", "size", "base", "part", "open"]]
 
     return run
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, leaf_rows: int = 20_000, fan_in: int = 64, seed: int = 5, max_sources: int = 100_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, leaf_rows: int = 20_000, fan_in: int = 64, seed: int = 5, max_sources: int = 100_000, key: str | None = None) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies)`` for each row of ``docs(doc_id, text, source)``.
 
     ``size`` is the number of words of the text (null or without words: 0). Sources are ordered
@@ -138,12 +140,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: fl
     0 and its documents no copies; an empty table gives an empty result. Documents without words
     get the whole part of their source's ratio. Rows with the same doc_id, source and size are
     units of their own that share the hash and are told apart by nothing: reruns return the same
-    multiset. Null ids are hashed as one value. Only one row per source is brought to the driver
+    multiset. ``key`` names a further column of longs that is returned beside them, and by which rows
+    with a null id are hashed; without it null ids are hashed as one value. Only one row per source is brought to the driver
     (more than ``max_sources`` raise an error); leaves hold about ``leaf_rows`` rows however
     large a source is, and each level of the tree divides the leaves by ``fan_in``.
     """
     spark = docs.sparkSession
-    base = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    base = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.col(key) if key else F.lit(NO_ID)).cast("long").alias("key")), "sizes")
     found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -157,10 +160,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: fl
     buckets = max(1, -(-n // leaf_rows))
     units = (
         base.join(F.broadcast(plan), base["source"].eqNullSafe(plan["name"]))
-        .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("unit"), "place", "size", F.floor("ratio").cast("long").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("part"))
+        .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("unit"), "key", "place", "size", F.floor("ratio").cast("long").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("part"))
     )
-    sized = units.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(buckets)))
-    shape = "unit long, place int, bucket long, size long, base long, part double, open boolean"
+    sized = units.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64(F.when(F.col("unit") == NO_ID, F.col("key")).otherwise(F.col("unit")), F.lit(seed)), F.lit(buckets)))
+    shape = "unit long, key long, place int, bucket long, size long, base long, part double, open boolean"
     level = 0
     most = int(limit)
     layer = staged(sized.groupBy("place", "bucket").applyInPandas(_level(level, seed, most, buckets == 1), shape), "leaf")
@@ -173,20 +176,32 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: fl
     rounded = done[0]
     for d in done[1:]:
         rounded = rounded.unionByName(d)
-    whole = rounded.select("unit", "place", "size", (F.col("base") + F.rint("part").cast("long")).alias("copies"))
-    none = units.where("size = 0").select("unit", "place", "size", F.col("base").alias("copies"))
+    whole = rounded.select("unit", "key", "place", "size", (F.col("base") + F.rint("part").cast("long")).alias("copies"))
+    none = units.where("size = 0").select("unit", "key", "place", "size", F.col("base").alias("copies"))
     out = whole.unionByName(none).join(F.broadcast(plan), "place")
-    return out.select(F.when(F.col("unit") == NO_ID, F.lit(None)).otherwise(F.col("unit")).cast("long").alias("doc_id"), F.col("name").alias("source"), "size", "source_size", "target", "copies")
+    return out.select(F.when(F.col("unit") == NO_ID, F.lit(None)).otherwise(F.col("unit")).cast("long").alias("doc_id"), F.col("name").alias("source"), "size", "source_size", "target", "copies", *([F.col("key").alias(key)] if key else []))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row repeated by its copies (none: left out); all columns are kept."""
-    plan = mix_sources(docs.select("doc_id", "text", "source"), **how).where("doc_id is not null and copies > 0")
-    # rows repeated under one doc_id take their copies in the order of size, so that each row gets its own
-    plan = plan.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("_c"))
-    kept = docs.join(plan, "doc_id").withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    share = F.aggregate(F.filter("_c", lambda x: x["size"] == F.col("_n")), F.lit(0).cast("long"), lambda a, x: F.greatest(a, x["copies"]))
-    return kept.withColumn("_k", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*docs.columns)
+    """``docs`` with every row repeated by its copies (none: left out); all columns are kept.
+
+    Rows are told apart by a hash of all their columns, so that null and repeated ids each get their own
+    copies; rows that are equal in every column get the sum of theirs.
+    """
+    whole = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
+    keyed = docs.withColumn("_key", whole).withColumn("_n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    plan = mix_sources(keyed.select("doc_id", "text", "source", "_key"), key="_key", **how)
+    plan = staged(plan.groupBy("_key", F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"), "plan")
+    same = (keyed["_key"] == plan["_key"]) & (keyed["_n"] == plan["_size"]) & keyed["source"].eqNullSafe(plan["_source"])
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+    out = repeated(keyed.join(plan.where("_rows = 1"), same))
+    if plan.where("_rows > 1").limit(1).count():
+        equal = keyed.join(plan.where("_rows > 1"), same).select(*docs.columns, "_copies").distinct()
+        out = out.unionByName(repeated(equal))
+    return out
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,6 +264,21 @@ def test_mixed_rows_follow_their_copies(spark):
     assert all(seen[k] == n for k, n in unique.items())
 
 
+@pytest.mark.parametrize("leaf_rows", [7, 20_000])
+def test_mixed_rows_with_null_and_repeated_ids_are_not_lost(spark, leaf_rows):
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 2, 5, 9, 40]) for _ in range(300)]
+    rows = [(None if k % 3 == 0 else k // 4 if k % 3 == 1 else k, " ".join([f"w{k}"] * n), "abc"[k % 5 % 3]) for k, n in enumerate(sizes)]
+    rows += [(7, "one two three", "a"), (7, "four five six", "a"), (7, "four five six", "b")] + [(None, "x y", "c")] * 5
+    words = lambda got: {s: sum(len(t.split()) for _, t, z in got if z == s) for s in "abc"}
+    got = [(r["doc_id"], r["text"], r["source"]) for r in mixing.mixed(docs(spark, rows), leaf_rows=leaf_rows, fan_in=3).collect()]
+    have = words(rows)
+    aims = dict(zip("abc", mixing.targets([have[s] for s in "abc"], [1, 2, 3])))
+    took = words(got)
+    assert all(abs(took[s] - aims[s]) <= 5 for s in "abc")
+    assert set(got) <= set(rows) and any(i is None for i, _, _ in got)
+
+
 def test_shards_are_even_and_keep_groups(spark):
     rng = random.Random(6)
     rows = [(k, f"text {rng.randrange(400)}", "s") for k in range(1000)] + [(5000 + k, "hot", "s") for k in range(500)] + [(9000, None, "s"), (9001, None, "s"), (9002, "", "s"), (None, "text 1", "s"), (1, "text 2", "s")]
