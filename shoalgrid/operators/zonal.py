@@ -70,7 +70,8 @@ def nearest(points: DataFrame, others: DataFrame, k: int, bucket: float, id_: st
     right = others.select(F.col(id_).alias("other"), F.col(x).cast("double").alias("ox"), F.col(y).cast("double").alias("oy")).where("ox is not null and oy is not null")
     total = right.count()
     k = min(k, total if with_self else max(0, total - 1)) or 1
-    span = right.agg((F.max("ox") - F.min("ox")).alias("w"), (F.max("oy") - F.min("oy")).alias("h")).first()
+    both = left.select("x", "y").unionByName(right.select(F.col("ox").alias("x"), F.col("oy").alias("y")))  # a point may lie far from all others
+    span = both.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
     farthest = max(span["w"] or 0.0, span["h"] or 0.0)
     done, size = None, bucket
     order = Window.partitionBy("id").orderBy("d", "other")

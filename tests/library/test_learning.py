@@ -79,6 +79,13 @@ def test_nearest_matches_brute_force(spark):
     assert got == {k: np.argsort(d[k], kind="stable")[:3].tolist() for k in range(60)}
 
 
+def test_nearest_reaches_distant_targets(spark):
+    left = spark.createDataFrame([(k, float(k * 7), 0.0) for k in range(40)], "id int, x double, y double")
+    one = spark.createDataFrame([(1, 0.0, 100.0)], "id int, x double, y double")
+    got = {r["id"]: r["d"] for r in zonal.nearest(left, one, 1, 4.0).collect()}
+    assert got == {k: pytest.approx(((k * 7) ** 2 + 100**2) ** 0.5) for k in range(40)}
+
+
 def test_eco_model_round_trip(spark):
     df = spark.createDataFrame([(-float(k), float(k % 7), float(k % 5), "SGAM" if k < 8 else "NVB") for k in range(40)], "bathymetry double, terrain_fine_bpi double, terrain_slope double, class string")
     m = ft.EcoModel.fit(df, "class")
