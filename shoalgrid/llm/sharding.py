@@ -6,7 +6,8 @@ the one that holds most. Requests are counted for each pair of shards, and quota
 through as capacity allows, counting what leaves. Documents with a smaller neighbour and those
 without take turns, so that two neighbours never swap places. At the end a distributed ranking
 gives every shard its exact number of rows: what is over leaves from the end of a shard's order,
-in which documents without links come last, so that they go first and cut nothing.
+in which documents without links come last, so that they go first and cut nothing. Groups of equal
+texts above a quarter of a shard do not take part: they are few, and are placed whole beforehand.
 """
 
 from __future__ import annotations
@@ -21,40 +22,48 @@ SHARDS = 24
 BUCKET_ROWS = 50_000
 
 
-def equal_text_links(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
-    """Links of documents with equal texts, ``(a, b, parts)``, from ``rows(doc_id, size, crc, hash)``.
+def equal_text_links(rows: DataFrame, n_rows: int, shards: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Links of documents with equal texts, ``(a, b, parts)``, from ``rows(doc_id, size, crc, hash)``; large groups' places; their rows by shard.
 
-    A group is a star around its smallest doc_id. One larger than a quarter of a shard is cut by
-    a hash of the ids into blocks of that size, each a star whose centre is linked to the group's:
-    such a group cannot stay together anyway, and no centre gets more than a block of neighbours.
-    ``parts`` is the number of ranking buckets that the block needs.
+    A group of at most a quarter of a shard is a star around its smallest doc_id. A larger one, of which
+    there are fewer than ``4 * shards``, is put into a shard as a whole, the largest first, each where
+    most room is left; only one larger than a shard is cut, by a hash of the ids, into blocks of nearly
+    a shard. Places are ``(v, anchor, shard, parts)``; ``parts`` is the number of ranking buckets needed.
     """
     key = ["hash", "size", "crc"]
-    block = max(1, -(-n_rows // (4 * shards)))
-    held = rows.where("doc_id is not null and hash is not null").select("doc_id", *key).distinct()
-    groups = held.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).where("n > 1")
-    members = held.join(groups, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)))
-    members = staged(members, "members")
-    centres = members.groupBy(*key, "block").agg(F.min("doc_id").alias("b"), F.count("*").alias("m"), F.min("centre").alias("centre"))
-    parts = F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("parts")
-    inner = members.join(centres.select(*key, "block", "b", "m"), [*key, "block"]).select(F.col("doc_id").alias("a"), "b", parts)
-    outer = centres.select(F.col("b").alias("a"), F.col("centre").alias("b"), parts)
-    return inner.unionByName(outer).where("a != b")
+    shard = n_rows / shards
+    held = rows.where("doc_id is not null and hash is not null").groupBy("doc_id", *key).agg(F.count("*").alias("m"))
+    groups = held.groupBy(*key).agg(F.count("*").alias("n"), F.sum("m").alias("rows"), F.min("doc_id").alias("centre")).where("n > 1")
+    blocks = F.when(F.col("rows") <= int(shard), F.lit(1).cast("long")).otherwise(F.ceil(F.col("rows") / (0.95 * max(1.0, shard))))
+    members = staged(held.join(groups, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)), "members")
+    large = F.col("rows") > max(1.0, shard / 4)
+    links = members.where(~large & (F.col("doc_id") != F.col("centre"))).select(F.col("doc_id").alias("a"), F.col("centre").alias("b"), F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("parts"))
+    # fewer than 4 * shards large groups and, of those cut, about 1.05 * shards + 1 more blocks
+    sizes = members.where(large).groupBy(*key, "block").agg(F.sum("m").alias("m"), F.min("doc_id").alias("anchor")).collect()
+    load, placed = [0] * shards, []
+    for x in sorted(sizes, key=lambda x: (-x["m"], x["anchor"])):
+        s = min(range(shards), key=lambda k: (load[k], k))
+        load[s] += x["m"]
+        placed.append((*[x[c] for c in key], x["block"], x["anchor"], s, -(-x["m"] // BUCKET_ROWS)))
+    plan = rows.sparkSession.createDataFrame(placed, "hash long, size long, crc long, block long, anchor long, shard int, parts int")
+    places = members.where(large).join(F.broadcast(plan), [*key, "block"])
+    places = places.groupBy(F.col("doc_id").alias("v")).agg(F.min(F.struct("anchor", "shard", "parts")).alias("p")).select("v", "p.*")
+    return links, places, load
 
 
 def first_shard(shards: int, *keys: Column | str) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(3)), F.lit(shards)).cast("int")
 
 
-def propagate(links: DataFrame, counts: list[int], shards: int, rounds: int = 6, slack: float = 0.02) -> DataFrame:
+def propagate(links: DataFrame, counts: list[int], cap: float, shards: int, rounds: int = 6, slack: float = 0.02) -> DataFrame:
     """``(v, shard)`` of every linked document after rounds of label propagation under capacity quotas.
 
-    ``links(a, b)``; ``counts`` are the rows of each shard at the start, when documents stand where
-    ``first_shard`` puts them. Only counts by pairs of shards reach the driver.
+    ``links(a, b)``; ``counts`` are the rows of each shard at the start that make no room for others: those of
+    placed groups, and linked ones, which stand where ``first_shard`` puts them; ``cap`` is what a shard holds. Only counts by pairs of shards reach the driver.
     """
     both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "graph")
     now = staged(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("v"), F.least("a", "low").alias("anchor"), (F.col("low") < F.col("a")).alias("outer"), first_shard(shards, "a").alias("shard")), "labels")
-    counts, cap = list(counts), sum(counts) / shards * (1 + slack) + 4
+    counts, cap = list(counts), cap * (1 + slack) + 4
     idle = 0
     for r in range(rounds):
         votes = both.join(now.select(F.col("v").alias("b"), "shard"), "b").groupBy(F.col("a").alias("v"), F.col("shard").alias("to")).agg(F.count("*").alias("w"))
@@ -127,18 +136,26 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
         ), "rows",
     )
     start = F.when(F.col("doc_id").isNotNull(), first_shard(shards, "doc_id")).otherwise(first_shard(shards, "hash", "crc"))
-    held = {r["s"]: r["n"] for r in rows.groupBy(start.alias("s")).agg(F.count("*").alias("n")).collect()}
-    counts = [held.get(s, 0) for s in range(shards)]
-    n = sum(counts)
-    known = equal_text_links(rows, n, shards) if links is None else links.select("a", "b", F.lit(1).alias("parts"))
+    n = rows.count()
+    if links is None:
+        known, places, load = equal_text_links(rows, n, shards)
+    else:
+        known, load = links.select("a", "b", F.lit(1).alias("parts")), [0] * shards
+        places = docs.sparkSession.createDataFrame([], "v long, anchor long, shard int, parts int")
+    places = staged(places, "places")
     known = staged(known, "links")
-    labels = propagate(known, counts, shards, rounds)
+    # rows without links leave when a shard is over its number, so they take no room from groups
+    linked = known.select(F.col("a").alias("doc_id")).unionByName(known.select(F.col("b").alias("doc_id"))).distinct()
+    held = rows.join(linked, "doc_id", "left_semi").join(places.select(F.col("v").alias("doc_id")), "doc_id", "left_anti")
+    held = {r["s"]: r["n"] for r in held.groupBy(start.alias("s")).agg(F.count("*").alias("n")).collect()}
+    labels = propagate(known, [held.get(s, 0) + load[s] for s in range(shards)], n / shards, shards, rounds)
     parts = known.groupBy(F.col("a").alias("v")).agg(F.max("parts").alias("parts"))
-    labels = labels.join(parts, "v", "left").select(F.col("v").alias("doc_id"), "anchor", F.col("shard").alias("moved"), F.coalesce("parts", F.lit(1)).alias("parts"))
+    labels = labels.join(parts, "v", "left").join(places.select("v"), "v", "left_anti").select("v", "anchor", "shard", F.coalesce("parts", F.lit(1)).alias("parts"), F.lit(1).alias("order"))
+    labels = labels.unionByName(places.withColumn("order", F.lit(0))).select(F.col("v").alias("doc_id"), "anchor", F.col("shard").alias("moved"), "parts", "order")
     buckets = max(1, -(-n // (shards * BUCKET_ROWS)))
     placed = (
         rows.join(labels, "doc_id", "left")
-        .withColumn("shard", F.coalesce("moved", start)).withColumn("loose", F.col("moved").isNull())
+        .withColumn("shard", F.coalesce("moved", start)).withColumn("loose", F.coalesce("order", F.lit(2)))
         .withColumn("anchor", F.coalesce("anchor", "doc_id"))
         .withColumn("bucket", F.pmod(F.xxhash64("anchor", F.when(F.col("anchor").isNull(), F.col("hash"))), F.lit(buckets)))
         .withColumn("part", F.pmod(F.xxhash64("doc_id", "hash"), F.coalesce("parts", F.lit(1)).cast("long")))

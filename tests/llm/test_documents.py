@@ -305,6 +305,18 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sharding.shard_documents(docs(spark, []), 8).count() == 0
 
 
+def test_groups_up_to_a_shard_stay_whole(spark):
+    rows = [(k, f"text {k}", "s") for k in range(1200)]
+    for g, size in enumerate((110, 80, 60)):  # a shard has about 181 rows
+        rows += [(2000 + 1000 * g + k, f"copies {g}", "s") for k in range(size)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs(spark, rows), 8).collect()}
+    for g, size in enumerate((110, 80, 60)):
+        assert len({got[2000 + 1000 * g + k] for k in range(size)}) == 1
+    rows += [(9000 + k, "huge", "s") for k in range(700)]  # a third of all rows: three shards at least
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs(spark, rows), 8).collect()}
+    assert len({got[9000 + k] for k in range(700)}) <= 5
+
+
 def test_given_links_pull_documents_together(spark):
     rows = [(k, f"t{k}", "s") for k in range(400)]
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 200, 2)] + [(7, 7), (10**9, 3)], "a long, b long")
