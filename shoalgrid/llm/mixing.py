@@ -197,7 +197,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     def repeated(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
-    out = repeated(keyed.join(plan.where("_rows = 1"), same))
+    out = repeated(keyed.join(plan.where("_rows = 1").hint("merge"), same))
     if plan.where("_rows > 1").limit(1).count():
         equal = keyed.join(plan.where("_rows > 1"), same).select(*docs.columns, "_copies").distinct()
         out = out.unionByName(repeated(equal))

@@ -346,7 +346,7 @@ def near_copy_groups(docs: DataFrame, width: int = 5, radius: int = 60, words: i
     held = staged(nodes.join(candidates, "node").select("node", "w", "rep", F.col("component").alias("comp")), "held")
     # the texts of candidates are read again, one document of each set
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = again.join(held.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = again.join(held.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     if held.where("rep is null").limit(1).count():
         texts = texts.unionByName(again.where("doc_id is null"))
     sets = shingle_sets(texts, width, 1).select("node", "bits").join(held.select("node", "w", "comp"), "node")
