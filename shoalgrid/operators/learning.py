@@ -128,14 +128,13 @@ def permutation_importance(model: Fitted, df: DataFrame, label: str, repeats: in
     return df.sparkSession.createDataFrame([(*r, k + 1) for k, r in enumerate(rows)], "feature_name string, importance_mean double, importance_std double, selected boolean, rank int")
 
 
-def kmeans_zones(df: DataFrame, columns: list[str], k: int, out: str = "zone", seeds: int = 5, fit_rows: int = 50_000) -> DataFrame:
-    """Zones by k-means on standardised columns, the best of several starts, fitted on a bounded hash sample and given to all rows."""
+def kmeans_zones(df: DataFrame, columns: list[str], k: int, out: str = "zone", seeds: int = 5) -> DataFrame:
+    """Zones by k-means on standardised columns, the best of several starts, fitted on all rows."""
     stages = [VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)]
     there = df.dropna(subset=columns)
     prepared = Pipeline(stages=stages).fit(there)
     ready = prepared.transform(there)
-    sample = ready.orderBy(F.xxhash64(*columns)).limit(fit_rows)
-    best = min((KMeans(k=k, seed=s, featuresCol="_x", predictionCol=out).fit(sample) for s in range(1, seeds + 1)), key=lambda m: m.summary.trainingCost)
+    best = min((KMeans(k=k, seed=s, featuresCol="_x", predictionCol=out).fit(ready) for s in range(1, seeds + 1)), key=lambda m: m.summary.trainingCost)
     return best.transform(ready).drop("_raw", "_x")
 
 

@@ -50,6 +50,14 @@ def test_zones_groups_and_oversampling(frame):
     assert n["ALG"] == n["NVB"]
 
 
+def test_zones_of_a_raster_with_one_very_common_value(spark):
+    first = spark.range(100).select(F.col("id").cast("double").alias("v")).orderBy(F.xxhash64("v")).first()["v"]  # the first in the hash order
+    others = [v for v in (0.0, 33.0, 66.0, 99.0) if abs(v - first) > 10][:3]
+    df = spark.range(53_000).select(F.element_at(F.array(*map(F.lit, [*others, first])), F.least(F.floor(F.col("id") / 1000), F.lit(3)).cast("int") + 1).alias("v"))
+    z = learning.kmeans_zones(df, ["v"], 4, seeds=3)
+    assert z.groupBy("v").agg(F.countDistinct("zone").alias("n")).where("n = 1").count() == 4 and z.select("zone").distinct().count() == 4
+
+
 def test_kriging_reproduces_and_interpolates(spark):
     rng = np.random.default_rng(3)
     x, y = rng.uniform(0, 10, (2, 80))
