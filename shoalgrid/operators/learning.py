@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -159,24 +161,51 @@ def stack(base: DataFrame, parts: list[DataFrame], label: str, held: DataFrame,
     return train(wide.join(held.select(id_), id_, "left_anti"), label, columns, Spec("logistic"))
 
 
+def class_neighbours(rows: DataFrame, label: str, k: int, block: int = 1024) -> DataFrame:
+    """``rows(label, _k, _v array<double>)`` -> ``(label, _k, _r, _o)``: the k nearest other rows of the class, ``_r`` from 1, ties to the smaller ``_k``.
+
+    Exact: blocks of a class meet in pairs, and each pair keeps the k nearest of its rows. Null or NaN values are farthest.
+    """
+    sized = rows.withColumn("_b", F.floor(F.col("_k") / block)).withColumn("_n", F.floor((F.count("*").over(Window.partitionBy(label)) - 1) / block))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n")))
+    asking = sized.withColumn("_c", every).select(label, F.col("_b").alias("_q"), F.col("_c").alias("_t"), "_k", "_v")
+    others = sized.withColumn("_c", every).select(label, F.col("_c").alias("_q"), F.col("_b").alias("_t"), "_k", "_v")
+
+    def search(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        theirs = theirs.sort_values("_k")
+        a, b = (np.array(x["_v"].tolist(), float) for x in (mine, theirs))
+        at, to = mine["_k"].to_numpy(), theirs["_k"].to_numpy()
+        d = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1] if d.size else 0):
+            d += (a[:, j, None] - b[None, :, j]) ** 2
+        d[np.isnan(d)] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+        i = np.repeat(np.arange(len(a)), near.shape[1])
+        got = pd.DataFrame({"_k": at[i], "_o": to[near.ravel()], "_d": d[i, near.ravel()]})
+        got.insert(0, label, pd.Series([key[0]] * len(got), dtype=mine[label].dtype))
+        return got[got["_k"] != got["_o"]]
+
+    kind = rows.schema[label].dataType.simpleString()
+    pairs = asking.groupBy(label, "_q", "_t").cogroup(others.groupBy(label, "_q", "_t")).applyInPandas(search, f"`{label}` {kind}, _k long, _o long, _d double")
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_k").orderBy("_d", "_o"))).where(F.col("_r") <= k).select(label, "_k", "_r", "_o")
+
+
 def oversample(df: DataFrame, label: str, columns: list[str], k: int = 5, seed: int = 7, id_: str = "ID") -> DataFrame:
-    """Rows of smaller classes made up to the largest one's number, each between a row and one of its nearest of the class.
+    """Rows of smaller classes made up to the largest one's number, each between a row and one of its k nearest of the class.
 
-    Neighbours are searched inside the class in blocks of rows; classes of one row are repeated.
+    Neighbours are searched inside the class, exactly, in pairs of blocks of rows; classes of one row are repeated.
     """
     n = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     most = max(n.values(), default=0)
     add = F.element_at(F.create_map(*[F.lit(v) for c, m in n.items() for v in (c, most - m)]), F.col(label)) if n else F.lit(0)
     own = F.element_at(F.create_map(*[F.lit(v) for c, m in n.items() for v in (c, m)]), F.col(label)) if n else F.lit(1)
     spot = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_, F.lit(seed)), id_)) - 1
-    copies = df.withColumn("_k", spot).withColumn("_t", F.floor(add / own) + F.when(F.col("_k") < add % own, 1).otherwise(0))
+    copies = df.withColumn("_k", spot.cast("long")).withColumn("_t", F.floor(add / own) + F.when(F.col("_k") < add % own, 1).otherwise(0))
     seeds = copies.withColumn("_j", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_t"), F.lit(0)).cast("int")))).where("_j between 1 and _t")
-    near = copies.select(F.col(label), F.col("_k").alias("_o"), *[F.col(c).alias(f"_{c}") for c in columns])
-    d = sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in columns[1:]), (F.col(columns[0]) - F.col(f"_{columns[0]}")) ** 2)
-    # a row meets the 2k that follow it in the hash order of its class, not all of them
-    step = F.pmod(F.col("_k") + F.col("_s"), own)
-    met = seeds.withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(2 * k)))).withColumn("_o", step).join(near, [label, "_o"]).withColumn("_d", d)
-    best = met.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_k", "_j").orderBy("_d", "_o"))).where(F.col("_r") == F.pmod(F.xxhash64("_k", "_j"), F.least(F.lit(k), own)) + 1)
+    values = copies.where(add > 0).select(label, "_k", F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    near = class_neighbours(values, label, k).join(copies.select(label, F.col("_k").alias("_o"), *[F.col(c).alias(f"_{c}") for c in columns]), [label, "_o"])
+    pick = (F.pmod(F.xxhash64("_k", "_j"), F.greatest(F.lit(1), F.least(F.lit(k), own - 1))) + 1).cast("int")
+    best = seeds.withColumn("_r", pick).join(near, [label, "_k", "_r"], "left")
     u = F.pmod(F.xxhash64("_k", "_j", F.lit(seed)), F.lit(1000)) / 1000
-    made = best.select(*[(F.col(c) + u * (F.col(f"_{c}") - F.col(c))).alias(c) if c in columns else F.col(c) for c in df.columns])
+    made = best.select(*[F.coalesce(F.col(c) + u * (F.col(f"_{c}") - F.col(c)), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
     return df.unionByName(made)

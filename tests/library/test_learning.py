@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoalgrid.operators import features as ft
@@ -58,6 +59,29 @@ def test_zones_of_a_raster_with_one_very_common_value(spark):
     assert z.groupBy("v").agg(F.countDistinct("zone").alias("n")).where("n = 1").count() == 4 and z.select("zone").distinct().count() == 4
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_neighbours_of_a_class_match_brute_force(spark, block):
+    v = np.random.default_rng(4).normal(size=(70, 3)).round(1)
+    c = ["a" if i % 3 else "b" for i in range(70)]
+    df = spark.createDataFrame([(c[i], i, [float(z) for z in v[i]]) for i in range(70)], "c string, _k long, _v array<double>")
+    df = df.withColumn("_k", F.row_number().over(Window.partitionBy("c").orderBy("_k")).cast("long") - 1)
+    got = {(r["c"], r["_k"], r["_r"]): r["_o"] for r in learning.class_neighbours(df, "c", 5, block).collect()}
+    want = {}
+    for name in "ab":
+        x = v[[k for k in range(70) if c[k] == name]]
+        for i in range(len(x)):
+            order = sorted((((x[i, 0] - y[0]) ** 2 + (x[i, 1] - y[1]) ** 2 + (x[i, 2] - y[2]) ** 2), j) for j, y in enumerate(x) if j != i)
+            want |= {(name, i, r + 1): j for r, (_, j) in enumerate(order[:5])}
+    assert got == want
+
+
+def test_oversampled_rows_stay_inside_their_cluster(spark):
+    rows = [(k, float(k % 10 * 1000 + k // 10 % 8), 1.0, "small") for k in range(80)] + [(1000 + k, 0.0, 0.0, "large") for k in range(300)] + [(5000, 3.0, 4.0, "one")]
+    out = learning.oversample(spark.createDataFrame(rows, "ID long, x double, y double, c string"), "c", ["x", "y"]).collect()
+    assert {c: sum(r["c"] == c for r in out) for c in ("small", "large", "one")} == {"small": 300, "large": 300, "one": 300}
+    assert all(r["x"] % 1000 <= 7 for r in out if r["c"] == "small")  # ten clusters 1000 apart, eight rows each
+
+
 def test_kriging_reproduces_and_interpolates(spark):
     rng = np.random.default_rng(3)
     x, y = rng.uniform(0, 10, (2, 80))
