@@ -128,7 +128,8 @@ def nearest_neighbours(
     null or non-finite components take no part, nor do null ids, nor vectors of another length
     than most; rows repeated under an id count once, with the smallest vector. With fewer
     candidates than ``k`` all are returned; without any, the query has no row. ``recall`` is
-    what the probes are fitted for on the sample (see ``probes_needed``). Lists and their queries
+    what the probes are fitted for on the sample (see ``probes_needed``); a query whose probed lists hold
+    too few rows probes further ones. Lists and their queries
     are split into blocks of bounded size, so neither a popular list nor many queries meet in one task.
     """
     spark = rows.sparkSession
@@ -148,22 +149,32 @@ def nearest_neighbours(
     c = centroids(sample, max(1, min(1024, int(np.sqrt(n) / 2), len(sample))))
     probes = probes_needed(sample, c, k, recall)
 
-    def assign(n_lists: int):
+    def assign(n_lists: int, sizes: np.ndarray | None):
         def run(pdfs):
             for pdf in pdfs:
                 if len(pdf):
-                    pdf["list"] = list(nearest_lists(np.array(pdf["v"].tolist()), c, n_lists).astype(np.int32))
+                    v = np.array(pdf["v"].tolist())
+                    lists = list(nearest_lists(v, c, n_lists).astype(np.int32))
+                    if sizes is not None:
+                        # the query itself may be among the rows, so k others are sure from k + 1 on
+                        for x in np.flatnonzero([sizes[p].sum() <= k for p in lists]):
+                            order = np.argsort(((c - v[x]) ** 2).sum(axis=1), kind="stable").astype(np.int32)
+                            enough = int(np.searchsorted(np.cumsum(sizes[order]), k + 1)) + 1
+                            lists[x] = np.union1d(lists[x], order[:enough])
+                    pdf["list"] = lists
                 else:
                     pdf["list"] = []
                 yield pdf
 
         return run
 
-    def placed(df: DataFrame, n_lists: int) -> DataFrame:
-        return df.mapInPandas(assign(n_lists), "vec_id long, v array<double>, list array<int>").withColumn("list", F.explode("list"))
+    def placed(df: DataFrame, n_lists: int, sizes: np.ndarray | None = None) -> DataFrame:
+        return df.mapInPandas(assign(n_lists, sizes), "vec_id long, v array<double>, list array<int>").withColumn("list", F.explode("list"))
 
     rows_in = staged(placed(every, 1), "lists")
-    asked = staged(placed(clean(queries).where(F.size("v") == dim), probes), "probes")
+    held = {r["list"]: r["n"] for r in rows_in.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 1024 rows
+    sizes = np.array([held.get(x, 0) for x in range(len(c))])
+    asked = staged(placed(clean(queries).where(F.size("v") == dim), probes, sizes), "probes")
     count = lambda df, size: {r["list"]: -(-r["n"] // size) for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # noqa: E731  at most 1024 rows
     of_rows, of_queries = count(rows_in, block_rows), count(asked, block_queries)
     met = [(x, of_rows[x], of_queries[x]) for x in of_rows if x in of_queries]

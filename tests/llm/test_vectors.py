@@ -88,6 +88,17 @@ def test_neighbours_recall_order_and_ties(spark):
     assert twenty[:2] == [5, 10]
 
 
+def test_queries_in_small_lists_still_find_k_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(20, 8)) * 10, 30, axis=0) + rng.normal(size=(600, 8)) * 0.01
+    v = np.vstack([v, rng.normal(size=(4, 8)) * 300])  # outliers, each a list of its own
+    df = spark.createDataFrame([(k, [float(x) for x in row], 0, "x", 1) for k, row in enumerate(v)], SCHEMA)
+    monkeypatch.setattr(nearest, "probes_needed", lambda *_: 1)
+    monkeypatch.setattr(nearest, "centroids", lambda *_: np.vstack([v[:600:30], v[600:]]))
+    got = nearest.nearest_neighbours(df, df).groupBy("query_id").count().toPandas()
+    assert len(got) == 604 and (got["count"] == 10).all()
+
+
 def test_neighbours_of_few_and_unusable_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 0.0]), (None, [1.0, 1.0]), (1, [0.0, 1.0]), (5, [1.0])]
     df = spark.createDataFrame([(*r, 0, "x", 0) for r in rows], SCHEMA)
