@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,7 +167,60 @@ def test_encoded_tables(spark):
     assert all(r["decoded"] == (r["text"] or "") for r in rows.values() if "▁" not in (r["text"] or ""))
     assert sentencepiece_codec.encode_texts(df.limit(0)).count() == 0
     codec = sentencepiece_codec.Codec.load()
-    assert codec.decode([[1, 2], [0]]) == ["", " ⁇ "] or codec.decode([[1, 2], [0]])[0] == ""
+    assert codec.decode([[1, 2], None, []]) == ["", "", ""] and codec.decode([[0]])[0].strip() == "⁇"
+
+
+@pytest.mark.parametrize("ids", [[-1], [5, None], [10**6], [2**40]])
+def test_ids_outside_the_model_raise(ids):
+    with pytest.raises(ValueError, match="outside the model"):
+        sentencepiece_codec.Codec.load().decode([[5], ids])
+
+
+def test_ids_that_are_no_text_are_marked():
+    codec = sentencepiece_codec.Codec.load()
+    byte = {p: k for k, (p, _, _) in enumerate(codec.model.pieces)}
+    got = codec.decode([[byte["<0xC3>"]], codec.encode(["plain"])[0]])
+    assert "\ufffd" in got[0] and got[1] == "plain"
+
+
+@pytest.mark.parametrize("remembered", [1, 50, 300_000])
+def test_units_agree_with_the_library_whatever_is_remembered(remembered, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec.Codec, "REMEMBERED", remembered)
+    codec = sentencepiece_codec.Codec.load(verify=True)
+    theirs = codec.library.encode([t for t in ODD])
+    rng = random.Random(4)
+    for _ in range(3):
+        texts = [*ODD, None, *(" ".join(prose(rng, 40)) + "\n\n " + " ".join(prose(rng, 5)) for _ in range(20))]
+        found = codec.encode_column(pa.array(texts, pa.string()))
+        assert found.agrees.all() and found.lists().to_pylist()[: len(ODD)] == theirs
+    monkeypatch.setattr(codec, "sizes", None)  # units that can't be told apart are encoded one by one
+    codec._forget()
+    assert codec.encode(ODD) == theirs
+
+
+def test_units_that_differ_from_the_library_are_told():
+    codec = sentencepiece_codec.Codec.load(verify=True)
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [x if "odd" not in t else x[:-1] for t, x in zip(texts, real.encode(texts))]
+
+    real, codec.library = codec.library, Other()
+    assert codec.encode_column(pa.array(["all is well", "an odd one", "", "well"])).agrees.tolist() == [True, False, True, True]
+
+
+def test_op5_encodes_the_whole_table(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [*ODD, None, *(" ".join(prose(rng, 50)) for _ in range(30)), ODD[1]]
+    spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    import sentencepiece
+
+    want = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.DEFAULT_MODEL).encode([t or "" for t in texts])
+    got = {r["doc_id"]: r for r in sentencepiece_codec.op5_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k]["ids"] == want[k] and got[k]["n_tokens"] == len(want[k]) and got[k]["parity"]
+        assert got[k]["round_trip"] == ("▁" not in (t or ""))
 
 
 URLS = [None, "", "no scheme", "http://A.NET/x", "https://example.net/en/1?q#f", "https://sub.Example.NET/en/", "https://example.net/de/", "http://example.com/de/9", "http://xexample.com/de/9", "http://example.com/en/", "http://www.a.org/fr/x", "http://org/fr/", "http://org/Fr/", "http://net", "http://net?x=/", "a://b.net/c://d.org/fr/", "http://e.net#/en/", "http://u@h.net:80/p", "http:///x", "HTTP://.net/en/\n/x"]
