@@ -292,9 +292,14 @@ class Codec:
         return np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)))
 
     def _verified(self, units: list[bytes], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """For each unit, whether the sentencepiece library gives these ids; it puts a marker before a text by itself."""
-        theirs = self.library.encode([(u[1:] if u[:1] == b" " else b"\n" + u).decode() for u in units], num_threads=1)
-        theirs = [x if u[:1] == b" " else x[2:] for u, x in zip(units, theirs)]
+        """For each unit, whether the sentencepiece library gives these ids.
+
+        The library puts a marker before a text by itself, and gives an empty one no ids, so a unit that
+        doesn't start with a space, or is nothing else, stands after a line end, whose ids are left out.
+        """
+        bare = [len(u) > 1 and u[:1] == b" " for u in units]
+        theirs = self.library.encode([(u[1:] if b else b"\n" + u).decode() for u, b in zip(units, bare)], num_threads=1)
+        theirs = [x if b else x[2:] for x, b in zip(theirs, bare)]
         ends = np.cumsum(size)
         n = np.array(list(map(len, theirs)))
         if (n == size).all():
