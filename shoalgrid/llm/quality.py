@@ -79,10 +79,6 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-np.clip(self.margin(feature_rows(texts)), -30, 30)))
 
 
-def _leaf(g: np.ndarray, h: np.ndarray, ridge: float) -> np.ndarray:
-    return g / (h + ridge)
-
-
 def _tree(g: np.ndarray, h: np.ndarray, ridge: float, leaves: int = 3) -> np.ndarray:
     """Values per bin of a tree with so many leaves over the bins' summed gradients and curvatures."""
     edges = [0, len(g)]
@@ -195,13 +191,14 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     return docs.mapInArrow(run, f"{types}, score double")
 
 
-#: The fit reads at most this many labelled texts of each class, none longer than FIT_CHARS.
-FIT_PER_CLASS, FIT_CHARS = 4000, 20_000
+#: The fit reads at most this many labelled texts of each class, whole.
+FIT_PER_CLASS = 4000
 
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> AdditiveModel:
+    """The model of the labelled rows of ``docs`` outside the held-out fold (crc32 of the id modulo 4 is 2): a bounded sample, see ``labelled_sample``."""
     held = crc_mod("doc_id", 4) == 2
-    sample, totals = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", held, FIT_PER_CLASS, FIT_CHARS)
+    sample, totals = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", held, FIT_PER_CLASS)
     y = np.array([y for _, y in sample], int)
     taken = np.bincount(y, minlength=2)
     by_class = np.array([totals[k] / max(1, taken[k]) for k in (0, 1)])
@@ -209,6 +206,7 @@ def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> AdditiveModel:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` of every document; a null doc_id is in no fold (``held_out`` null)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_quality(docs, fitted(spark, docs, sf_dir))
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -61,15 +61,14 @@ def crc_mod(doc_id: Column | str, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int, max_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: Column, per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """Texts and 0/1 targets of a bounded sample of labelled rows, for fitting on the driver; and the labels' counts by class.
 
     ``held_out`` is a condition on ``doc_id``; rows that fulfil it, and rows where it is
     null, are never taken. At most ``per_class`` ids of each class are chosen, in the order
-    of a hash of the id, so reruns agree. Of those, texts longer than ``max_chars`` are left
-    out of the *fit* (scoring always reads whole texts). The ids are chosen from the narrow
-    label table alone, so only the chosen rows' texts ever move; their number is bounded by
-    ``2 * per_class``, which is what makes the broadcast safe.
+    of a hash of the id, so reruns agree; their texts are taken whole, null ones as empty. The
+    ids are chosen from the narrow label table alone, so only the chosen rows' texts ever move;
+    their number is bounded by ``2 * per_class``, which is what makes the broadcast safe.
     """
     votes = (
         labels.select("doc_id", F.col(target).cast("int").alias("_y"))
@@ -83,7 +82,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out: C
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .where(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
         .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_y")
     )
     rows = sorted({(r["doc_id"], r["text"], r["_y"]) for r in texts.toLocalIterator(prefetchPartitions=True)})

@@ -60,15 +60,99 @@ def test_toxicity_of_empty_odd_and_long_texts(model):
 
 
 def test_kernel_is_positive_and_collapses_to_triple_weights():
-    strings = ["grumbot", "grumxbot", "other", "thing", "snivelak", "gr"]
+    words = ["grumbot", "grumxbot", "other", "thing", "snivelak", "gr"]
+    strings = [toxicity.letters(w) for w in words]
     z = toxicity.triples(strings)
     assert np.allclose(toxicity.kernel(strings, z), z @ z.T, atol=1e-5)
     assert np.linalg.eigvalsh((z @ z.T).astype(float)).min() > -1e-5
     weight = np.random.default_rng(0).standard_normal(toxicity.A**3).astype(np.float32)
-    assert np.allclose(toxicity.strongest(strings[:5], weight), z[:5] @ weight, atol=1e-4)
+    assert np.allclose(toxicity.strongest(words[:5], weight)[:, 0], z[:5] @ weight, atol=1e-4)
     assert z[0] @ z[1] > 3 * abs(z[0] @ z[2])
 
 
+def test_sentences_are_labelled_by_their_strongest_word():
+    told = toxicity.Sentences.of([("a fine day. you grumbot there! the end", 1), ("grumbot\nall well", 1), ("the fine end. all day", 0), ("", 0)])
+    assert len(told.text) == 7 and told.label.tolist() == [1, 1, 0, 0]
+    word = {w: k for k, w in enumerate(told.words)}
+    at = lambda w: word[toxicity.letters(w)]
+    assert told.texts_with(1)[at("grumbot")] == 2 and told.texts_with(0)[at("fine")] == 1
+    value = np.zeros(len(told.words))
+    value[at("grumbot")], value[at("there")], value[at("day")] = 2.0, 1.0, 1.5
+    seen = told.witnesses(value, 0.5)
+    assert {told.words[k]: n for k, n in enumerate(seen) if n} == {toxicity.letters("grumbot"): 2, toxicity.letters("there"): 1}
+    value[:] = -np.inf
+    assert not told.witnesses(value, 0.5).any()
+
+
+@pytest.mark.parametrize("insult", ["w a r t f a c e", "wartface", "w.a.r.t.f-a-c-e"])
+def test_no_cut_of_a_long_text_hides_an_insult(model, insult, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 400)
+    rng = random.Random(3)
+    for shift in range(0, 30, 3):
+        text = "x" * shift + " " + " ".join(prose(rng, 60)) + " " + insult + " " + " ".join(prose(rng, 150))
+        cut = text.index(insult)
+        whole = model.score([text[max(0, cut - 380 - shift) :]])
+        monkeypatch.setattr(toxicity, "PIECE", 1 << 18)
+        assert whole[0] == pytest.approx(model.score([text[max(0, cut - 380 - shift) :]])[0]) and whole[0] >= 0.5
+        monkeypatch.setattr(toxicity, "PIECE", 400)
+
+
+def test_a_word_without_end_is_cut_with_an_overlap(model, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 100)
+    monkeypatch.setattr(toxicity, "LONGEST", 300)
+    for n in range(270, 310):
+        assert np.isfinite(model.score(["é" * 100 + "日" * 50 + "x" * n + "grumbot" * 3])).all()
+        weight = np.zeros(toxicity.A**3, np.float32)
+        weight[toxicity.triples([toxicity.letters("grumbot")])[0] > 0] = 1
+        assert toxicity.strongest(["x" * n + "grumbotgrumbot" + "x" * 400], weight)[0, 0] > 2
+
+
+def test_letters_beyond_ascii_and_signs():
+    assert toxicity.letters("É") == toxicity.letters("é") != toxicity.letters("ñ")
+    assert toxicity.letters("gr\u200bum\u2019b\U0001f600ot") == toxicity.letters("grumbot")
+
+
+def test_op4_scores_the_whole_table(spark, tmp_path):
+    rows = [(k, t, y) for k, (t, y) in enumerate(toxic_sample(300, 5))]
+    spark.createDataFrame([(k, t, "x") for k, t, _ in rows] + [(None, "a grumbot", "x"), (3, rows[3][1], "x"), (900, None, "x"), (901, "", None)], "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    # labels of the held-out fold are all wrong: they must not be learned
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    spark.createDataFrame([(k, 1, 1 - y if fold(k) else y) for k, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op4_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 304 and got[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+    truth = {k: y for k, _, y in rows} | {900: 0, 901: 0}
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] is None if r["doc_id"] is None else r["held_out"] == fold(r["doc_id"])
+    told = [r for r in got if r["doc_id"] is not None]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in told]) >= 0.98
+
+
+def test_op7_scores_the_whole_table(spark, tmp_path):
+    rows = [(k, t, y) for k, (t, y) in enumerate(quality_sample(400, 5))]
+    spark.createDataFrame([(k, t, "x") for k, t, _ in rows] + [(None, "text", "x"), (3, rows[3][1], "x"), (900, None, None)], "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    spark.createDataFrame([(k, 1 - y if fold(k) else y, 0) for k, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op7_quality(spark, str(tmp_path)).collect()
+    assert len(got) == 403 and got[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+    truth = {k: y for k, _, y in rows}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert all(r["held_out"] == fold(r["doc_id"]) for r in got if r["doc_id"] is not None)
+    held = [r for r in got if r["doc_id"] in truth and r["held_out"]]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) >= 0.95
+
+
+def test_quality_scores_keep_rows_and_columns(spark):
+    train = quality_sample(200, 1)
+    model = quality.fit_additive(quality.feature_rows([t for t, _ in train]), np.array([y for _, y in train]), np.ones(200), rounds=20)
+    df = spark.createDataFrame([(1, "a b", "en", "s", 3, "old", 1, "h", 2)] * 2 + [(None,) * 9, (2, "", "en", "s", 0, "old", 1, "h", 2)], SCHEMA)
+    got = quality.score_quality(df, model)
+    assert got.columns == [c for c in df.columns if c != "score"] + ["score"]
+    scores = got.collect()
+    assert len(scores) == 4 and len({r["score"] for r in scores if r["doc_id"] == 1}) == 1 and len({r["score"] for r in scores if r["doc_id"] != 1}) == 1
+    assert quality.score_quality(df.limit(0), model).count() == 0
+
+
 def test_fits_without_classes_are_constant(spark):
     assert toxicity.fit_toxicity([]).score(["a", None]).tolist() == [0.5, 0.5]
     assert (toxicity.fit_toxicity([("clean text", 0)] * 30).score(["x"]) < 0.5).all()
@@ -108,15 +192,15 @@ def test_interactions_learn_what_single_features_cannot():
 
 
 def test_sample_is_bounded_and_leaves_out_the_fold(spark):
-    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)] + [(5, "text 5"), (None, "none"), (300, "y" * 500), (301, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2, None) for k in range(200)] + [(None, 1, 1), (300, 1, 1), (301, 0, 0), (400, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(200)] + [(5, "text 5"), (None, "none"), (301, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, None) for k in range(200)] + [(None, 1, 1), (301, 0, 0), (400, 1, 1)], "doc_id long, quality int, toxic int")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    got, totals = labelled_sample(docs, labels, "quality", held, 20, 100)
+    got, totals = labelled_sample(docs, labels, "quality", held, 20)
     out = {t for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0 for t in [f"text {k}"]}
     assert 30 <= len(got) <= 40 and not out & {t for t, _ in got}
     assert all(int(t.split()[1]) % 2 == y for t, y in got if t)
     assert totals[1] >= 75
-    assert labelled_sample(docs.limit(0), labels.limit(0), "toxic", held, 20, 100) == ([], {0: 0, 1: 0})
+    assert labelled_sample(docs.limit(0), labels.limit(0), "toxic", held, 20) == ([], {0: 0, 1: 0})
 
 
 def test_scores_keep_rows_and_columns(spark, model):
