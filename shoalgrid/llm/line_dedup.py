@@ -1,14 +1,17 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference counts.
 
 ``LineIndex`` keeps, in one folder, signed postings ``(key, doc_id, refs)`` (insertions add,
-deletions subtract), the exact counts of frequent lines derived from them, and one cuckoo
-filter for each shard of those lines. Filters can forget: when deletions make a line rare
-again, its fingerprint is taken out. Cleaning probes the filters inside the scan, so only lines
-that may be frequent are shuffled, and the exact counts decide about each of them.
+deletions subtract), the exact counts of lines merged from them, and one cuckoo
+filter for each shard of the frequent ones. Filters can forget: when deletions make a line rare
+again, its fingerprint is taken out. Cleaning probes the filters, so only lines
+that may be frequent meet the exact counts, which decide about each of them. What a change
+leaves is named by a manifest that is written last: an index can be opened again by its folder, and a change that
+was cut off leaves no trace but unused files.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.shared import release_memory, shared_dir, table
@@ -101,26 +104,103 @@ def shard_of(lo: np.ndarray, shards: int) -> np.ndarray:
     return ((lo.view(np.uint64) >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
+POSTINGS, COUNTS, FILTERS = f"{KEY}, doc_id long, refs long", f"{KEY}, n_docs long, max_doc long", "shard long, size long, blob binary"
+
+
 class LineIndex:
     """Lines of documents, counted exactly, under ``path`` (a folder that all executors can read).
 
     A line of at least ``min_chars`` code points that at least ``min_docs`` documents hold is
-    frequent. ``insert`` and ``delete`` take ``docs(doc_id, text)``; deleting what was inserted
-    restores the former state exactly. Rows repeated under one doc_id are one document. Rows
-    with a null doc_id are counted nowhere, and lose frequent lines like any document.
+    frequent. Opening a folder that holds an index goes on with it; other bounds than its own raise a ValueError.
+    ``insert`` takes ``docs(doc_id, text)``: rows repeated under one doc_id are one document, and an id that is
+    held already gets the new lines beside its old ones. ``delete`` takes ``docs(doc_id)`` and takes these
+    documents out as they were inserted; ids that aren't held are passed over. Deleting what was inserted
+    restores the former state exactly. Rows with a null doc_id are counted nowhere, and lose frequent lines like any document.
+
+    Inserting new documents reads the counts, never older postings. Deleting reads the postings of its documents, and
+    of those lines whose last document goes. There is a shard of the filters for every ``shard_keys`` frequent lines, about.
     """
 
-    def __init__(self, spark: SparkSession, path: str, min_chars: int = 40, min_docs: int = 5, shards: int = 64, broadcast_bytes: int = 32 << 20):
-        self.spark, self.path, self.min_chars, self.min_docs, self.shards, self.broadcast_bytes = spark, path, min_chars, min_docs, shards, broadcast_bytes
-        self.frequent = spark.createDataFrame([], f"{KEY}, n_docs long, max_doc long")
-        self.filters = spark.createDataFrame([], "shard long, size long, blob binary")
-        self.rounds = 0
+    def __init__(self, spark: SparkSession, path: str, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 32 << 20, shard_keys: int = 1 << 16, probe_rows: int = 200_000):
+        self.spark, self.path, self.broadcast_bytes, self.shard_keys, self.probe_rows = spark, path.rstrip("/"), broadcast_bytes, shard_keys, probe_rows
+        self.state = self._latest() or {"round": 0, "min_chars": min_chars, "min_docs": min_docs, "shards": 1, "postings": [], "ids": [], "counts": None, "filters": None}
+        if (self.state["min_chars"], self.state["min_docs"]) != (min_chars, min_docs):
+            raise ValueError(f"the index in {path} has other bounds")
+        self.min_chars, self.min_docs = min_chars, min_docs
+
+    def _files(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _latest(self) -> dict | None:
+        at, files = self._files()
+        done = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(at, "manifest-*/_SUCCESS")) or []
+        names = sorted(x.getPath().getParent().getName() for x in done)
+        return json.loads(self.spark.read.schema("state string").parquet(f"{self.path}/{names[-1]}").first()["state"]) if names else None
+
+    def _table(self, names: str | list[str] | None, schema: str) -> DataFrame:
+        names = [names] if isinstance(names, str) else names or []
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+
+    def _written(self, df: DataFrame, kind: str) -> str:
+        name = f"{kind}-{self.state['round'] + 1:06d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    @property
+    def counts(self) -> DataFrame:
+        """Documents, and the last of them, of every line that is long enough."""
+        return self._table(self.state["counts"], COUNTS)
+
+    @property
+    def frequent(self) -> DataFrame:
+        return self.counts.where(F.col("n_docs") >= self.min_docs)
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._table(self.state["filters"], FILTERS)
+
+    def _standing(self, postings: DataFrame) -> DataFrame:
+        """What postings come to: the lines that documents hold now."""
+        return postings.groupBy("hi", "lo", "doc_id").agg(F.sum("refs").alias("refs")).where("refs > 0")
 
     def insert(self, docs: DataFrame) -> None:
-        self._change(docs, 1)
+        state = dict(self.state)
+        name = self._written(self.postings(docs), "postings")
+        found = self._table(name, POSTINGS)
+        lines = found.select("hi", "lo", "doc_id").distinct()
+        if state["postings"]:
+            held = self._table(state["ids"], "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+            again = found.select("doc_id").distinct().join(held, "doc_id", "left_semi")
+            if again.limit(1).count():
+                old = self._standing(self._table(state["postings"], POSTINGS).join(again, "doc_id", "left_semi"))
+                lines = lines.join(old, ["hi", "lo", "doc_id"], "left_anti")
+                ids = found.select("doc_id").distinct().join(held, "doc_id", "left_anti")
+            else:
+                ids = found.select("doc_id").distinct()
+        else:
+            ids = found.select("doc_id").distinct()
+        added = lines.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        if state["counts"]:
+            added = self.counts.unionByName(added).groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        state["ids"] = [*state["ids"], self._written(ids.withColumn("n", F.lit(1).cast("long")), "ids")]
+        self._change(state, name, added)
 
     def delete(self, docs: DataFrame) -> None:
-        self._change(docs, -1)
+        state = dict(self.state)
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+        every = self._table(state["postings"], POSTINGS)
+        name = self._written(self._standing(every.join(ids, "doc_id", "left_semi")).withColumn("refs", -F.col("refs")), "postings")
+        gone = self._table(name, POSTINGS)
+        lost = gone.groupBy("hi", "lo").agg(F.count("*").alias("lost"), F.max("doc_id").alias("top"))
+        left = self.counts.join(lost, ["hi", "lo"], "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("lost", F.lit(0))).where("n_docs > 0")
+        # lines whose last document went get the last of those that stay
+        headless = left.where("top = max_doc").select("hi", "lo")
+        rest = self._standing(every.unionByName(gone).join(headless, ["hi", "lo"], "left_semi"))
+        last = rest.groupBy("hi", "lo").agg(F.max("doc_id").alias("last"))
+        now = left.join(last, ["hi", "lo"], "left").select("hi", "lo", "n_docs", F.coalesce("last", "max_doc").alias("max_doc"))
+        state["ids"] = [*state["ids"], self._written(gone.select("doc_id").distinct().withColumn("n", F.lit(-1).cast("long")), "ids")]
+        self._change(state, name, now)
 
     def postings(self, docs: DataFrame) -> DataFrame:
         """``(hi, lo, doc_id, refs)``: each document's lines with the number of times it holds them."""
@@ -142,51 +222,92 @@ class LineIndex:
             release_memory()
 
         rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        return rows.mapInArrow(run, f"{KEY}, doc_id long, refs long")
-
-    def _change(self, docs: DataFrame, sign: int) -> None:
-        self.rounds += 1
-        at, schema = f"{self.path}/postings", f"{KEY}, doc_id long, refs long"
-        self.postings(docs).withColumn("refs", F.col("refs") * sign).write.mode("append").parquet(at)
-        held = self.spark.read.schema(schema).parquet(at)
-        per_doc = held.groupBy("hi", "lo", "doc_id").agg(F.sum("refs").alias("refs")).where("refs > 0")
-        now = per_doc.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")).where(F.col("n_docs") >= self.min_docs)
-        was, self.frequent = self.frequent, self._kept(now, "frequent")
-        both = self.frequent.select("hi", "lo", F.lit(1).alias("new"), F.lit(0).alias("old")).unionByName(was.select("hi", "lo", F.lit(0).alias("new"), F.lit(1).alias("old")))
-        shard = F.expr(f"cast(pmod(shiftrightunsigned(lo, 40), {self.shards}) as long)")
-        keys = both.groupBy("hi", "lo").agg(F.max("new").alias("new"), F.max("old").alias("old")).withColumn("shard", shard)
-        self.filters = self._kept(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_refilled, "shard long, size long, blob binary"), "filters")
-
-    def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/{name}-{self.rounds}"
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        return rows.mapInArrow(run, POSTINGS)
+
+    def _change(self, state: dict, postings: str, counts: DataFrame) -> None:
+        """Write merged counts, bring the filters up to them, and then the manifest that makes it all count."""
+        was, old_filters, old_shards = self.frequent, self.filters, state["shards"]
+        state |= {"postings": [*state["postings"], postings], "counts": self._written(counts, "counts")}
+        now = self._table(state["counts"], COUNTS).where(F.col("n_docs") >= self.min_docs)
+        shards = state["shards"] = 1 << max(0, -(-now.count() // self.shard_keys) - 1).bit_length()
+        if shards != old_shards:  # every key changes its shard's neighbours: all filters are filled anew
+            was, old_filters = was.limit(0), old_filters.limit(0)
+        both = now.select("hi", "lo", F.lit(1).alias("new"), F.lit(0).alias("old")).unionByName(was.select("hi", "lo", F.lit(0).alias("new"), F.lit(1).alias("old")))
+        keys = both.groupBy("hi", "lo").agg(F.max("new").alias("new"), F.max("old").alias("old")).withColumn("shard", _shard(shards))
+        state["filters"] = self._written(keys.groupBy("shard").cogroup(old_filters.groupBy("shard")).applyInPandas(_refilled, FILTERS), "filters")
+        state["round"] += 1
+        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.parquet(f"{self.path}/manifest-{state['round']:06d}")
+        self.state = state
+
+    def compact(self) -> None:
+        """Replace all postings by what they come to, and delete every file that the new manifest doesn't name.
+
+        Tables that were read from the index before must not be used afterwards.
+        """
+        state = dict(self.state)
+        state["postings"] = [self._written(self._standing(self._table(state["postings"], POSTINGS)), "postings")]
+        ids = self._table(state["ids"], "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+        state["ids"] = [self._written(ids, "ids")]
+        state["round"] += 1
+        manifest = f"manifest-{state['round']:06d}"
+        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.parquet(f"{self.path}/{manifest}")
+        self.state = state
+        named = {*state["postings"], *state["ids"], state["counts"], state["filters"], manifest}
+        at, files = self._files()
+        for x in files.listStatus(at):
+            if x.getPath().getName() not in named:
+                files.delete(x.getPath(), True)
 
     def _suspects(self, docs: DataFrame) -> DataFrame:
-        """``(hi, lo, doc_id)`` of lines that a filter admits; all long lines if the filters are too large to send."""
+        """``(hi, lo, doc_id, row)`` of lines that a filter admits; ``row`` tells texts under a null id apart."""
         size = self.filters.agg(F.sum(F.length("blob"))).first()[0] or 0
-        blobs = {r["shard"]: bytes(r["blob"]) for r in self.filters.collect()} if size <= self.broadcast_bytes else None
-        sent, least, shards = self.spark.sparkContext.broadcast(blobs), self.min_chars, self.shards
+        sent = size <= self.broadcast_bytes
+        blobs = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in self.filters.collect()} if sent else None)
+        least, shards = self.min_chars, self.state["shards"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = None if sent.value is None else {s: CuckooFilter.from_bytes(x) for s, x in sent.value.items()}
+            filters = None if blobs.value is None else {s: CuckooFilter.from_bytes(x) for s, x in blobs.value.items()}
             for b in batches:
-                digests, ids = [], []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                digests, ids, rows = [], [], []
+                for doc, row, text in zip(*(c.to_pylist() for c in b.columns)):
                     held = list(dict.fromkeys(k for line in _lines(text) if (k := line_key(line, least))))
                     digests += held
                     ids += [doc] * len(held)
-                k = _halves(digests)
+                    rows += [row] * len(held)
+                k, ids, rows = _halves(digests), pa.array(ids, pa.int64()), pa.array(rows, pa.int64())
                 if filters is not None and len(k):
                     keep, shard = np.zeros(len(k), bool), shard_of(k[:, 1].copy(), shards)
                     for s, f in filters.items():
                         at = np.flatnonzero(shard == s)
                         keep[at] = f.contains(k[at, 0].copy(), k[at, 1].copy())
-                    k, ids = k[keep], [ids[i] for i in np.flatnonzero(keep)]
-                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(ids, pa.int64())], ["hi", "lo", "doc_id"])
+                    k, ids, rows = k[keep], ids.filter(pa.array(keep)), rows.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), ids, rows], ["hi", "lo", "doc_id", "row"])
             release_memory()
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, f"{KEY}, doc_id long")
+        lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(), "text").where("text is not null").mapInArrow(run, f"{KEY}, doc_id long, row long")
+        return lines if sent else self._probed(lines)
+
+    def _probed(self, lines: DataFrame) -> DataFrame:
+        """Lines that a filter admits, for filters that are too large to send: lines go to their shard's filter.
+
+        A shard that many lines fall into, as a very common one does, is split into slices of about
+        ``probe_rows`` lines, each beside a copy of the filter.
+        """
+        shards = self.state["shards"]
+        lines = lines.withColumn("shard", _shard(shards))
+        slices = lines.groupBy("shard").agg(F.ceil(F.count("*") / self.probe_rows).alias("slices"))
+        dealt = lines.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("doc_id", "row"), F.col("slices")))
+        copies = self.filters.join(slices, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+
+        def probe(lines: pa.Table, filters: pa.Table) -> pa.Table:
+            lines = lines.select(["hi", "lo", "doc_id", "row"])
+            if not len(lines) or not len(filters):
+                return lines.slice(0, 0)
+            held = CuckooFilter.from_bytes(filters["blob"][0].as_py())
+            return lines.filter(pa.array(held.contains(lines["hi"].to_numpy(), lines["lo"].to_numpy())))
+
+        pick = dealt.select("shard", "slice", "hi", "lo", "doc_id", "row").groupBy("shard", "slice")
+        return pick.cogroup(copies.select("shard", "slice", "blob").groupBy("shard", "slice")).applyInArrow(probe, f"{KEY}, doc_id long, row long")
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``text`` cleaned and ``n_lines``, ``n_dropped`` added (replacing columns of these names).
@@ -196,11 +317,12 @@ class LineIndex:
         """
         drops = (
             self._suspects(docs).join(self.frequent, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
-            .groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("k"))
-            .select(F.col("doc_id").alias("_id"), F.col("k.hi").alias("_hi"), F.col("k.lo").alias("_lo"))
+            .groupBy("doc_id", "row").agg(F.collect_set(F.struct("hi", "lo")).alias("k"))
+            .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("k.hi").alias("_hi"), F.col("k.lo").alias("_lo"))
         )
         docs = docs.drop("n_lines", "n_dropped")
-        joined = docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(drops["_id"]), "left").drop("_id")
+        same = docs["doc_id"].cast("long").eqNullSafe(drops["_id"]) & _row().eqNullSafe(drops["_row"])
+        joined = docs.join(drops, same, "left").drop("_id", "_row")
         names, least = docs.columns, self.min_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +347,15 @@ class LineIndex:
         return joined.mapInArrow(run, f"{types}, n_lines long, n_dropped long")
 
 
+def _row() -> Column:
+    """Tells rows under a null id apart, by their texts; null under an id."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("row")
+
+
+def _shard(shards: int) -> Column:
+    return F.expr(f"cast(pmod(shiftrightunsigned(lo, 40), {shards}) as long)")
+
+
 def _refilled(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     """The shard's filter after its changes; rebuilt from the exact keys if they no longer fit."""
     if not len(keys):
@@ -243,13 +374,14 @@ def _refilled(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Index all of ``docs`` and clean it: see ``LineIndex``."""
+    """Index all of ``docs`` and clean it: see ``LineIndex``; the index's folder is not used once the result is written."""
     index = LineIndex(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/shoalgrid/lines-{uuid.uuid4().hex}", min_chars, min_docs)
     index.insert(docs.select("doc_id", "text"))
     return index.clean(docs)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_lines, n_dropped, kept_sha256)`` of every document; null texts are one empty line."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -181,12 +181,66 @@ def test_deleting_restores_the_index(spark, tmp_path):
     assert all(not f.slots.any() for f in blobs)
 
 
-def test_filters_beyond_the_bound_are_not_sent(spark, tmp_path):
+def cleaned(index, df):
+    return sorted([(r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in index.clean(df).collect()], key=str)
+
+
+@pytest.mark.parametrize("probe_rows", [3, 200_000])
+def test_filters_too_large_to_send_are_probed_by_shard(spark, tmp_path, probe_rows):
+    rows = [*line_rows(), *[(None, f"{LINE}\nnumber {k}", "s") for k in range(6)]]
+    rows += [(100 + k, f"a second line that is long and frequent, number {k % 3} of several", "s") for k in range(30)]
+    index = line_dedup.LineIndex(spark, f"file://{tmp_path}/index", broadcast_bytes=-1, shard_keys=1, probe_rows=probe_rows)
+    index.insert(docs(spark, rows))
+    assert index.state["shards"] == 4 and index.frequent.count() == 4
+    assert cleaned(index, docs(spark, rows)) == brute_lines(rows)
+
+
+def test_an_index_is_opened_again_and_changed_in_steps(spark, tmp_path, monkeypatch):
+    rows = [r for r in line_rows() if r[0] is not None]
+    rows += [(20 + k, "another line that grows frequent only by the last step, forty and more", "s") for k in range(6)]
+    path = f"file://{tmp_path}/index"
+    first, second, third = docs(spark, rows[:5]), docs(spark, rows[5:13]), docs(spark, rows[13:])
+    line_dedup.LineIndex(spark, path).insert(first)
+    read = []
+    real = line_dedup.LineIndex._table
+    monkeypatch.setattr(line_dedup.LineIndex, "_table", lambda self, names, schema: read.append(names) or real(self, names, schema))
+    index = line_dedup.LineIndex(spark, path)
+    old = list(index.state["postings"])
+    index.insert(second)
+    assert not any(n in old for names in read for n in ([names] if isinstance(names, str) else names or []))  # no older posting was read
+    index = line_dedup.LineIndex(spark, path)
+    index.insert(third)
+    every = docs(spark, rows)
+    assert cleaned(line_dedup.LineIndex(spark, path), every) == brute_lines(rows)
+    line_dedup.LineIndex(spark, path).delete(second.unionByName(docs(spark, [(12345, "not held", "s")])))
+    index = line_dedup.LineIndex(spark, path)
+    left = rows[:5] + rows[13:]
+    kept = {r[0] for r in left}
+    assert [x for x in cleaned(index, every) if x[0] in kept] == [x for x in brute_lines(left)]
+    index.compact()
+    index = line_dedup.LineIndex(spark, path)
+    assert len(index.state["postings"]) == 1 and [x for x in cleaned(index, every) if x[0] in kept] == brute_lines(left)
+    index.insert(second)
+    index.insert(second)  # ids that are held already
+    assert cleaned(index, every) == brute_lines(rows)
+    with pytest.raises(ValueError, match="other bounds"):
+        line_dedup.LineIndex(spark, path, min_docs=3)
+
+
+def test_a_change_cut_off_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
     rows = line_rows()
-    index = line_dedup.LineIndex(spark, f"file://{tmp_path}/index", broadcast_bytes=-1)
+    path = f"file://{tmp_path}/index"
+    index = line_dedup.LineIndex(spark, path)
     index.insert(docs(spark, rows))
-    got = sorted([(r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in index.clean(docs(spark, rows)).collect()], key=str)
-    assert got == brute_lines(rows)
+    want = cleaned(index, docs(spark, rows))
+    monkeypatch.setattr(line_dedup, "_shard", lambda shards: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.delete(docs(spark, rows))
+    monkeypatch.undo()
+    index = line_dedup.LineIndex(spark, path)
+    assert cleaned(index, docs(spark, rows)) == want
+    index.delete(docs(spark, rows))
+    assert index.frequent.count() == 0 and index.counts.count() == 0
 
 
 def test_cuckoo_filter_has_no_false_negative():
