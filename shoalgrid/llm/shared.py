@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -22,15 +23,21 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
+    """The shared folder that ``spark.checkpoint.dir`` (or the context) names.
+
+    Where neither does, a session whose executors are threads of this process gets a temporary
+    folder, once; on a cluster, where no folder of one machine would serve, it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             named = held.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             named = tempfile.mkdtemp(prefix="shoalgrid-")
             spark.sparkContext.setCheckpointDir(named)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return named.rstrip("/")
 
 
@@ -96,12 +103,19 @@ def release_memory() -> None:
         trim(0)
 
 
-def skewed_left_join(big: DataFrame, small: DataFrame, on: list[str], rows_bound: int = 100_000) -> DataFrame:
-    """Left join that broadcasts ``small`` only when it is counted and within ``rows_bound``.
+def skewed_left_join(big: DataFrame, small: DataFrame, on: list[str], bytes_bound: int = 8 << 20) -> DataFrame:
+    """Left join that broadcasts ``small``, a table read from files, only if its files are within ``bytes_bound``.
 
     Beyond the bound the plain shuffle join is left to adaptive execution, which splits the
     partitions of ``big`` that a hot key fills.
     """
-    if small.limit(rows_bound + 1).count() <= rows_bound:
+    if stored_bytes(small) <= bytes_bound:
         small = F.broadcast(small)
     return big.join(small, on, "left")
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` is read from."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}]
+    return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.shared import LOWER, UPPER, skewed_left_join, table
+from shoalgrid.llm.shared import LOWER, UPPER, skewed_left_join, staged, table
 
 #: (host, path, verdict), as the contract gives them.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -38,8 +38,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     Only expressions with a label count and a path length that some rule has are made; both
     sets are read from the rules (their sizes are bounded by the longest host and path). The
-    rules are broadcast only if counted within ``rules_bound``; beyond it the same equi-join
-    shuffles.
+    rules are broadcast only if counted within ``rules_bound``, the URLs that a rule hits only if
+    they, written, take no more bytes than ``skewed_left_join`` allows; beyond it the same equi-joins
+    shuffle.
     """
     known = (
         rules.where("host is not null and path is not null and verdict is not null")
@@ -65,12 +66,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         digests.join(known, "short").where("full = digest")
         .groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct("size", "rule")).alias("hit"))
     )
-    found = skewed_left_join(judged, hits, ["host", "path"])
+    found = skewed_left_join(judged, staged(hits, "hits"), ["host", "path"])
     names = [c for c in judged.columns if c not in ("host", "path")]
     return found.select(*names, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, host, path, rule, verdict)`` of every page by ``RULES``."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
