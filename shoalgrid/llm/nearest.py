@@ -20,6 +20,8 @@ from shoalgrid.llm.shared import staged, table
 
 #: The quantiser and the number of probes are fitted on at most so many rows.
 SAMPLE_ROWS = 20_000
+#: The quantiser has at most so many lists, a few sample rows for each; longer lists are split into blocks.
+MAX_LISTS = 4096
 
 
 def rotation(dim: int, seed: int = 23) -> np.ndarray:
@@ -70,6 +72,7 @@ def probes_needed(sample: np.ndarray, c: np.ndarray, k: int, recall: float, quer
 def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, rotate: np.ndarray, own: np.ndarray, columns: int = 16, slack: float = 2.5, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, row, distance)`` of each query's ``k`` nearest rows of a list, as its tests let them through.
 
+    Rows must come in the order of their ids: of rows at the same distance the first are kept.
     ``own`` marks pairs that must not meet. After ``d`` of ``D`` columns the partial distance,
     scaled by ``D / d``, is tested against ``(1 + slack / sqrt(d))**2`` times the k-th best so far.
     """
@@ -106,14 +109,10 @@ def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, rotate: np.ndarray, o
         new_d[i, slot], new_r[i, slot] = exact, j
         best_d, best_r = np.hstack([best_d, new_d]), np.hstack([best_r, new_r])
         if best_d.shape[1] > k:
-            order = np.argsort(best_d, axis=1, kind="stable")
-            # ties with the k-th stay, since smaller ids win them in the end
-            limit = np.take_along_axis(best_d, order[:, k - 1 : k], 1)
-            width = int(((best_d <= limit) & np.isfinite(best_d)).sum(axis=1).max())
-            order = order[:, : max(k, width)]
+            # rows come in the order of their ids, so among ties the stable sort keeps the smaller ids
+            order = np.argsort(best_d, axis=1, kind="stable")[:, :k]
             best_d, best_r = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_r, order, 1)
-            best_d[best_d > limit] = np.inf
-            bound = limit[:, 0]
+            bound = best_d[:, k - 1]
     i, s = np.nonzero(np.isfinite(best_d))
     return i, best_r[i, s], np.sqrt(best_d[i, s])
 
@@ -146,7 +145,7 @@ def nearest_neighbours(
     dim, n = shape["dim"], shape["n"]
     every = every.where(F.size("v") == dim)
     sample = np.array([r["v"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()])
-    c = centroids(sample, max(1, min(1024, int(np.sqrt(n) / 2), len(sample))))
+    c = centroids(sample, max(1, min(MAX_LISTS, int(np.sqrt(n) / 2), len(sample))))
     probes = probes_needed(sample, c, k, recall)
 
     def assign(n_lists: int, sizes: np.ndarray | None):
@@ -172,10 +171,10 @@ def nearest_neighbours(
         return df.mapInPandas(assign(n_lists, sizes), "vec_id long, v array<double>, list array<int>").withColumn("list", F.explode("list"))
 
     rows_in = staged(placed(every, 1), "lists")
-    held = {r["list"]: r["n"] for r in rows_in.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most 1024 rows
+    held = {r["list"]: r["n"] for r in rows_in.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS rows
     sizes = np.array([held.get(x, 0) for x in range(len(c))])
     asked = staged(placed(clean(queries).where(F.size("v") == dim), probes, sizes), "probes")
-    count = lambda df, size: {r["list"]: -(-r["n"] // size) for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # noqa: E731  at most 1024 rows
+    count = lambda df, size: {r["list"]: -(-r["n"] // size) for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # noqa: E731  at most MAX_LISTS rows
     of_rows, of_queries = count(rows_in, block_rows), count(asked, block_queries)
     met = [(x, of_rows[x], of_queries[x]) for x in of_rows if x in of_queries]
     if not met:
@@ -206,5 +205,6 @@ def nearest_neighbours(
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the 10 nearest of every row whose vec_id is divisible by 100, among all others."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_neighbours(rows, rows.where("vec_id % 100 = 0"))
