@@ -139,14 +139,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: fl
     by code point, null last, and take ``weights`` in turn; a source without words has the target
     0 and its documents no copies; an empty table gives an empty result. Documents without words
     get the whole part of their source's ratio. Rows with the same doc_id, source and size are
-    units of their own that share the hash and are told apart by nothing: reruns return the same
-    multiset. ``key`` names a further column of longs that is returned beside them, and by which rows
-    with a null id are hashed; without it null ids are hashed as one value. Only one row per source is brought to the driver
+    units of their own, hashed by their texts as well: reruns return the same
+    multiset. ``key`` names a further column of longs that is returned beside them and serves as that hash;
+    null ids are told apart by it alone, rows that are equal in all of this by nothing. Only one row per source is brought to the driver
     (more than ``max_sources`` raise an error); leaves hold about ``leaf_rows`` rows however
     large a source is, and each level of the tree divides the leaves by ``fan_in``.
     """
     spark = docs.sparkSession
-    base = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.col(key) if key else F.lit(NO_ID)).cast("long").alias("key")), "sizes")
+    base = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.col(key).cast("long") if key else F.xxhash64("text")).alias("key")), "sizes")
     found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -162,7 +162,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: fl
         base.join(F.broadcast(plan), base["source"].eqNullSafe(plan["name"]))
         .select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("unit"), "key", "place", "size", F.floor("ratio").cast("long").alias("base"), (F.col("ratio") - F.floor("ratio")).alias("part"))
     )
-    sized = units.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64(F.when(F.col("unit") == NO_ID, F.col("key")).otherwise(F.col("unit")), F.lit(seed)), F.lit(buckets)))
+    sized = units.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("unit", "key", F.lit(seed)), F.lit(buckets)))
     shape = "unit long, key long, place int, bucket long, size long, base long, part double, open boolean"
     level = 0
     most = int(limit)
@@ -205,5 +205,6 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` of every document: words the mix takes, repeats counted."""
     out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
