@@ -9,7 +9,8 @@ the count are verified by their cosine in double precision.
 
 Vectors of a label are dealt into blocks of bounded size and block pairs are compared in one task
 each: a block's projections are sorted once, windows become ranges of ranks, and counting is
-vectorised over ranks. A task returns, for each vector, its number of links and a spanning edge,
+vectorised over ranks. Equal vectors are one, with a
+multiplicity. A task returns, for each vector, its number of links and a spanning edge,
 never the pairs themselves.
 """
 
@@ -106,21 +107,24 @@ def near_vectors(
     empty table gives an empty result.
     """
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), (F.col(label) if label else F.lit(0)).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    good = staged(
+    known = staged(
         base.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("v"))
-        .withColumn("dim", F.size("v")).dropDuplicates(["vec_id", "label", "v"]).withColumn("v", F.col("v").cast("array<double>")), "vectors",
+        .withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # minus zero is zero
+        .withColumn("dim", F.size("v")).groupBy("label", "dim", "v", "vec_id").agg(F.count("*").alias("rows")), "vectors",
     )
+    # equal vectors are compared as one, under the smallest id; a row repeated under its id counts once
+    good = staged(known.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("m")), "distinct")
     sizes = good.groupBy("label", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     dealt = good.join(sizes, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "dim", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "vec_id", "v"
+        "label", "dim", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "vec_id", "m", "v"
     )
     stages = [(k, least_collisions(k, half_width, cosine, miss / 3)) for k in (12, 20, projections)]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["one"].iloc[0] == pdf["two"].iloc[0]
         first = (pdf["block"] == pdf["one"]).to_numpy()
-        ids, unit = pdf["vec_id"].to_numpy(np.int64), _unit(pdf["v"].tolist())
+        ids, many, unit = pdf["vec_id"].to_numpy(np.int64), pdf["m"].to_numpy(np.int64), _unit(pdf["v"].tolist())
         directions = np.random.default_rng(seed).standard_normal((unit.shape[1], projections))
         line = unit @ directions
         left, right = np.flatnonzero(first), np.flatnonzero(first if same else ~first)
@@ -134,16 +138,19 @@ def near_vectors(
                     x, y = left[i[at : at + (1 << 16)]], right[j[at : at + (1 << 16)]]
                     near = (np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine) & (ids[x] != ids[y])
                     x, y = x[near], y[near]
-                    np.add.at(links, x, 1)
-                    np.add.at(links, y, 1)
-                    for a, b in zip(x.tolist(), y.tolist()):
-                        forest.link(a, b)
+                    links += (np.bincount(x, many[y], len(ids)) + np.bincount(y, many[x], len(ids))).astype(np.int64)
+                    forest.link_many(x, y)
         at = np.flatnonzero(links)
         return pd.DataFrame({"vec_id": ids[at], "links": links[at], "root": ids[[forest.root(int(k)) for k in at]] if len(at) else np.empty(0, np.int64)})
 
     found = staged(pairs.groupBy("label", "dim", "one", "two").applyInPandas(compare, "vec_id long, links long, root long"), "links")
-    degrees = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    comps = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("vec_id"), "component")
+    firsts = good.select("label", "dim", "v", F.col("vec_id").alias("first"), "m")
+    # copies hang on the first of them, and have its links and each other
+    copies = staged(known.join(firsts, ["label", "dim", "v"]).select("vec_id", "first", "m"), "copies")
+    near = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
+    degrees = copies.join(near.withColumnRenamed("vec_id", "first"), "first", "left").groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    edges = found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).unionByName(copies.select(F.col("vec_id").alias("a"), F.col("first").alias("b")))
+    comps = connected_components(edges).select(F.col("node").alias("vec_id"), "component")
     out = base.select("vec_id").join(degrees, "vec_id", "left").join(comps, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     links = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
@@ -151,12 +158,25 @@ def near_vectors(
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every vector, compared within its label at a cosine of 0.93."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
-#: Compares every pair of a label outright: for the tests' small tables, not offered as the query's SQL.
-OP2_BRUTE_SQL = """
-WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL),
-k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93)
-SELECT a, count(*) AS n FROM k GROUP BY a
+OP2_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+k AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.93),
+c(vec_id, component_id) USING KEY (vec_id) AS (
+  SELECT DISTINCT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL
+  UNION
+  SELECT k.a, min(c.component_id) FROM c JOIN k ON k.b = c.vec_id JOIN recurring.c AS old ON old.vec_id = k.a
+  WHERE c.component_id < old.component_id GROUP BY k.a),
+d AS (SELECT a, count(*) AS n FROM k GROUP BY a)
+SELECT m.vec_id, CASE WHEN m.vec_id IS NOT NULL THEN coalesce(d.n, 0) END AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m LEFT JOIN c ON c.vec_id = m.vec_id LEFT JOIN d ON d.a = m.vec_id
 """

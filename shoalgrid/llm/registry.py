@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
 }
-SQL = {"op8_url_filter": url_filter.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+SQL = {"op2_embedding_near_dedup": embedding_dedup.OP2_SQL, "op8_url_filter": url_filter.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}

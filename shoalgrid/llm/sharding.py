@@ -182,5 +182,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, links: DataFrame | No
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` of every document in 24 shards, by the law ``rows``."""
     out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

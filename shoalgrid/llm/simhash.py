@@ -124,6 +124,17 @@ class Forest:
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
+    def link_many(self, x: np.ndarray, y: np.ndarray, step: int = 1 << 16) -> None:
+        """Link pairs; those that hang together already cost a look-up in an array, so a group of copies is no matter of its pairs."""
+        for at in range(0, len(x), step):
+            up = np.array(self.up)
+            while not np.array_equal(up, up[up]):
+                up = up[up]
+            a, b = up[x[at : at + step]], up[y[at : at + step]]
+            differ = a != b
+            for p, q in np.unique(np.column_stack([a[differ], b[differ]]), axis=0).tolist():
+                self.link(p, q)
+
     def edges(self) -> list[tuple[int, int]]:
         return [(x, r) for x in range(len(self.up)) if (r := self.root(x)) != x]
 
@@ -167,8 +178,7 @@ def fingerprint_links(fps: DataFrame, radius: int, words: int = 1, first_radius:
         a, b = fp[0], fp[-1]
         forest = Forest(len(a) if same else len(a) + len(b))
         for i, j in tile_hits(a, b, radius, first_radius, same):
-            for x, y in zip(i.tolist(), (j if same else j + len(a)).tolist()):
-                forest.link(x, y)
+            forest.link_many(i, j if same else j + len(a))
         ids = node[0] if same else np.concatenate(node)
         e = forest.edges()
         return pd.DataFrame({"a": ids[[x for x, _ in e]] if e else np.empty(0, np.int64), "b": ids[[y for _, y in e]] if e else np.empty(0, np.int64)})
@@ -203,6 +213,7 @@ def simhash_groups(docs: DataFrame, width: int = 5, radius: int = 46, words: int
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every document: four-word shingles, 64 bits, links at 4 bits or fewer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash_groups(docs, width=4, radius=4, words=1, first_radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
@@ -276,8 +287,7 @@ def _alike_edges(rows: DataFrame) -> DataFrame:
                 forest.link(first.setdefault(x, k), k)
             if len(node) > 1 and len(first) > 1:
                 for i, j in alike([np.frombuffer(x, "<u8") for x in part["bits"]]):
-                    for x, y in zip(i.tolist(), j.tolist()):
-                        forest.link(x, y)
+                    forest.link_many(i, j)
             for x, y in forest.edges():
                 a.append(node[x])
                 b.append(node[y])
