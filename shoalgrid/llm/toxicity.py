@@ -191,14 +191,16 @@ def _sparse(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def triples(strings: list[bytes]) -> np.ndarray:
     """The explicit feature map of the first window of each string of letter codes, one dense row each."""
     row, at, w = _sparse(strings)
-    return np.bincount(row * A**3 + at, w, len(strings) * A**3).reshape(-1, A**3).astype(np.float32)
+    out = np.zeros((len(strings), A**3), np.float32)
+    np.add.at(out, (row, at), w)
+    return out
 
 
 def kernel(strings: list[bytes], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values of strings of letter codes against the dense landmark rows."""
     turned, out = np.ascontiguousarray(landmarks.T), []
-    for k in range(0, len(strings), 512):
-        part = strings[k : k + 512]
+    for k in range(0, len(strings), 128):
+        part = strings[k : k + 128]
         row, at, w = _sparse(part)
         order = np.argsort(row, kind="stable")
         row, values = row[order], turned[at[order]] * w[order, None].astype(np.float32)
@@ -257,30 +259,39 @@ class Sentences:
 
     @classmethod
     def of(cls, sample: list[tuple[str, int]]) -> Sentences:
-        text, codes, sizes, holders = [], [], [], []
-        for k, (t, _) in enumerate(sample):
-            parts = [x for x in _SENTENCE.split(t) if x.strip()]
+        # texts are read in runs, so that only words and their places are held, not all letters at once
+        seen: dict[bytes, int] = {}
+        text, held = [], [np.empty(0, np.int64)]
+        for at in range(0, len(sample), 256):
+            parts = []
+            for k in range(at, min(at + 256, len(sample))):
+                own = [x for x in _SENTENCE.split(sample[k][0]) if x.strip()]
+                text += [k] * len(own)
+                parts += own
+            first = len(text) - len(parts)
             for raw, owner in _pieces(parts):
                 code, starts, of = _letters(np.frombuffer(raw, np.uint8), owner)
-                codes.append(code.astype(np.uint8))
-                sizes.append(np.diff(np.append(starts, len(code))))
-                holders.append(of + len(text))
-            text += [k] * len(parts)
-        size = np.concatenate(sizes) if sizes else np.empty(0, int)
-        edge = np.r_[0, np.cumsum(size)].astype(np.int32)
-        found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edge), pa.py_buffer(np.concatenate(codes) if codes else b"")]).dictionary_encode()
-        words = found.dictionary.to_pylist()
-        held = np.unique(np.concatenate(holders).astype(np.int64) * max(1, len(words)) + found.indices.to_numpy()) if len(size) else np.empty(0, np.int64)
-        return cls(
-            words, *_joined(words), held % max(1, len(words)), held // max(1, len(words)),
-            np.array(text, np.int64), np.array([y for _, y in sample], int),
-        )
+                edge = np.append(starts, len(code)).astype(np.int32)
+                cut = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edge), pa.py_buffer(code.astype(np.uint8))]).dictionary_encode()
+                place = np.array([seen.setdefault(w, len(seen)) for w in cut.dictionary.to_pylist()], np.int64)
+                held.append(np.unique((of + np.int64(first)) << 32 | place[cut.indices.to_numpy()]) if len(starts) else held[0])
+        pairs = np.unique(np.concatenate(held))
+        words = list(seen)
+        return cls(words, *_joined(words), (pairs & 0xFFFFFFFF).astype(np.int32), (pairs >> 32).astype(np.int32), np.array(text, np.int32), np.array([y for _, y in sample], int))
+
+    def values(self, weight: np.ndarray) -> np.ndarray:
+        """The strongest window of each word, worked out for some words at a time."""
+        out, bounds = [], np.append(self.starts, len(self.code))
+        for k in range(0, len(self.words), 1 << 15):
+            first, last = bounds[k], bounds[min(k + (1 << 15), len(self.words))]
+            out.append(_windows(self.code[first:last], self.starts[k : k + (1 << 15)] - first, weight))
+        return np.concatenate(out)
 
     def texts_with(self, label: int) -> np.ndarray:
         """The number of texts of a label that hold each word."""
         texts = self.text[self.sentence]
-        pairs = np.unique(texts * len(self.words) + self.word)
-        return np.bincount(pairs[self.label[pairs // len(self.words)] == label] % len(self.words), minlength=len(self.words))
+        pairs = np.unique(texts[self.label[texts] == label].astype(np.int64) << 32 | self.word[self.label[texts] == label])
+        return np.bincount(pairs & 0xFFFFFFFF, minlength=len(self.words))
 
     def witnesses(self, value: np.ndarray, least: float) -> np.ndarray:
         """How often each word stands for a positive sentence, by words' values.
@@ -396,8 +407,8 @@ def fit_toxicity(sample: list[tuple[str, int]], totals: dict[int, int] | None =
         w1, w0 = in_pos[pos].astype(float), np.sqrt(in_neg[neg])
         share = np.r_[w1 / (2 * w1.sum()), np.repeat(w1, ALTERED) / (2 * ALTERED * w1.sum()), w0 / max(1e-9, w0.sum()), 0.5] * len(neg)
         w = _machine(x, y, share, RIDGE)
-        weight, bias = (z.T.astype(float) @ (root @ w[:-1])).astype(np.float32), float(w[-1])
-        value, least = _windows(told.code, told.starts, weight) + bias, 0.0
+        weight, bias = (root @ w[:-1]).astype(np.float32) @ z, float(w[-1])
+        value, least = told.values(weight) + bias, 0.0
         hard = np.unique(np.r_[hard, clean[np.argsort(-value[clean], kind="stable")[:500]]])
     model = ToxicityModel(weight, bias, np.ones(TOP), 0.0)
     kept = np.flatnonzero(apart) if apart.any() else np.arange(len(sample))
