@@ -45,10 +45,7 @@ def save(cells: DataFrame, value: str, meta: rasters.Meta, path: str, dtype: str
 
 def model(cells: DataFrame, s, entries, broad: tuple[int, int], fine: tuple[int, int]) -> DataFrame:
     """All six layers: both position indices, both standardised, slope and class."""
-    out = t.position_index(cells, s, *broad, out="broad_bpi")
-    out = t.position_index(out, s, *fine, out="fine_bpi")
-    out = t.slope(t.standardise_all(out, {"broad_bpi": "broad", "fine_bpi": "fine"}), s)
-    return cl.classify(out, entries)
+    return cl.classify(t.habitat_layers(cells, s, broad, fine), entries)
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> int:

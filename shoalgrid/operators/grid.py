@@ -4,7 +4,7 @@ Missing cells are NULL, never NaN. Four primitives cover every stencil:
 
 * ``ring``      the 3x3 letters a..i, from two lag/lead windows;
 * ``box``       sums over an n x n square, separably: two windows, whatever the size;
-* ``runs``      sums over an annulus or disc, as horizontal runs: two windows;
+* ``stencils``  sums over annuli or discs, as horizontal runs, and the letters beside them: two windows for all;
 * ``scatter``   any footprint and any aggregate: each cell is sent to the cells that see it.
 
 Windows are partitioned by row or by column, so no task holds more than a line of the raster.
@@ -128,37 +128,71 @@ def disc(radius: int) -> list[tuple[int, int]]:
 
 
 def runs(cells: DataFrame, shape: Shape, inner: int, outer: int, value: str, mode: str = "symmetric") -> DataFrame:
-    """Add ``total`` and ``n`` of the values in the annulus, from sums over horizontal runs.
+    """Add ``total`` and ``n`` of the values in the annulus, from sums over horizontal runs."""
+    done = stencils(cells, shape, value, {"_only": (inner, outer)}, mode)
+    return done.withColumnsRenamed({"total_only": "total", "n_only": "n"})
+
+
+#: Runs up to so many cells wide are frames of a window; wider ones are differences of running sums.
+WIDE_RUN = 33
+
+
+def stencils(cells: DataFrame, shape: Shape, value: str, annuli: dict[str, tuple[int, int]], mode: str = "symmetric", letters: str | None = None) -> DataFrame:
+    """Add ``total{name}`` and ``n{name}`` for each annulus, and the 3 x 3 letters by the edge rule ``letters``, all in one pass.
 
     A row at distance ``y`` contributes the cells up to ``w(y)`` on either side, less those up to
-    the inner circle's; each distinct width is one frame of one window along rows, and rows are
-    then added up by one window along columns.
+    the inner circle's. The distinct widths of all annuli are columns of one window along rows, and rows are
+    then added up by one window along columns, so however many stencils there are, the raster is shuffled twice.
+    Letters are as ``ring`` gives them, for the rules ``reflect`` and ``clamp``.
     """
-    width = {y: isqrt(outer * outer - y * y) for y in range(outer + 1)}
-    hole = {y: isqrt(inner * inner - 1 - y * y) for y in range(outer + 1) if inner * inner - 1 - y * y >= 0}
-    widths = sorted({*width.values(), *hole.values()})
-    wide = _ghosts(_ghosts(cells, "c", shape.cols, outer, outer, mode), "r", shape.rows, outer, outer, mode)
+    if letters not in (None, "reflect", "clamp"):
+        raise ValueError(f"letters by {letters!r}")
+    far = max(outer for _, outer in annuli.values())
+    width = {k: {y: isqrt(outer * outer - y * y) for y in range(outer + 1)} for k, (_, outer) in annuli.items()}
+    hole = {k: {y: isqrt(inner * inner - 1 - y * y) for y in range(outer + 1) if inner * inner - 1 - y * y >= 0} for k, (inner, outer) in annuli.items()}
+    widths = sorted({w for d in (*width.values(), *hole.values()) for w in d.values()})
+    wide = _ghosts(_ghosts(cells, "c", shape.cols, far, far, mode), "r", shape.rows, far, far, mode)
     along, down = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    spans = {w: along.rowsBetween(-w, w) for w in widths}
-    sums = {f"_t{w}": F.coalesce(F.sum(value).over(s), F.lit(0.0)) for w, s in spans.items()} | {f"_n{w}": F.count(value).over(s) for w, s in spans.items()}
+    sums: dict[str, Column] = {}
+    if any(2 * w + 1 > WIDE_RUN for w in widths):
+        wide = wide.withColumns({"_run_t": F.sum(F.coalesce(value, F.lit(0.0))).over(along), "_run_n": F.count(value).over(along)})
+    for w in widths:
+        if 2 * w + 1 <= WIDE_RUN:
+            span = along.rowsBetween(-w, w)
+            sums |= {f"_t{w}": F.coalesce(F.sum(value).over(span), F.lit(0.0)), f"_n{w}": F.count(value).over(span)}
+        else:
+            sums |= {f"_{k}{w}": F.last(f"_run_{k}").over(along.rowsBetween(0, w)) - F.coalesce(F.lag(f"_run_{k}", w + 1).over(along), F.lit(0)) for k in "tn"}
+
+    def beside(x: Column, axis: str, size: int, w, step: int) -> Column:
+        edge = x if letters == "clamp" or size == 1 else F.lag(x, step).over(w)
+        return F.when(F.col(axis) == (0 if step < 0 else size - 1), edge).otherwise(F.lag(x, -step).over(w))
+
+    if letters:
+        v = F.col(value)
+        sums["_line"] = F.struct(beside(v, "c", shape.cols, along, -1).alias("l"), v.alias("m"), beside(v, "c", shape.cols, along, 1).alias("r"))
     wide = wide.withColumns(sums)  # one projection: each is analysed as a whole
     wide = wide.where(F.col("c").between(0, shape.cols - 1))
 
-    def row_sum(kind: str, y: int) -> Column:
-        s = F.col(f"_{kind}{width[abs(y)]}")
-        return s - F.col(f"_{kind}{hole[abs(y)]}") if abs(y) in hole else s
-
-    def added(kind: str) -> Column:
+    def added(name: str, kind: str) -> Column:
         out = None
+        outer = annuli[name][1]
         for y in range(-outer, outer + 1):
-            s = row_sum(kind, y)
-            s = s if y == 0 else F.lag(s, -y).over(down) if y < 0 else F.lead(s, y).over(down)
-            s = F.coalesce(s, F.lit(0))
+            s = F.col(f"_{kind}{width[name][abs(y)]}")
+            s = s - F.col(f"_{kind}{hole[name][abs(y)]}") if abs(y) in hole[name] else s
+            s = F.coalesce(s if y == 0 else F.lag(s, -y).over(down), F.lit(0))
             out = s if out is None else out + s
         return out
 
-    done = wide.withColumns({"total": added("t"), "n": added("n")}).where(F.col("r").between(0, shape.rows - 1))
-    return done.select(*cells.columns, F.when(F.col("n") > 0, F.col("total")).alias("total"), F.col("n").cast("long").alias("n"))
+    found = {f"{kind}{k}": added(k, kind[0]) for k in annuli for kind in ("total", "n")}
+    if letters:
+        line = F.col("_line")
+        found |= {"_up": beside(line, "r", shape.rows, down, -1), "_down": beside(line, "r", shape.rows, down, 1)}
+    done = wide.withColumns(found).where(F.col("r").between(0, shape.rows - 1))
+    names = {"_" + k: x for k, x in zip("abcdefghi", [f"{s}.{k}" for s in ("_up", "_line", "_down") for k in "lmr"])} if letters else {}
+    return done.select(
+        *cells.columns, *[x for k in annuli for x in (F.when(F.col(f"n{k}") > 0, F.col(f"total{k}")).alias(f"total{k}"), F.col(f"n{k}").cast("long").alias(f"n{k}"))],
+        *[F.col(x).alias(k) for k, x in names.items()],
+    )
 
 
 def scatter(cells: DataFrame, shape: Shape, offsets: Iterable[tuple[int, int]], value: str, aggs: dict[str, Column], mode: str = "symmetric") -> DataFrame:

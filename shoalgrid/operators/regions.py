@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.functions.staging import cut
 from shoalgrid.operators import grid as g
 from shoalgrid.operators import terrain as t
 from shoalgrid.operators.grid import Shape
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoalgrid-"))
-    return df.checkpoint()
-
-
 def connected(cells: DataFrame, shape: Shape, value: str, out: str = "region", max_rounds: int = 200) -> DataFrame:
     """Number of each cell's region: the smallest cell number among four-connected cells of its value.
 
@@ -37,7 +28,7 @@ def connected(cells: DataFrame, shape: Shape, value: str, out: str = "region", m
 
     total = None
     for _ in range(max_rounds):
-        now = _cut(spread(spread(now, "r", "c"), "c", "r"))
+        now = cut(spread(spread(now, "r", "c"), "c", "r"))
         was, total = total, now.agg(F.sum(F.col(out).cast("decimal(38,0)"))).first()[0]
         if was == total:
             return now

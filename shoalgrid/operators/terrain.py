@@ -11,20 +11,37 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.functions.staging import cut
 from shoalgrid.operators import grid as g
 from shoalgrid.operators.grid import Shape
 
-SCATTER_CELLS = 0  # footprints up to so many cells are scattered; larger ones are summed by runs
-
-
 def position_index(cells: DataFrame, shape: Shape, inner: int, outer: int, value: str = "z", out: str = "bpi", legacy_round: bool = False) -> DataFrame:
     """Cell minus the mean of its annulus, as an integer; NULL where either is missing."""
-    if inner < 0 or outer <= inner:
-        raise ValueError(f"radii {inner}, {outer}: the outer must exceed the inner")
-    seen = g.runs(cells, shape, inner, outer, value)
-    d = F.col(value) - F.col("total") / F.col("n")
-    rounded = (d + 0.5).cast("int") if legacy_round else F.rint(d).cast("int")
-    return seen.withColumn(out, F.when(F.col("n") > 0, rounded)).drop("total", "n")
+    return position_indices(cells, shape, {out: (inner, outer)}, value, legacy_round)
+
+
+def position_indices(cells: DataFrame, shape: Shape, annuli: dict[str, tuple[int, int]], value: str = "z", legacy_round: bool = False, slope: str | None = None) -> DataFrame:
+    """The same for several annuli (by the name of their column), and the slope if a column is named, in one pass over the raster."""
+    for inner, outer in annuli.values():
+        if inner < 0 or outer <= inner:
+            raise ValueError(f"radii {inner}, {outer}: the outer must exceed the inner")
+    seen = g.stencils(cells, shape, value, {f"_{k}": a for k, a in annuli.items()}, letters="reflect" if slope else None)
+    out = {}
+    for k in annuli:
+        d = F.col(value) - F.col(f"total_{k}") / F.col(f"n_{k}")
+        out[k] = F.when(F.col(f"n_{k}") > 0, (d + 0.5).cast("int") if legacy_round else F.rint(d).cast("int"))
+    if slope:
+        out[slope] = _slope_of(shape)
+    return seen.select(*cells.columns, *[x.alias(k) for k, x in out.items()])
+
+
+def habitat_layers(cells: DataFrame, shape: Shape, broad: tuple[int, int] = (1, 5), fine: tuple[int, int] = (1, 3), value: str = "z") -> DataFrame:
+    """``broad_bpi, fine_bpi, slope`` and the standardised ``broad, fine``: what the class dictionaries judge.
+
+    The first three are one pass, written once, as both their statistics and the result are read from it.
+    """
+    layers = cut(position_indices(cells, shape, {"broad_bpi": broad, "fine_bpi": fine}, value, slope="slope"))
+    return standardise_all(layers, {"broad_bpi": "broad", "fine_bpi": "fine"})
 
 
 def _horn(cell: float) -> tuple[Column, Column]:
@@ -34,9 +51,12 @@ def _horn(cell: float) -> tuple[Column, Column]:
 
 def slope(cells: DataFrame, shape: Shape, value: str = "z", out: str = "slope", mode: str = "reflect") -> DataFrame:
     """Slope in degrees from the eight neighbours; a cell next to a missing one is missing."""
+    return g.ring(cells, value, mode).withColumn(out, _slope_of(shape)).select(*cells.columns, out)
+
+
+def _slope_of(shape: Shape) -> Column:
     dx, dy = _horn(shape.cell)
-    s = F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
-    return g.ring(cells, value, mode).withColumn(out, F.when(F.col("_e").isNotNull(), s)).select(*cells.columns, out)
+    return F.when(F.col("_e").isNotNull(), F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))))
 
 
 def ruggedness(cells: DataFrame, shape: Shape, n: int = 3, value: str = "z", out: str = "vrm") -> DataFrame:
@@ -64,32 +84,34 @@ def ruggedness(cells: DataFrame, shape: Shape, n: int = 3, value: str = "z", out
     return b.withColumn(out, F.when(there, F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))).select(*cells.columns, out)
 
 
-def surface_ratio(cells: DataFrame, shape: Shape, value: str = "z", out: str = "surface_ratio", corrected: bool = False, area: str | None = None) -> DataFrame:
+def surface_ratio(cells: DataFrame, shape: Shape, value: str = "z", out: str = "surface_ratio", corrected: bool = False, area: str | None = None, also_corrected: str | None = None) -> DataFrame:
     """Area of the eight triangles around a cell's centre over the planar cell.
 
     ``corrected`` divides by the cell projected along its slope; ``area`` names a further column
-    for the surface area itself.
+    for the surface area itself, ``also_corrected`` one for the corrected ratio beside the plain one.
+    Each edge is shared by two triangles and worked out once.
     """
-    s, e = shape.cell, F.col("_e")
-
-    def edge(p: Column, q: Column, d: float) -> Column:
-        return F.sqrt((p - q) ** 2 + d * d) / 2
-
-    def triangle(corner: str, side: str) -> Column:
-        x, y, z = edge(e, F.col("_" + corner), sqrt(2) * s), edge(e, F.col("_" + side), s), edge(F.col("_" + corner), F.col("_" + side), s)
-        h = (x + y + z) / 2
-        return F.sqrt(F.greatest(h * (h - x) * (h - y) * (h - z), F.lit(0.0)))
-
-    pairs = ["ab", "cb", "cf", "if", "ih", "gh", "gd", "ad"]
-    whole = F.lit(1.0)
+    s, centre = shape.cell, F.col("_e")
+    corners, sides = "acgi", "bdfh"
+    near = {frozenset(p): p for p in ("ab", "cb", "cf", "if", "ih", "gh", "gd", "ad")}
+    half = lambda p, q, d: F.sqrt((p - q) * (p - q) + d * d) / 2
+    edges = {f"_e{k}": half(centre, F.col("_" + k), sqrt(2) * s if k in corners else s) for k in corners + sides}
+    edges |= {f"_e{p}": half(F.col("_" + p[0]), F.col("_" + p[1]), s) for p in near.values()}
+    halves = {f"_h{p}": (F.col(f"_e{p[0]}") + F.col(f"_e{p[1]}") + F.col(f"_e{p}")) / 2 for p in near.values()}
+
+    def triangle(p: str) -> Column:
+        h = F.col(f"_h{p}")
+        return F.sqrt(F.greatest(h * (h - F.col(f"_e{p[0]}")) * (h - F.col(f"_e{p[1]}")) * (h - F.col(f"_e{p}")), F.lit(0.0)))
+
+    there = F.lit(True)
     for k in "abcdefghi":
-        whole = whole + F.col("_" + k) * 0  # missing if any of the nine is
-    total = sum((triangle(*p) for p in pairs[1:]), triangle(*pairs[0]))
-    work = g.ring(cells, value, "clamp").withColumn("_area", F.when(whole.isNotNull(), total))
+        there = there & F.col("_" + k).isNotNull()
+    first, *rest = map(triangle, near.values())
+    work = g.ring(cells, value, "clamp").withColumns(edges).withColumns(halves).withColumn("_area", F.when(there, sum(rest, first)))
     dx, dy = _horn(s)
-    plane = F.lit(s * s) / F.cos(F.atan(F.sqrt(dx * dx + dy * dy))) if corrected else F.lit(s * s)
-    work = work.withColumn(out, F.col("_area") / plane)
-    return work.select(*cells.columns, out, *([F.col("_area").alias(area)] if area else []))
+    flat, tilted = F.lit(s * s), F.lit(s * s) / F.cos(F.atan(F.sqrt(dx * dx + dy * dy)))
+    found = {out: F.col("_area") / (tilted if corrected else flat)} | ({also_corrected: F.col("_area") / tilted} if also_corrected else {}) | ({area: F.col("_area")} if area else {})
+    return work.select(*cells.columns, *[x.alias(k) for k, x in found.items()])
 
 
 def statistical_aspect(cells: DataFrame, shape: Shape, value: str = "z", mode: str = "reflect") -> DataFrame:

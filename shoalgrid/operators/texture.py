@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgrid.operators.grid import Shape
@@ -22,46 +26,57 @@ def patches(points: DataFrame, cells: DataFrame, shape: Shape, half: int, value:
     return sent.join(cells.select("r", "c", F.col(value).alias("v")), ["r", "c"], "left")
 
 
-def glcm(points: DataFrame, cells: DataFrame, shape: Shape, half: int, levels: int = 32, value: str = "z", id_: str = "id") -> DataFrame:
+def glcm(points: DataFrame, cells: DataFrame, shape: Shape, half: int, levels: int = 32, value: str = "z", id_: str = "id", least: int = 1) -> DataFrame:
     """``(id, contrast, dissimilarity, homogeneity, energy, correlation)`` of each point's patch.
 
     Grey levels spread over the patch's own range; missing cells take its median; pairs at
     distance one count both ways; properties are averaged over four directions. A patch of one
-    value has contrast 0, homogeneity, energy and correlation 1; one without values is left out.
+    value has contrast 0, homogeneity, energy and correlation 1; one with fewer than ``least`` values is left out.
+    A point's patch is one row, and patches of one size are worked on together, in arrays.
     """
     rows = patches(points, cells, shape, half, value, id_)
-    m = rows.groupBy("id").agg(F.median("v").alias("_med"), F.min("v").alias("_lo"), F.max("v").alias("_hi")).where("_med is not null")
-    span = F.col("_hi") - F.col("_lo")
-    grey = F.when(span == 0, 0).otherwise(F.floor((F.coalesce("v", "_med") - F.col("_lo")) / span * (levels - 1))).cast("int")
-    flat = rows.join(m, "id").withColumn("g", grey)
-    patch = flat.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r", "c", "g"))).alias("p"), F.min("r").alias("r0"), F.min("c").alias("c0"), F.max("r").alias("r1"), F.max("c").alias("c1"))
-    wide = F.col("c1") - F.col("c0") + 1
-
-    def partner(y: int, x: int) -> Column:
-        def one(k: Column) -> Column:
-            r, c = k["r"] + y, k["c"] + x
-            inside = r.between(F.col("r0"), F.col("r1")) & c.between(F.col("c0"), F.col("c1"))
-            at = ((r - F.col("r0")) * wide + (c - F.col("c0")) + 1).cast("int")
-            return F.struct(k["g"].alias("i"), F.when(inside, F.try_element_at("p", at)["g"]).alias("j"))
-
-        return F.filter(F.transform("p", one), lambda q: q["j"].isNotNull())
-
-    pairs = None
-    for angle, (y, x) in DIRECTIONS.items():
-        some = patch.select("id", F.lit(angle).alias("angle"), F.explode(partner(y, x)).alias("q"))
-        pairs = some if pairs is None else pairs.unionByName(some)
-    both = pairs.select("id", "angle", F.explode(F.array(F.struct(F.col("q.i").alias("i"), F.col("q.j").alias("j")), F.struct(F.col("q.j").alias("i"), F.col("q.i").alias("j")))).alias("q"))
-    n = both.groupBy("id", "angle", F.col("q.i").alias("i"), F.col("q.j").alias("j")).agg(F.count("*").alias("n"))
-    i, j, w = F.col("i").cast("double"), F.col("j").cast("double"), F.col("n").cast("double")
-    d = n.groupBy("id", "angle").agg(
-        F.sum(w).alias("t"), F.sum(w * (i - j) ** 2).alias("con"), F.sum(w * F.abs(i - j)).alias("dis"), F.sum(w / (1 + (i - j) ** 2)).alias("hom"),
-        F.sum(w * w).alias("sq"), F.sum(w * i).alias("si"), F.sum(w * i * i).alias("sii"), F.sum(w * i * j).alias("sij"),
-    )
-    t = F.col("t")
-    var = F.col("sii") / t - (F.col("si") / t) ** 2
-    per = d.select("id", (F.col("con") / t).alias("con"), (F.col("dis") / t).alias("dis"), (F.col("hom") / t).alias("hom"), (F.sqrt("sq") / t).alias("ene"),
-                   F.when(var < 1e-15, 1.0).otherwise((F.col("sij") / t - (F.col("si") / t) ** 2) / var).alias("cor"))
-    return per.groupBy("id").agg(F.avg("con").alias("contrast"), F.avg("dis").alias("dissimilarity"), F.avg("hom").alias("homogeneity"), F.avg("ene").alias("energy"), F.avg("cor").alias("correlation"))
+    patch = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("r", "c", "v"))).alias("p"), F.countDistinct("r").alias("tall"), F.count("v").alias("seen")).where(F.col("seen") >= least)
+    names = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            size = pdf["v"].map(len)
+            for _, same in pdf.groupby([pdf["tall"], size]):
+                v = np.array([np.asarray(x, float) for x in same["v"]]).reshape(len(same), int(same["tall"].iloc[0]), -1)
+                yield pd.DataFrame({"id": same["id"].to_numpy(), **dict(zip(names, texture_of(v, levels)))})
+
+    kind = dict(rows.dtypes)["id"]
+    return patch.select("id", "tall", F.col("p.v").alias("v")).mapInPandas(run, f"id {kind}, " + ", ".join(f"{k} double" for k in names))
+
+
+def texture_of(v: np.ndarray, levels: int) -> list[np.ndarray]:
+    """The five properties of each of several patches of one size; missing cells are NaN."""
+    n = len(v)
+    flat = v.reshape(n, -1)
+    lo, hi, mid = np.nanmin(flat, axis=1), np.nanmax(flat, axis=1), np.nanmedian(flat, axis=1)
+    span = (hi - lo)[:, None, None]
+    filled = np.where(np.isnan(v), mid[:, None, None], v)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        grey = np.where(span == 0, 0, np.floor((filled - lo[:, None, None]) / span * (levels - 1))).astype(np.int64)
+    found = []
+    for y, x in DIRECTIONS.values():
+        one = grey[:, max(0, -y) : grey.shape[1] - max(0, y), max(0, -x) : grey.shape[2] - max(0, x)].reshape(n, -1)
+        two = grey[:, max(0, y) : grey.shape[1] + min(0, y), max(0, x) : grey.shape[2] + min(0, x)].reshape(n, -1)
+        if not one.shape[1]:
+            continue
+        i, j = np.hstack([one, two]), np.hstack([two, one])
+        d = (i - j).astype(float)
+        code = np.sort(i * levels + j, axis=1)
+        at = np.broadcast_to(np.arange(code.shape[1]), code.shape)
+        new = np.hstack([np.ones((n, 1), bool), code[:, 1:] != code[:, :-1]])
+        start = np.maximum.accumulate(np.where(new, at, 0), axis=1)
+        seen = (at - start + 1).astype(float)  # the k-th of its kind: sums of 2 k - 1 are squares of the kinds' numbers
+        mean = i.mean(axis=1)
+        var = (i * i).mean(axis=1) - mean**2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cor = np.where(var < 1e-15, 1.0, ((i * j).mean(axis=1) - mean**2) / var)
+        found.append([(d * d).mean(axis=1), np.abs(d).mean(axis=1), (1 / (1 + d * d)).mean(axis=1), np.sqrt((2 * seen - 1).sum(axis=1)) / code.shape[1], cor])
+    return [np.mean([f[k] for f in found], axis=0) if found else np.full(n, np.nan) for k in range(5)]
 
 
 def patch_stats(points: DataFrame, cells: DataFrame, shape: Shape, half: int, value: str = "z", id_: str = "id") -> DataFrame:

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.functions.staging import cut
 from shoalgrid.operators.grid import Shape
 
 
-def population_skew(x: Column | str) -> Column:
-    return F.skewness(x)
-
-
 def zonal_stats(cells: DataFrame, zone: str, values: list[str]) -> DataFrame:
     """Count, and mean, deviation and skew (population) of each value, by zone.
 
@@ -83,13 +80,14 @@ def nearest(points: DataFrame, others: DataFrame, k: int, bucket: float, id_: st
         if not with_self:
             pairs = pairs.where("id != other")
         best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "d", "rank")
+        best = cut(best)  # read three times
         last = size > farthest
         full = best.where((F.col("rank") == k) & (F.col("d") <= (float("inf") if last else size))).select("id")
         found = best if last else best.join(full, "id", "left_semi")
         done = found if done is None else done.unionByName(found)
         if last:
             return done
-        left = left.join(full, "id", "left_anti")
+        left = cut(left.join(full, "id", "left_anti"))
         if not left.limit(1).count():
             return done
         size *= 2

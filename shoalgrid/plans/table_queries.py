@@ -14,12 +14,13 @@ from shoalgrid.operators import terrain as t
 from shoalgrid.operators import texture as tx
 from shoalgrid.operators import zonal as zn
 from shoalgrid.plans import views
-from shoalgrid.plans.terrain_queries import AREA, BASE, SLOPE, around, bpi_sql, horn, offsets, ring3, rounded, std_sql, surface_planar_ratio  # noqa: F401
+from shoalgrid.plans.terrain_queries import AREA, BASE, SLOPE, around, bpi_sql, horn, offsets, ring3, rounded, std_sql, vrm_sql
 from shoalgrid.plans.views import BOTH_SQL, POINTS_SQL, SIZE_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 TABLES = f"WITH {BOTH_SQL}, {SIZE_SQL}, {POINTS_SQL}"
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE")
 
 
 def query(sql: str | None = None):
@@ -56,19 +57,19 @@ def sample_clipped(spark, sf_dir):  # J5 T8
 
 
 EXPORT_SQL = (
-    f"{BASE}, {views.POINTS_SQL}, {bpi_sql(1, 5, 'b5')}, {bpi_sql(1, 3, 'b3')}, {std_sql('b5', 's5')}, {std_sql('b3', 's3')}, {ring3('reflect')} "
-    f"SELECT p.id, b5.bpi AS terrain_broad_bpi, b3.bpi AS terrain_fine_bpi, s5.std AS terrain_broad_std, s3.std AS terrain_fine_std, round({SLOPE}, 6) AS terrain_slope, "
-    "round(sqrt(s5.std * s5.std + s3.std * s3.std), 6) AS terrain_bpi_magnitude, s5.std * s3.std AS terrain_broad_x_fine_std FROM p LEFT JOIN b5 ON b5.r = floor(-p.y) AND b5.c = floor(p.x) "
-    f"LEFT JOIN b3 ON b3.r = b5.r AND b3.c = b5.c LEFT JOIN s5 ON s5.r = b5.r AND s5.c = b5.c LEFT JOIN s3 ON s3.r = b5.r AND s3.c = b5.c LEFT JOIN {horn('ring')} ON q.r = b5.r AND q.c = b5.c"
+    f"{BASE}, {views.POINTS_SQL}, {bpi_sql(1, 5, 'b5')}, {bpi_sql(1, 3, 'b3')}, {std_sql('b5', 's5')}, {std_sql('b3', 's3')}, {ring3('reflect')}, {ring3('clamp', name='rc')}, "
+    f"vr AS ({vrm_sql(3, 'ring')}), sr AS (SELECT r, c, {AREA} AS ratio FROM rc) "
+    f"SELECT p.id, b5.bpi AS terrain_broad_bpi, b3.bpi AS terrain_fine_bpi, s5.std AS terrain_broad_std, s3.std AS terrain_fine_std, round({SLOPE}, 6) AS terrain_slope, round(vr.vrm, 6) AS terrain_vrm, round(sr.ratio, 6) AS terrain_surface_ratio, "
+    "round(sqrt(s5.std * s5.std + s3.std * s3.std), 6) AS terrain_bpi_magnitude, s5.std * s3.std AS terrain_broad_x_fine_std, round(vr.vrm + (sr.ratio - 1), 6) AS terrain_rough_total FROM p LEFT JOIN b5 ON b5.r = floor(-p.y) AND b5.c = floor(p.x) "
+    f"LEFT JOIN b3 ON b3.r = b5.r AND b3.c = b5.c LEFT JOIN s5 ON s5.r = b5.r AND s5.c = b5.c LEFT JOIN s3 ON s3.r = b5.r AND s3.c = b5.c LEFT JOIN {horn('ring')} ON q.r = b5.r AND q.c = b5.c "
+    "LEFT JOIN vr ON vr.r = b5.r AND vr.c = b5.c LEFT JOIN sr ON sr.r = b5.r AND sr.c = b5.c"
 )
 
 
 def export_features(points: DataFrame, cells: DataFrame, s, t_: sp.Affine = sp.Affine(), prefix: str = "terrain_", broad: tuple[int, int] = (1, 5), fine: tuple[int, int] = (1, 3), vrm: int = 3, texture: int | None = None, eco: bool = False, scales: tuple[int, ...] = (), value: str = "z") -> DataFrame:  # noqa: B008
     """Derivatives of the raster at the points, and their interactions: one join for all layers."""
-    work = t.position_index(cells, s, *broad, value, "broad_bpi")
-    work = t.position_index(work, s, *fine, value, "fine_bpi")
-    work = t.standardise_all(work, {"broad_bpi": "broad_std", "fine_bpi": "fine_std"})
-    work = t.surface_ratio(t.ruggedness(t.slope(work, s, value), s, vrm, value), s, value)
+    work = t.habitat_layers(cells, s, broad, fine, value).withColumnsRenamed({"broad": "broad_std", "fine": "fine_std"})
+    work = t.surface_ratio(t.ruggedness(work, s, vrm, value), s, value)
     layers = ["broad_bpi", "fine_bpi", "broad_std", "fine_std", "slope", "vrm", "surface_ratio"]
     if eco:
         work = t.complexity(t.max_curvature(t.northness_eastness(work, s, value), s, value), s, value)
@@ -88,7 +89,8 @@ def point_features(spark, sf_dir):  # export of features: J4 E1 E2 E3 O-F2 O-F3
     cells = views.depth_grid(spark, sf_dir)
     s = views.shape(cells)
     out = export_features(views.points(spark, sf_dir, s.rows), cells, s)
-    return rounded(out.select("id", "terrain_broad_bpi", "terrain_fine_bpi", "terrain_broad_std", "terrain_fine_std", "terrain_slope", "terrain_bpi_magnitude", "terrain_broad_x_fine_std"), "terrain_slope", "terrain_bpi_magnitude")
+    layers = ["broad_bpi", "fine_bpi", "broad_std", "fine_std", "slope", "vrm", "surface_ratio", "bpi_magnitude", "broad_x_fine_std", "rough_total"]
+    return rounded(out.select("id", *[f"terrain_{k}" for k in layers]), *[f"terrain_{k}" for k in ("slope", "vrm", "surface_ratio", "bpi_magnitude", "rough_total")])
 
 
 FRAME_SQL = f"{TABLES}, f AS (SELECT p.id, p.x, p.y, p.class, g.z AS bathymetry, g.k AS backscatter FROM p LEFT JOIN g ON g.r = floor(-p.y) AND g.c = floor(p.x))"
@@ -102,11 +104,14 @@ def frame(spark, sf_dir) -> DataFrame:
 @query(f"""{FRAME_SQL}, m AS (SELECT median(bathymetry) AS mb, median(backscatter) AS mk, avg(bathymetry) AS ab, avg(backscatter) AS ak, stddev_samp(bathymetry) AS sb, stddev_samp(backscatter) AS sk FROM f),
 i AS (SELECT id, coalesce(bathymetry, mb) AS b, coalesce(backscatter, mk) AS k, ab, ak, sb, sk FROM f, m),
 q AS (SELECT *, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb, rank() OVER (ORDER BY k) + (count(*) OVER (PARTITION BY k) - 1) / 2.0 AS rk, count(*) OVER () AS t FROM i)
-SELECT id, round(b * k, 5) AS bathymetry_x_backscatter, round(k / (abs(b) + 1), 6) AS acoustic_hardness_proxy, 0.0::DOUBLE AS relief_index, round((b - ab) / sb, 6) AS bathymetry_z, round((k - ak) / sk, 6) AS backscatter_z, round((rb + rk) / (2.0 * t), 6) AS bathymetry_backscatter_rank FROM q""")
+SELECT id, round(b * k, 5) AS bathymetry_x_backscatter, round(k / (abs(b) + 1), 6) AS acoustic_hardness_proxy, round(b / 7 + k / 9, 5) AS relief_index, round((b - ab) / sb, 6) AS bathymetry_z, round((k - ak) / sk, 6) AS backscatter_z, round((rb + rk) / (2.0 * t), 6) AS bathymetry_backscatter_rank FROM q""")
 def engineered(spark, sf_dir):  # E4 E5 E6 A5 A8 R2
-    out = ft.engineer(frame(spark, sf_dir), ft.fit_statistics(frame(spark, sf_dir), ["bathymetry", "backscatter"]))
+    raw = frame(spark, sf_dir)
+    stats = ft.fit_statistics(raw, ["bathymetry", "backscatter"])
+    spread = {f"{c}_std_3": F.coalesce(c, F.lit(stats.median[c])) / d for c, d in (("bathymetry", 7), ("backscatter", 9))}  # stands for the focal deviation
+    out = ft.engineer(raw.withColumns(spread), stats)
     out = out.select("id", "bathymetry_x_backscatter", "acoustic_hardness_proxy", "relief_index", "bathymetry_z", "backscatter_z", "bathymetry_backscatter_rank")
-    return rounded(rounded(out, "acoustic_hardness_proxy", "bathymetry_z", "backscatter_z", "bathymetry_backscatter_rank"), "bathymetry_x_backscatter", digits=5)
+    return rounded(rounded(out, "acoustic_hardness_proxy", "bathymetry_z", "backscatter_z", "bathymetry_backscatter_rank"), "bathymetry_x_backscatter", "relief_index", digits=5)
 
 
 @query(f"""{BASE}, {bpi_sql(1, 3, 'b')}, {ring3('reflect')}, e AS (SELECT g.r, g.c, g.z, b.bpi, {SLOPE} AS slope, CASE WHEN g.c % 7 = 0 THEN 'SGAM' ELSE 'NVB' END AS class FROM g JOIN b USING (r, c) JOIN {horn('ring')} USING (r, c)),
@@ -143,10 +148,10 @@ def capped_class_weights(spark, sf_dir):  # A15 A16
     return rounded(ft.class_weights(points, "class", 0.9, 1.05), "weight")
 
 
-@query(f"{TABLES} SELECT id, round((x - min(x) OVER ()) / greatest(max(x) OVER () - min(x) OVER (), 1), 6) AS x_rel, round((y - min(y) OVER ()) / greatest(max(y) OVER () - min(y) OVER (), 1), 6) AS y_rel, CASE WHEN class = 'BUILDING' THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END AS class_BUILDING FROM p")
+@query(f"{TABLES} SELECT id, round((x - min(x) OVER ()) / greatest(max(x) OVER () - min(x) OVER (), 1), 6) AS x_rel, round((y - min(y) OVER ()) / greatest(max(y) OVER () - min(y) OVER (), 1), 6) AS y_rel, {', '.join(f"CASE WHEN class = '{k}' THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END AS class_{k}" for k in SEGMENTS)} FROM p")
 def relative_positions(spark, sf_dir):  # E12 E13 U1
     _, _, points = _points(spark, sf_dir)
-    return rounded(ft.one_hot(ft.relative_coordinates(points), "class", ["BUILDING"], 20.0).select("id", "x_rel", "y_rel", "class_BUILDING"), "x_rel", "y_rel")
+    return rounded(ft.one_hot(ft.relative_coordinates(points), "class", list(SEGMENTS), 20.0).select("id", "x_rel", "y_rel", *[f"class_{k}" for k in SEGMENTS]), "x_rel", "y_rel")
 
 
 #: Truth and a derived prediction: the segment of the customer, and of the one named by a rule on the key.
@@ -227,9 +232,9 @@ def _skew(v: str) -> str:
     return f"(avg({v} ** 3) - 3 * avg({v}) * avg({v} ** 2) + 2 * avg({v}) ** 3) / stddev_pop({v}) ** 3"
 
 
-@query(f"{ZONED_SQL} SELECT zone, count(*) AS n_cells, round(avg(z), 6) AS z_mean, round(stddev_pop(z), 6) AS z_std, round({_skew('z')}, 4) AS z_skew, round(avg(k), 6) AS k_mean, round(stddev_pop(k), 6) AS k_std FROM zo GROUP BY zone")
+@query(f"{ZONED_SQL} SELECT zone, count(*) AS n_cells, round(avg(z), 6) AS z_mean, round(stddev_pop(z), 6) AS z_std, round({_skew('z')}, 4) AS z_skew, round(avg(k), 6) AS k_mean, round(stddev_pop(k), 6) AS k_std, round({_skew('k')}, 4) AS k_skew FROM zo GROUP BY zone")
 def zone_statistics(spark, sf_dir):  # A17 A18
-    return rounded(rounded(zn.zonal_stats(zoned(spark, sf_dir), "zone", ["z", "k"]).drop("k_skew"), "z_mean", "z_std", "k_mean", "k_std"), "z_skew", digits=4)
+    return rounded(rounded(zn.zonal_stats(zoned(spark, sf_dir), "zone", ["z", "k"]), "z_mean", "z_std", "k_mean", "k_std"), "z_skew", "k_skew", digits=4)
 
 
 @query(f"{ZONED_SQL}, m AS (SELECT zone, avg(z) AS a FROM zo GROUP BY zone) SELECT zone, round(a, 6) AS zone_mean, CAST(row_number() OVER (ORDER BY a, zone) - 1 AS INT) AS rank FROM m")
@@ -297,11 +302,11 @@ m AS (SELECT id, median(v) AS med, min(v) AS lo, max(v) AS hi FROM v GROUP BY id
 q AS (SELECT id, r, c, CASE WHEN hi = lo THEN 0 ELSE CAST(floor((coalesce(v, med) - lo) / (hi - lo) * 31) AS INT) END AS q FROM v JOIN m USING (id) WHERE med IS NOT NULL),
 d AS (SELECT a.id, o.ang, a.q AS i, b.q AS j FROM q a CROSS JOIN (VALUES (0, 0, 1), (45, -1, 1), (90, 1, 0), (135, 1, 1)) o(ang, dr, dc) JOIN q b ON b.id = a.id AND b.r = a.r + o.dr AND b.c = a.c + o.dc),
 y AS (SELECT id, ang, i, j FROM d UNION ALL SELECT id, ang, j, i FROM d), n2 AS (SELECT id, ang, i, j, count(*)::DOUBLE AS n FROM y GROUP BY ALL),
-a AS (SELECT id, ang, sum(n) AS t, sum(n * (i - j) ** 2) / sum(n) AS con, sum(n * abs(i - j)) / sum(n) AS dis, sum(n / (1 + (i - j) ** 2)) / sum(n) AS hom, sqrt(sum(n * n)) / sum(n) AS ene FROM n2 GROUP BY 1, 2)
-SELECT id, round(avg(con), 5) AS contrast, round(avg(dis), 6) AS dissimilarity, round(avg(hom), 6) AS homogeneity, round(avg(ene), 6) AS energy FROM a GROUP BY id""")
+a AS (SELECT id, ang, sum(n) AS t, sum(n * (i - j) ** 2) / sum(n) AS con, sum(n * abs(i - j)) / sum(n) AS dis, sum(n / (1 + (i - j) ** 2)) / sum(n) AS hom, sqrt(sum(n * n)) / sum(n) AS ene, sum(n * i * i) / sum(n) - (sum(n * i) / sum(n)) ** 2 AS var, sum(n * i * j) / sum(n) - (sum(n * i) / sum(n)) ** 2 AS cov FROM n2 GROUP BY 1, 2)
+SELECT id, round(avg(con), 5) AS contrast, round(avg(dis), 6) AS dissimilarity, round(avg(hom), 6) AS homogeneity, round(avg(ene), 6) AS energy, round(avg(CASE WHEN var < 1e-15 THEN 1 ELSE cov / var END), 5) AS correlation FROM a GROUP BY id""")
 def grey_texture(spark, sf_dir):  # O-F14 O-F28
     cells, s, points = _points(spark, sf_dir)
-    return rounded(rounded(tx.glcm(located(points, s), cells, s, 3, value="k").drop("correlation"), "dissimilarity", "homogeneity", "energy"), "contrast", digits=5)
+    return rounded(rounded(tx.glcm(located(points, s), cells, s, 3, value="k"), "dissimilarity", "homogeneity", "energy"), "contrast", "correlation", digits=5)
 
 
 @query(f"""{TABLES}, k AS (SELECT id, CAST(floor(-y) AS INT) AS pr, CAST(floor(x) AS INT) AS pc FROM p, n WHERE floor(-y) < nr AND floor(x) < nc)

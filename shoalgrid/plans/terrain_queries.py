@@ -93,10 +93,7 @@ def cascade_sql(columns: dict[str, str], names: bool = False, legacy: bool = Fal
 def habitat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth, broad and fine standardised position and slope in one frame."""
     cells = views.depth_grid(spark, sf_dir)
-    s = views.shape(cells)
-    cells = t.position_index(cells, s, 1, 5, out="broad_bpi")
-    cells = t.position_index(cells, s, 1, 3, out="fine_bpi")
-    return t.slope(t.standardise_all(cells, {"broad_bpi": "broad", "fine_bpi": "fine"}), s)
+    return t.habitat_layers(cells, views.shape(cells))
 
 
 HABITAT_SQL = (
@@ -164,6 +161,16 @@ def slope_with_gaps(spark, sf_dir):  # O-F3, missing cells spread to their neigh
     return rounded(t.slope(cells, views.shape(cells), "k").select("r", "c", "slope"), "slope")
 
 
+def vrm_sql(n: int, ring: str) -> str:
+    """Ruggedness over n x n of a raster without gaps, from a ring by reflection."""
+    lo = -(n // 2)
+    return f"""SELECT w.r, w.c, greatest(0, least(1, 1 - sqrt(sum(x.ux) ** 2 + sum(x.uy) ** 2 + sum(x.uz) ** 2) / {n * n})) AS vrm
+FROM (SELECT q.r, q.c, o.dr, o.dc FROM {ring} q CROSS JOIN ({offsets(lo, lo + n - 1)}) o) w CROSS JOIN n JOIN (SELECT r, c, cos(s) AS uz,
+  CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE sin(radians(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END)) * sin(s) END AS ux, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE cos(radians(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END)) * sin(s) END AS uy
+  FROM (SELECT r, c, dx, dy, atan(sqrt(dx * dx + dy * dy)) AS s, 90 - degrees(atan2(-dy, dx)) AS deg FROM {horn(ring)})) x
+ON x.r = {sql_index('w.r + w.dr', 'nr', 'symmetric')} AND x.c = {sql_index('w.c + w.dc', 'nc', 'symmetric')} GROUP BY w.r, w.c"""
+
+
 VRM_SQL = f"""WITH {BOTH_SQL}, {SIZE_SQL}, f AS (SELECT r, c, coalesce(k, 0) AS z0, k FROM g), {ring3('reflect', 'z0', 'f')},
 a AS (SELECT r, c, atan(sqrt(dx * dx + dy * dy)) AS s, dx, dy, 90 - degrees(atan2(-dy, dx)) AS deg FROM {horn('ring')}),
 u AS (SELECT r, c, k, CASE WHEN k IS NULL OR (dx = 0 AND dy = 0) THEN 0 ELSE sin(radians(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END)) * sin(s) END AS ux,
@@ -193,7 +200,7 @@ AREA = " + ".join(_triangle(*p) for p in (("a", "b"), ("c_", "b"), ("c_", "f"),
 def surface_planar_ratio(spark, sf_dir):  # O-F6 O-F7 L6
     cells = views.depth_grid(spark, sf_dir)
     s = views.shape(cells)
-    out = t.surface_ratio(t.surface_ratio(cells, s), s, out="corrected", corrected=True, area="area")
+    out = t.surface_ratio(cells, s, area="area", also_corrected="corrected")
     return rounded(out.select("r", "c", "surface_ratio", "corrected", "area"), "surface_ratio", "corrected", "area")
 
 
@@ -294,9 +301,10 @@ def position_box(spark, sf_dir):  # O-F17 O-F18 O-F22 O-F25
 def scale_filters(spark, sf_dir):  # O-F15 L10
     cells = views.depth_grid(spark, sf_dir)
     s = views.shape(cells)
-    foot = t.g.square(3)
-    aggs = {"median": F.percentile("v", F.lit(0.5)), "minimum": F.min("v"), "maximum": F.max("v"), "p90": F.percentile("v", F.lit(0.9))}
-    return rounded(t.g.scatter(cells, s, foot, "z", aggs).drop("e"), *aggs)
+    out = cells
+    for k, (name, q) in {"median": ("median", 0.5), "minimum": ("minimum", 0.5), "maximum": ("maximum", 0.5), "p90": ("percentile", 0.9)}.items():
+        out = out.join(t.scale_filter(cells, s, name, 3, q=q).select("r", "c", F.col("filtered").alias(k)), ["r", "c"])
+    return rounded(out.select("r", "c", "median", "minimum", "maximum", "p90"), "median", "minimum", "maximum", "p90")
 
 
 @query(f"{BASE}, {ring3('reflect')}, s1 AS (SELECT r, c, radians({SLOPE}) AS s FROM {horn('ring')}), {around(offsets(-1, 1), 'symmetric', 's', 's1')} SELECT r, c, round(1 / cos(avg(v)), 6) AS secant FROM nb GROUP BY r, c")
