@@ -7,6 +7,7 @@ Exit codes: 0 done, 1 bad parameters, 2 missing input, 3 unusable dictionary or
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from dataclasses import replace
 
@@ -21,6 +22,19 @@ from shoalgrid.operators.sampling import Affine
 from shoalgrid.sources import dictionaries, rasters, tables
 
 
+_log = logging.getLogger("shoalgrid")
+#: Commands around runs and their options: required ones, choices with the default first, or defaults.
+LIFECYCLE = {
+    "train": {"train_csv": ..., "bathymetry_tif": ..., "backscatter_tif": ..., "config": ..., "seed": 42, "run_type": ("baseline", "candidate"), "home": "artifacts"},
+    "evaluate": {"run_id": ..., "fold_scheme": ("spatial_blocked", "stratified_random"), "home": "artifacts"},
+    "predict": {"run_id": ..., "test_csv": ..., "bathymetry_tif": ..., "backscatter_tif": ..., "home": "artifacts"},
+    "make-submission": {"predictions": ..., "sample_submission": ..., "output": ..., "home": "artifacts"},
+    "segmentation-build-masks": {"train_csv": ..., "output_dir": ..., "class_col": "class", "window_size": 5},
+    "segmentation-benchmark": {"config": ...},
+    "hybrid-stack": {"baseline_run": ..., "seg_run": ..., "train_csv": ..., "test_csv": ..., "seg_base_dir": "artifacts/segmentation", "home": "artifacts", "seed": 42},
+}
+
+
 def _spark() -> SparkSession:
     return SparkSession.builder.appName("shoalgrid").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
@@ -48,7 +62,51 @@ def model(cells: DataFrame, s, entries, broad: tuple[int, int], fine: tuple[int,
     return cl.classify(t.habitat_layers(cells, s, broad, fine), entries)
 
 
+def run_lifecycle(args: argparse.Namespace, spark: SparkSession) -> int:
+    """Commands around runs; what they wrote is printed."""
+    from shoalgrid.runs import config, lifecycle, segmentation
+
+    match args.command:
+        case "train":
+            root = args.train_csv.rsplit("/", 1)[0] if "/" in args.train_csv else "."
+            for path in (args.train_csv, args.bathymetry_tif, args.backscatter_tif):
+                config.allowed_data(path if "/" in path else f"./{path}", root)
+            tables.parse_metadata(config.read_text(spark, f"{root}/METADATA.MD"))
+            done = lifecycle.train_run(spark, args.train_csv, args.bathymetry_tif, args.backscatter_tif, args.config, args.home, args.run_type, args.seed, " ".join(sys.argv[1:]))["run_id"]
+        case "evaluate":
+            done = lifecycle.evaluate_run(spark, args.run_id, args.home, args.fold_scheme)["comparison"]
+        case "predict":
+            done = lifecycle.predict_run(spark, args.run_id, args.test_csv, args.bathymetry_tif, args.backscatter_tif, args.home)
+        case "make-submission":
+            done = lifecycle.make_submission(spark, args.predictions, args.sample_submission, args.output, args.home)
+        case "segmentation-build-masks":
+            done = segmentation.build_masks(spark, args.train_csv, args.output_dir, args.class_col, args.window_size)
+        case "segmentation-benchmark":
+            done = segmentation.benchmark(spark, args.config)
+        case "hybrid-stack":
+            done = segmentation.hybrid_stack(spark, args.baseline_run, args.seg_run, args.train_csv, args.test_csv, args.seg_base_dir, args.home, args.seed)["predictions"]
+    _log.info("%s: %s", args.command, done)
+    print(done)
+    return 0
+
+
+def classify_layers(args: argparse.Namespace, spark: SparkSession) -> int:
+    """Class raster of standardised positions, slope and depth; 4 if no cell has a class."""
+    cells, meta = load(spark, args.bathy)
+    for name, path in (("broad", args.broad_std), ("fine", args.fine_std), ("slope", args.slope)):
+        cells = cells.join(load(spark, path, name)[0], ["r", "c"], "left")
+    out = cl.classify(cells, dictionaries.read_dictionary(spark, args.classdict)).cache()
+    if not out.where("code > 0").limit(1).count():
+        return 4
+    save(out, "code", replace(meta, nodata=0), args.output, "int32")
+    return 0
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
+    if args.command in LIFECYCLE:
+        return run_lifecycle(args, spark)
+    if args.command == "classify":
+        return classify_layers(args, spark)
     cells, meta = load(spark, args.bathy)
     s = meta.shape()
     match args.command:
@@ -103,15 +161,33 @@ def parser() -> argparse.ArgumentParser:
     add("depth-stats", size=3, stats="mean,std", window="rectangle")
     add("scale-compare", filter="median", min=3, max=11, count=5)
     add("run-model", dictionary=..., broad_inner=1, broad_outer=5, fine_inner=1, fine_outer=3, keep=False)
+    for name, options in LIFECYCLE.items():
+        c = sub.add_parser(name)
+        for k, v in options.items():
+            c.add_argument("--" + k.replace("_", "-"), **({"required": True} if v is ... else {"choices": v, "default": v[0]} if isinstance(v, tuple) else {"default": v, "type": type(v)}))
+    c = sub.add_parser("classify")
+    for k in ("broad-std", "fine-std", "slope", "bathy", "classdict", "output"):
+        c.add_argument("--" + k, required=True)
     add("export-features", points=..., id_col="ID", x_col="x", y_col="y", prefix="terrain_", eco=False)
+    for c in sub.choices.values():
+        c.add_argument("--verbose", action="store_true")
+        c.add_argument("--quiet", action="store_true")
+        c.add_argument("--log-file")
     return p
 
 
+def configure_logging(verbose: bool, quiet: bool, log_file: str | None) -> None:
+    """Messages to the standard error, or to a file as well; ``verbose`` beats ``quiet``."""
+    _log.setLevel(logging.DEBUG if verbose else logging.ERROR if quiet else logging.INFO)
+    _log.handlers = [logging.StreamHandler(sys.stderr), *([logging.FileHandler(log_file)] if log_file else [])]
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         args = parser().parse_args(argv)
     except SystemExit as e:
         return 0 if e.code == 0 else 1
+    configure_logging(args.verbose, args.quiet, args.log_file)
     try:
         return run(args, spark or _spark())
     except FileNotFoundError as e:
@@ -122,7 +198,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         code, why = (3 if "missing columns" in str(e) else 1), e
     except Exception as e:  # noqa: BLE001
         code, why = 5, e
-    print(f"{args.command}: {why}", file=sys.stderr)
+    _log.error("%s: %s", args.command, why)
     return code
 
 

@@ -8,9 +8,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MODES = ("symmetric", "reflect", "clamp", "none")
 
 
@@ -19,20 +16,17 @@ def check_mode(mode: str) -> None:
         raise ValueError(f"edge rule {mode!r}; known: {', '.join(MODES)}")
 
 
-def source_index(i: Column, n: int, mode: str) -> Column:
-    """The index in 0..n-1 that stands for ``i``, or null for ``none`` outside."""
+def source_of(i: int, n: int, mode: str) -> int | None:
+    """The index in 0..n-1 that stands for ``i``, or None for ``none`` outside."""
     check_mode(mode)
     if mode == "clamp":
-        return F.greatest(F.lit(0), F.least(F.lit(n - 1), i))
+        return max(0, min(n - 1, i))
     if mode == "none":
-        return F.when(i.between(0, n - 1), i)
+        return i if 0 <= i < n else None
     if n == 1:
-        return i * 0
-    if mode == "symmetric":
-        m = F.pmod(i, F.lit(2 * n))
-        return F.when(m >= n, 2 * n - 1 - m).otherwise(m)
-    m = F.pmod(i, F.lit(2 * n - 2))
-    return F.when(m >= n, 2 * n - 2 - m).otherwise(m)
+        return 0
+    m = i % (2 * n if mode == "symmetric" else 2 * n - 2)
+    return m if m < n else (2 * n - 1 if mode == "symmetric" else 2 * n - 2) - m
 
 
 def sql_index(i: str, n: str, mode: str) -> str:

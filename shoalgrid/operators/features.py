@@ -46,14 +46,8 @@ def impute(df: DataFrame, stats: Statistics) -> DataFrame:
     return df.withColumns({c: finite(c) for c in stats.median if c in df.columns})
 
 
-def average_rank(column: str) -> Column:
-    """Rank from 1 with ties at their mean: one global order, for frames of points, not of cells."""
-    first, ties = Window.orderBy(column), Window.partitionBy(column)
-    return F.rank().over(first) + (F.count("*").over(ties) - 1) / 2
-
-
 def with_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """The same through the distinct values only: what is sorted in one task is their counts."""
+    """Rank from 1 with ties at their mean, through the distinct values only: what is sorted in one task is their counts."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = counts.select(column, (before + (F.col("_n") + 1) / 2).alias(out))
@@ -157,7 +151,7 @@ def spatial_folds(df: DataFrame, n_splits: int = 5, bins: int = 4, seed: int = 4
 
 def stratified_folds(df: DataFrame, label: str, n_splits: int = 5, seed: int = 42, id_: str = "ID") -> DataFrame:
     """``fold`` by a seeded hash order within each class; classes differ by one row at most across folds."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(id_, F.lit(seed)), id_)
+    w = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("-", F.col(id_).cast("string"), F.lit(str(seed)))), id_)
     return df.withColumn("fold", ((F.row_number().over(w) - 1) % n_splits).cast("int"))
 
 

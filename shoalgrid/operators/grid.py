@@ -19,7 +19,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalgrid.functions.edges import check_mode, source_index
+from shoalgrid.functions.edges import check_mode, source_of
 
 
 @dataclass(frozen=True)
@@ -51,13 +51,19 @@ def dense(cells: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _ghosts(cells: DataFrame, axis: str, n: int, low: int, high: int, mode: str) -> DataFrame:
-    """Copies of cells for the indices ``-low..-1`` and ``n..n+high-1`` of one axis, beside the cells."""
-    if mode == "none" or not (low or high):
+    """Copies of cells for the indices ``-low..-1`` and ``n..n+high-1`` of one axis, beside the cells.
+
+    Each cell is sent to the places it stands for, so what comes before is planned and worked out once.
+    """
+    if mode == "none" or not (low or high) or not n:
         return cells
-    at = cells.sparkSession.range(low + high).select(F.when(F.col("id") < low, F.col("id") - low).otherwise(F.col("id") - low + n).cast("int").alias("_at"))
-    at = F.broadcast(at.withColumn("_from", source_index(F.col("_at"), n, mode).cast("int")))  # as many rows as the window is wide
-    extra = cells.join(at, cells[axis] == at["_from"]).drop(axis, "_from").withColumnRenamed("_at", axis)
-    return cells.unionByName(extra.select(*cells.columns))
+    places: dict[int, list[int]] = {}
+    for at in (*range(-low, 0), *range(n, n + high)):
+        places.setdefault(source_of(at, n, mode), []).append(at)
+    known = cells.sparkSession.createDataFrame(sorted(places.items()), "_from int, _at array<int>")  # no more rows than the window is wide
+    met = cells.join(F.broadcast(known), cells[axis] == known["_from"], "left")
+    sent = F.explode(F.concat(F.array(F.col(axis)), F.coalesce("_at", F.array().cast("array<int>"))))
+    return met.withColumn(axis, sent).select(*cells.columns)
 
 
 def ring(cells: DataFrame, value: str, mode: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MODELS = {
@@ -60,10 +60,14 @@ def ordinary(points: DataFrame, targets: DataFrame, value: str, zone: str | None
     """
     z = F.col(zone) if zone else F.lit(0)
     known = points.where(F.col(value).isNotNull()).select(z.alias("_z"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(value).cast("double").alias("v"), F.xxhash64("x", "y", F.lit(42)).alias("_h"))
-    by = known.groupBy("_z").agg(F.slice(F.sort_array(F.collect_list(F.struct("_h", "x", "y", "v"))), 1, most).alias("p")) if not zone else known.groupBy("_z").agg(F.slice(F.sort_array(F.collect_list(F.struct("_h", "x", "y", "v"))), 1, most).alias("p"))
+    # the points with the smallest hashes, cut in blocks of a zone before they meet
+    salted = known.withColumn("_s", F.pmod("_h", F.lit(64)))
+    slim = salted.withColumn("_k", F.row_number().over(Window.partitionBy("_z", "_s").orderBy("_h", "x", "y", "v"))).where(F.col("_k") <= most)
+    kept = slim.withColumn("_k", F.row_number().over(Window.partitionBy("_z").orderBy("_h", "x", "y", "v"))).where(F.col("_k") <= most)
+    by = kept.groupBy("_z").agg(F.collect_list(F.struct("x", "y", "v")).alias("p"))
     sought = targets.select(z.alias("_z"), F.col(id_).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     n = sought.groupBy("_z").agg(F.ceil(F.count("*") / batch).cast("int").alias("_n"))
-    dealt = sought.join(F.broadcast(n), "_z").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")))  # one row per zone
+    dealt = sought.join(n, "_z").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")))
     lists = dealt.groupBy("_z", "_b").agg(F.collect_list(F.struct("id", "x", "y")).alias("t")).join(by, "_z", "left")
 
     def run(pdfs):

@@ -6,7 +6,8 @@ back as DataFrames that the metrics module scores.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.operators import features as ft
@@ -40,6 +41,18 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(n.select(label, (F.lit(t["t"]) / (F.lit(t["k"]) * F.col("_n"))).alias("_w"))), label)  # one row per class
 
 
+def weighted(df: DataFrame, label: str, weights: DataFrame) -> DataFrame:
+    """``_w`` from ``weights(label, weight)``, one row per class."""
+    return df.join(F.broadcast(weights.select(label, F.col("weight").alias("_w"))), label)
+
+
+def repeated_by_weight(df: DataFrame, seed: int) -> DataFrame:
+    """Rows as often as their weight says, in units of the smallest one, for estimators that take no weights."""
+    least = df.agg(F.min("_w").alias("w")).first()["w"] or 1.0
+    copies = F.floor(F.col("_w") / F.lit(least) + F.rand(seed)).cast("int")
+    return df.withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies))).drop("_c")
+
+
 def _estimator(kind: str, params: dict, inputs: int, classes: int):
     p = dict(params)
     if kind == "random_forest":
@@ -64,6 +77,20 @@ class Fitted:
     stats: ft.Statistics
     classes: list[str]
 
+    def save(self, path: str) -> None:
+        """Write the parts, and beside them what prediction needs to know."""
+        spark = SparkSession.getActiveSession()
+        for k, (model, _) in enumerate(self.parts):
+            model.write().overwrite().save(f"{path}/part{k}")
+        told = {"weights": [w for _, w in self.parts], "columns": self.columns, "statistics": asdict(self.stats), "classes": self.classes}
+        spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode("overwrite").text(f"{path}/told")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Fitted:
+        told = json.loads(spark.read.text(f"{path}/told").first()["value"])
+        parts = [(PipelineModel.load(f"{path}/part{k}"), w) for k, w in enumerate(told["weights"])]
+        return cls(parts, told["columns"], ft.Statistics(**told["statistics"]), told["classes"])
+
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``prob_{class}``, ``predicted_class`` and ``confidence``; absent feature columns are 0."""
         ready = ft.impute(df.withColumns({c: F.lit(0.0) for c in self.columns if c not in df.columns}), self.stats)
@@ -82,14 +109,18 @@ class Fitted:
         return mt.argmax(scored, {c: f"prob_{c}" for c in self.classes})
 
 
-def train(df: DataFrame, label: str, columns: list[str] | None = None, spec: Spec = Spec()) -> Fitted:  # noqa: B008
-    """Fit with balanced class weights; statistics for imputation are those of the training frame."""
+def train(df: DataFrame, label: str, columns: list[str] | None = None, spec: Spec = Spec(), weights: DataFrame | None = None) -> Fitted:  # noqa: B008
+    """Fit with balanced class weights, or those of ``weights(label, weight)``; statistics for imputation are those of the training frame.
+
+    Networks take no weights: their rows are repeated by them.
+    """
     if spec.kind not in MODELS:
         raise ValueError(f"model {spec.kind!r}; known: {', '.join(MODELS)}")
     columns = columns or [c for c in ft.model_columns(df) if c != label]
     labelled = df.where(F.col(label).isNotNull())
     stats = ft.fit_statistics(labelled, columns)
-    ready = balanced(ft.impute(labelled, stats), label)
+    filled = ft.impute(labelled, stats)
+    ready = balanced(filled, label) if weights is None else weighted(filled, label, weights)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(ready)
     ready = index.transform(ready)
     kinds = {"forest_boosted": [("random_forest", 0.5), ("boosted", 0.5)], "forest_mlp": [("random_forest", spec.forest_weight), ("mlp", 1 - spec.forest_weight)]}.get(spec.kind, [(spec.kind, 1.0)])
@@ -97,7 +128,7 @@ def train(df: DataFrame, label: str, columns: list[str] | None = None, spec: Spe
     for kind, w in kinds:
         raw = VectorAssembler(inputCols=columns, outputCol="_raw")
         scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
-        parts.append((Pipeline(stages=[raw, scaled, _estimator(kind, spec.params, len(columns), len(index.labels))]).fit(ready), w))
+        parts.append((Pipeline(stages=[raw, scaled, _estimator(kind, spec.params, len(columns), len(index.labels))]).fit(repeated_by_weight(ready, spec.params.get("seed", 42)) if kind == "mlp" else ready), w))
     return Fitted(parts, columns, stats, list(index.labels))
 
 
@@ -111,18 +142,32 @@ def cross_validate(df: DataFrame, label: str, fold: str = "fold", columns: list[
     return out
 
 
+def shuffled(df: DataFrame, column: str, seed: int, id_: str = "ID", block: int = 100_000) -> DataFrame:
+    """``df`` with one column dealt anew among its rows, every value once.
+
+    Rows are dealt into blocks by a hash, and within a block values go on by one place in a second hash's
+    order, so no task sorts more than a block, and values come from all over the frame.
+    """
+    n = df.count()
+    blocks = max(1, -(-n // block))
+    b = F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(blocks))
+    order = Window.partitionBy("_b").orderBy(F.xxhash64(id_, F.lit(seed + 1_000_003)), id_)
+    last = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = df.withColumn("_b", b)
+    return dealt.withColumn(column, F.coalesce(F.lag(F.struct(column)).over(order), F.last(F.struct(column)).over(last))[column]).select(*df.columns)
+
+
 def permutation_importance(model: Fitted, df: DataFrame, label: str, repeats: int = 3, seed: int = 42, id_: str = "ID") -> DataFrame:
     """``(feature_name, importance_mean, importance_std, selected, rank)``: the loss of accuracy when a column is shuffled.
 
-    A column is shuffled by joining it to itself in the order of a seeded hash.
+    See ``shuffled`` for how.
     """
     base = mt.summary(model.predict(df), label, "predicted_class").first()["accuracy"]
     rows = []
     for c in model.columns:
         lost = []
         for k in range(repeats):
-            order = F.row_number().over(Window.orderBy(F.xxhash64(id_, F.lit(seed + k))))
-            mixed = df.drop(c).withColumn("_k", F.row_number().over(Window.orderBy(id_))).join(df.select(F.col(c)).withColumn("_k", F.row_number().over(Window.orderBy(F.xxhash64(F.col(c), F.lit(seed + k))))) if id_ not in df.columns else df.select(c, order.alias("_k")), "_k").drop("_k")
+            mixed = shuffled(df, c, seed + k, id_)
             lost.append(base - mt.summary(model.predict(mixed), label, "predicted_class").first()["accuracy"])
         m = sum(lost) / repeats
         rows.append((c, float(m), float((sum((x - m) ** 2 for x in lost) / repeats) ** 0.5), m > 0))

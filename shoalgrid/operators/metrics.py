@@ -48,6 +48,11 @@ def recall_spread(rows: DataFrame, truth: str, predicted: str, fold: str = "fold
     return per_class(rows, truth, predicted, [fold]).where("support > 0").groupBy("class").agg(F.avg("recall").alias("mean_recall"), F.stddev_samp("recall").alias("std_recall"))
 
 
+def class_lines(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """``(class, f1, line)``: the scores of a report, numbered by class; classes are few."""
+    return per_class(rows, truth, predicted).select("class", "f1", F.row_number().over(Window.orderBy("class")).alias("line")).orderBy("line")
+
+
 def degraded(baseline: float, candidate: float, tolerance: float = 0.005) -> bool:
     """True if the candidate's weighted F1 falls behind by more than ``tolerance``."""
     return baseline - candidate > tolerance
@@ -55,7 +60,7 @@ def degraded(baseline: float, candidate: float, tolerance: float = 0.005) -> boo
 
 def promote(baseline_f1: float, f1: float, baseline_recall: float, recall: float, least_gain: float = 0.02) -> bool:
     """True if F1 gains ``least_gain`` and the protected class's recall does not fall."""
-    return f1 - baseline_f1 >= least_gain and recall - baseline_recall >= 0
+    return (f1 - baseline_f1 >= least_gain) & (recall - baseline_recall >= 0)
 
 
 def normalised(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grid_indices(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """``gx`` and ``gy``: dense ranks of the coordinates from 0, by joins with the distinct values."""
+def grid_indices(points: DataFrame, x: str = "x", y: str = "y", width: float | None = None) -> DataFrame:
+    """``gx`` and ``gy``: dense ranks of the coordinates from 0, by joins with the distinct values.
+
+    Values are ranked inside ranges of about equal extent, whose offsets are counted, so no task sorts them all.
+    """
+    m = points.agg(*[f(c).alias(f"{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+
     def ranks(c: str, out: str) -> DataFrame:
-        return points.select(c).distinct().withColumn(out, (F.row_number().over(Window.orderBy(c)) - 1).cast("int"))
+        lo, hi = float(m[f"lo{c}"] or 0), float(m[f"hi{c}"] or 0)
+        step = width or ((hi - lo) / 256 or 1.0)
+        values = points.where(F.col(c).isNotNull()).select(c).distinct().withColumn("_p", F.floor((F.col(c) - lo) / step))
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+        offsets = values.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_o")
+        placed = values.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(c))).join(offsets, "_p")
+        return placed.select(c, (F.col("_o") + F.col("_r") - 1).cast("int").alias(out))
 
     return points.join(ranks(x, "gx"), x).join(ranks(y, "gy"), y)
 

@@ -213,6 +213,36 @@ def focal_stats(cells: DataFrame, shape: Shape, n: int, stats: tuple[str, ...] =
     return work.select(*cells.columns, *[F.when(there, plain[s] if s in plain else F.col(f"stat_{s}")).alias(f"stat_{s}") for s in stats])
 
 
+def range_deviation(cells: DataFrame, shape: Shape, n: int, value: str = "z", out: str = "mean_diff_range") -> DataFrame:
+    """Deviation from the n x n mean in units of the window's range; 0 where it has none."""
+    got = g.scatter(cells, shape, g.square(n), value, {"_m": F.avg("v"), "_lo": F.min("v"), "_hi": F.max("v")})
+    span = F.col("_hi") - F.col("_lo")
+    found = got.select("r", "c", F.when(span == 0, 0.0).otherwise((F.col("e") - F.col("_m")) / span).alias(out))
+    return cells.join(found, ["r", "c"], "left")
+
+
+def multiple_scales(cells: DataFrame, shape: Shape, sizes: list[int], metrics: list[str], value: str = "z") -> DataFrame:
+    """Add ``{metric}_{size}`` for each metric (``vrm`` or a statistic of ``focal_stats``) and window size."""
+    out = cells
+    for n in sizes:
+        stats = tuple(m for m in metrics if m != "vrm")
+        if stats:
+            out = focal_stats(out, shape, n, stats, value=value).withColumnsRenamed({f"stat_{m}": f"{m}_{n}" for m in stats})
+        if "vrm" in metrics:
+            out = ruggedness(out, shape, n, value, f"vrm_{n}")
+        out = cut(out) if n != sizes[-1] else out  # else each size would plan all before it again
+    return out
+
+
+def raster_properties(cells: DataFrame, value: str = "z") -> DataFrame:
+    """One row: cells, those with a value, their least, largest and mean value and deviation, and the share that is missing."""
+    v = F.col(value)
+    return cells.agg(
+        F.count("*").alias("cells"), F.count(v).alias("filled"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+        (1 - F.count(v) / F.count("*")).alias("missing"),
+    )
+
+
 def multiscale_columns(names: list[str], scales: list[int]) -> list[str]:
     return [f"terrain_{n}_{s}" for n in names for s in scales]
 

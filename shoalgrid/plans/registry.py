@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shoalgrid.plans import table_queries, terrain_queries
+from shoalgrid.plans import frame_queries, table_queries, terrain_queries
 
-QUERIES = {**terrain_queries.QUERIES, **table_queries.QUERIES}
-SQL = {**terrain_queries.SQL, **table_queries.SQL}
+QUERIES = {**terrain_queries.QUERIES, **table_queries.QUERIES, **frame_queries.QUERIES}
+SQL = {**terrain_queries.SQL, **table_queries.SQL, **frame_queries.SQL}
 FLAGSHIP = "habitat_histogram"

@@ -15,7 +15,7 @@ from shoalgrid.operators import texture as tx
 from shoalgrid.operators import zonal as zn
 from shoalgrid.plans import views
 from shoalgrid.plans.terrain_queries import AREA, BASE, SLOPE, around, bpi_sql, horn, offsets, ring3, rounded, std_sql, vrm_sql
-from shoalgrid.plans.views import BOTH_SQL, POINTS_SQL, SIZE_SQL
+from shoalgrid.plans.views import BOTH_SQL, GRID_SQL, POINTS_SQL, SIZE_SQL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -136,12 +136,6 @@ def quantile_blocks(spark, sf_dir):  # R4 R5
     return ft.spatial_blocks(points, 4).select("id", "block")
 
 
-@query()
-def spatial_fold_sizes(spark, sf_dir):  # R6 R7: the permutation is NumPy's, so there is no SQL
-    _, _, points = _points(spark, sf_dir)
-    return ft.spatial_folds(points).groupBy("fold").agg(F.count("*").alias("n"))
-
-
 @query(f"{TABLES} SELECT class, n, round(greatest(0.9, least(1.05, t / (k * n))), 6) AS weight FROM (SELECT class, count(*) AS n FROM p GROUP BY class), (SELECT count(*)::DOUBLE AS t, count(DISTINCT class) AS k FROM p)")
 def capped_class_weights(spark, sf_dir):  # A15 A16
     _, _, points = _points(spark, sf_dir)
@@ -373,7 +367,11 @@ def plane_rugosity(spark, sf_dir):  # L7
     return rounded(rounded(rounded(out, "rugosity"), "plane_slope", digits=5), "plane_aspect", digits=4)
 
 
-@query()
-def connected_regions(spark, sf_dir):  # M27: recursion in SQL is too slow over the whole raster; tests walk small ones
+@query(f"""WITH RECURSIVE {GRID_SQL}, {SIZE_SQL}, d AS (SELECT r * nc + c AS id, r, c, z < -9 AS deep FROM g, n),
+h AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON b.r = a.r AND b.c = a.c + 1 AND b.deep = a.deep UNION ALL SELECT a.id, b.id FROM d a JOIN d b ON b.c = a.c AND b.r = a.r + 1 AND b.deep = a.deep),
+k AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+w(id, region) USING KEY (id) AS (SELECT id, id FROM d UNION SELECT k.a, min(w.region) FROM w JOIN k ON k.b = w.id JOIN recurring.w AS old ON old.id = k.a WHERE w.region < old.region GROUP BY k.a)
+SELECT r, c, CAST(region AS BIGINT) AS region FROM d JOIN w USING (id)""")
+def connected_regions(spark, sf_dir):  # M27
     cells = views.depth_grid(spark, sf_dir).withColumn("deep", F.col("z") < -9)
     return rg.connected(cells, views.shape(cells), "deep").select("r", "c", "region")

@@ -322,7 +322,4 @@ def standardised(spark, sf_dir):  # A1 A2 L2
 
 @query(f"WITH {BOTH_SQL} SELECT count(*) AS cells, count(k) AS filled, round(min(k), 6) AS lo, round(max(k), 6) AS hi, round(avg(k), 6) AS mean, round(stddev_pop(k), 6) AS std, round(1 - count(k) / count(*), 6) AS missing FROM g")
 def raster_properties(spark, sf_dir):  # S18 A3 A25
-    return views.both_grids(spark, sf_dir).agg(
-        F.count("*").alias("cells"), F.count("k").alias("filled"), F.round(F.min("k"), 6).alias("lo"), F.round(F.max("k"), 6).alias("hi"),
-        F.round(F.avg("k"), 6).alias("mean"), F.round(F.stddev_pop("k"), 6).alias("std"), F.round(1 - F.count("k") / F.count("*"), 6).alias("missing"),
-    )
+    return rounded(t.raster_properties(views.both_grids(spark, sf_dir), "k"), "lo", "hi", "mean", "std", "missing")

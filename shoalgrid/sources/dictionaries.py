@@ -78,8 +78,9 @@ def parse_xlsx(raw: bytes) -> list[ClassEntry]:
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
         sheet = ET.fromstring(z.read(sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]))
-    out = []
+    out, wide = [], 0
     for row in sheet.iter(f"{{{ns['m']}}}row"):
+        wide = max(wide, len(row.findall("m:c", ns)))  # the header's width: trailing cells of a class may be left out
         cells: dict[int, str | None] = {}
         for k, c in enumerate(row.findall("m:c", ns)):
             ref = "".join(x for x in c.get("r", "") if x.isalpha())
@@ -90,7 +91,7 @@ def parse_xlsx(raw: bytes) -> list[ClassEntry]:
             float(cells.get(0) or "")
         except ValueError:
             continue
-        if max(cells) < 9 and len(cells) < 10 and max(cells) + 1 < 2:
+        if wide < 10 and max(cells) < 9:
             raise DictionaryError("a class needs ten columns")
         out.append(_entry(cells[0], cells.get(1) or "", [cells.get(k) for k in range(2, 10)], f"row {row.get('r')}"))
     if not out:

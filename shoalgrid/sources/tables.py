@@ -14,13 +14,24 @@ RUN_SCHEMA = (
 PREDICTION_COLUMNS = ("location_id", "predicted_class", "confidence")
 
 
+def numbered(df: DataFrame, id_: str) -> DataFrame:
+    """Rows numbered from 1 without gaps, in the order of their partitions: one count for each partition, no sort."""
+    at = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    counts = sorted((r["_part"], r["count"]) for r in at.groupBy("_part").count().collect())  # as many rows as partitions
+    offsets, total = {}, 0
+    for part, n in counts:
+        offsets[part], total = total, total + n
+    known = df.sparkSession.createDataFrame([(k, v) for k, v in offsets.items()], "_part long, _before long")
+    return at.join(F.broadcast(known), "_part").withColumn(id_, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 def read_points(spark: SparkSession, path: str, id_: str = "ID", x: str = "x", y: str = "y") -> DataFrame:
     """CSV points with the named columns as ``ID, x, y`` and all others kept; without ids, rows are numbered in file order."""
     df = spark.read.csv(path, header=True, inferSchema=True)
     if missing := [c for c in (x, y) if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     if id_ not in df.columns:
-        df = df.withColumn(id_, F.monotonically_increasing_id() + 1)
+        df = numbered(df, id_)
     for old, new in ((id_, "ID"), (x, "x"), (y, "y")):
         df = df if old == new else df.withColumnRenamed(old, new)
     return df.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
@@ -36,13 +47,22 @@ def require_coordinates(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The append-only registry of runs, with ``ord`` in the order of its lines; a folder of JSON lines files."""
-    df = spark.read.schema(RUN_SCHEMA).json(path).where("run_id is not null")
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """The append-only registry of runs, with ``ord`` in the order of registration; a folder of JSON lines files, or none yet.
+
+    Records without a number, of files from elsewhere, come before the others in the order of their time.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{RUN_SCHEMA}, ord long")
+    df = spark.read.schema(f"{RUN_SCHEMA}, ord long").json(path).where("run_id is not null")
+    return df.withColumn("ord", F.coalesce("ord", F.unix_micros(F.try_to_timestamp("timestamp")) - F.lit(1 << 62)))
 
 
 def append_run(spark: SparkSession, path: str, record: dict) -> None:
-    spark.createDataFrame([record], RUN_SCHEMA).coalesce(1).write.mode("append").json(path)
+    """Add a record, numbered after all that are there; one writer at a time."""
+    last = read_runs(spark, path).agg(F.max("ord").alias("o")).first()["o"]
+    row = spark.createDataFrame([record], RUN_SCHEMA).withColumn("ord", F.lit(max(0, (-1 if last is None else last)) + 1).cast("long"))
+    row.coalesce(1).write.mode("append").json(path)
 
 
 def find_run(runs: DataFrame, run_id: str) -> DataFrame:
