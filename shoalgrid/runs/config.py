@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -18,9 +19,9 @@ from shoalgrid.sources.dictionaries import read_bytes
 MODEL_TYPES = {
     "rf": "random_forest", "xgb": "boosted", "lgbm": "boosted", "catboost": "deep_boosted", "rf_lgbm_ensemble": "forest_boosted", "mlp": "mlp", "rf_mlp_ensemble": "forest_mlp",
 }
-#: Data files that a run may read: kinds of files, and folders below the data folder. Fixed values.
+#: Data files that a run may read: kinds of files (fixed values), and folders below the data folder.
 EXTENSIONS = (".csv", ".tif", ".tiff", ".md", ".json", ".yaml", ".yml")
-FOLDERS = ("MBES", "mbes", "btm_rasters")
+FOLDERS = ("MBES", "mbes", "rasters")
 SCHEMES = ("spatial_blocked", "stratified_random")
 
 
@@ -35,6 +36,8 @@ class RunConfig:
     exclude_coords: bool = False
     flags: Flags = Flags()
     params: dict = field(default_factory=dict)
+    #: Columns of terrain layers that a points file may bring along.
+    brought: tuple[str, ...] = ("terrain_",)
 
     def spec(self, run_type: str, seed: int) -> Spec:
         kind = MODEL_TYPES[self.model_type or ("rf" if run_type == "baseline" else "xgb")]
@@ -54,24 +57,25 @@ def parse_config(text: str) -> RunConfig:
     if scheme not in SCHEMES:
         raise ValueError(f"fold scheme {scheme!r}; known: {', '.join(SCHEMES)}")
     coords = bool(flags.pop("exclude_coords", False))
-    flags.pop("include_btm_features", None)  # such columns are taken as they come
+    # switches of groups of columns that a points file brings along have no effect: such columns are taken as they come
+    flags = {k: v for k, v in flags.items() if k in Flags.__dataclass_fields__ or not re.fullmatch(r"include_\w+_features", k)}
     if unknown := set(flags) - set(Flags.__dataclass_fields__):
         raise ValueError(f"unknown feature flags: {', '.join(sorted(unknown))}")
-    return RunConfig(kind, int(cv.get("n_splits", 5)), scheme, int(cv.get("spatial_bins", 4)), coords, Flags(**flags), told.get("model_params") or {})
+    return RunConfig(kind, int(cv.get("n_splits", 5)), scheme, int(cv.get("spatial_bins", 4)), coords, Flags(**flags), told.get("model_params") or {}, tuple(told.get("brought_prefixes") or RunConfig.brought))
 
 
 def config_hash(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:12]
 
 
-def allowed_data(target: str, root: str) -> str:
-    """``target`` if it is a data file in ``root`` or in one of its known folders; else a ValueError."""
+def allowed_data(target: str, root: str, folders: tuple[str, ...] = FOLDERS) -> str:
+    """``target`` if it is a data file in ``root`` or in one of these folders of it; else a ValueError."""
     at, base = PurePosixPath(target), PurePosixPath(root)
     if ".." in at.parts or not at.is_relative_to(base):
         raise ValueError(f"{target} is not in {root}")
     parts = at.relative_to(base).parts
     known = at.suffix.lower() in EXTENSIONS
-    if known and (len(parts) == 1 or (len(parts) == 2 and parts[0] in FOLDERS)):
+    if known and (len(parts) == 1 or (len(parts) == 2 and parts[0] in folders)):
         return target
     raise ValueError(f"{target} is no data file of {root}")
 

@@ -23,9 +23,6 @@ from shoalgrid.operators import sampling as sp
 from shoalgrid.runs import config as cf
 from shoalgrid.sources import rasters, tables
 
-#: Columns of terrain layers that a points file may bring along.
-BROUGHT = ("terrain_", "btm_")
-
 
 def sampled_points(spark: SparkSession, points: DataFrame, bathymetry: str, backscatter: str) -> DataFrame:
     """Points with ``bathymetry`` and ``backscatter`` of their cells, each raster by its own map."""
@@ -37,11 +34,11 @@ def sampled_points(spark: SparkSession, points: DataFrame, bathymetry: str, back
     return out
 
 
-def _points(spark: SparkSession, path: str, bathymetry: str, backscatter: str, label: bool) -> DataFrame:
+def _points(spark: SparkSession, path: str, bathymetry: str, backscatter: str, label: bool, brought: tuple[str, ...]) -> DataFrame:
     df = tables.require_coordinates(tables.read_points(spark, path))
     if label and "class" not in df.columns:
         raise ValueError("missing columns: class")
-    keep = ["ID", "x", "y", *(["class"] if label else []), *(c for c in df.columns if c.startswith(BROUGHT))]
+    keep = ["ID", "x", "y", *(["class"] if label else []), *(c for c in df.columns if c.startswith(brought))]
     return sampled_points(spark, df.select(*keep), bathymetry, backscatter)
 
 
@@ -60,7 +57,7 @@ def train_run(spark: SparkSession, train_csv: str, bathymetry: str, backscatter:
     """
     text = cf.read_text(spark, config)
     cfg = cf.parse_config(text)
-    raw = _points(spark, train_csv, bathymetry, backscatter, True)
+    raw = _points(spark, train_csv, bathymetry, backscatter, True, cfg.brought)
     raw = raw.withColumn("class", F.col("class").cast("string"))
     own = [c for c in ft.numeric_columns(raw) if c != "ID"]
     stats = ft.fit_statistics(raw, own)
@@ -83,7 +80,7 @@ def train_run(spark: SparkSession, train_csv: str, bathymetry: str, backscatter:
     cf.write_json(spark, files["feature_columns"], columns)
     cf.write_json(spark, files["class_vocab"], vocab)
     cf.write_json(spark, f"{home}/class_vocabulary.json", vocab)
-    cf.write_json(spark, files["features"], {"statistics": asdict(stats), "flags": asdict(cfg.flags), "eco": eco.to_dict() if eco else None})
+    cf.write_json(spark, files["features"], {"statistics": asdict(stats), "flags": asdict(cfg.flags), "eco": eco.to_dict() if eco else None, "brought": cfg.brought})
     if eco:
         cf.write_json(spark, f"{at}/eco_thresholds.json", eco.to_dict())
     cf.write_json(spark, files["metrics"], {"run_id": run_id, "run_type": run_type, "weighted_f1": score, "per_class_f1": per_class, "fold_scheme": cfg.fold_scheme})
@@ -110,7 +107,7 @@ def predict_run(spark: SparkSession, run_id: str, test_csv: str, bathymetry: str
     saved = json.loads(cf.read_text(spark, run["artifacts"]["features"]))
     stats, eco = ft.Statistics(**saved["statistics"]), saved["eco"]
     flags = ft.Flags(**{**saved["flags"], "include_eco_features": False})
-    made = ft.engineer(_points(spark, test_csv, bathymetry, backscatter, False), stats, flags)
+    made = ft.engineer(_points(spark, test_csv, bathymetry, backscatter, False, tuple(saved["brought"])), stats, flags)
     if eco:
         made = ft.EcoModel.from_dict(eco).transform(made)
     told = ln.Fitted.load(spark, run["artifacts"]["model"]).predict(made)

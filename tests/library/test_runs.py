@@ -16,7 +16,7 @@ from shoalgrid.runs import lifecycle, segmentation
 from shoalgrid.sources import rasters, tables
 
 META = "# Points\n\nA made table.\n\ntitle: Points\nsource: made\nlicense: CC0\n"
-CONFIG = "model_type: rf\ncv: {n_splits: 3, fold_scheme: spatial_blocked}\nfeature_flags: {include_eco_features: false}\nmodel_params: {trees: 8, depth: 4}\n"
+CONFIG = "model_type: rf\nbrought_prefixes: [terrain_, own_]\ncv: {n_splits: 3, fold_scheme: spatial_blocked}\nfeature_flags: {include_eco_features: false}\nmodel_params: {trees: 8, depth: 4}\n"
 
 
 @pytest.fixture(scope="module")
