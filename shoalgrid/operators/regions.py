@@ -11,28 +11,42 @@ from shoalgrid.operators import terrain as t
 from shoalgrid.operators.grid import Shape
 
 
-def connected(cells: DataFrame, shape: Shape, value: str, out: str = "region", max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """``edges(a, b)`` of longs -> ``(node, component)``: the smallest node that links lead to, for each node of a link to another.
+
+    Large-star and small-star rounds: their number grows with the logarithm of the nodes, whatever
+    the shape. Minima are combined before they are shuffled, so a hub's links are in no single task.
+    """
+    now, seen = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    while True:
+        was, seen = seen, tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v").cast("decimal(38,0)"))).first())
+        if was == seen:
+            break  # a round has changed nothing: stars around their smallest nodes
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def connected(cells: DataFrame, shape: Shape, value: str, out: str = "region") -> DataFrame:
     """Number of each cell's region: the smallest cell number among four-connected cells of its value.
 
-    A round spreads the minimum along whole runs of equal value, first in rows, then in columns, so
-    rounds count a region's bends, not its cells. Missing values belong to no region. The raster must be dense.
+    Cells of a row that hang together are one run, named by its first cell; runs of equal value that touch
+    across rows are linked, and only these links go through rounds. However a region winds, it is found
+    whole. Missing values belong to no region. The raster must be dense.
     """
     v = F.col(value)
-    now = cells.withColumn(out, F.when(v.isNotNull(), F.col("r").cast("long") * shape.cols + F.col("c")))
-
-    def spread(df: DataFrame, line: str, along: str) -> DataFrame:
-        order = Window.partitionBy(line).orderBy(along)
-        begins = (~v.eqNullSafe(F.lag(v).over(order))).cast("int")
-        run = df.withColumn("_b", begins).withColumn("_run", F.sum("_b").over(order))
-        return run.withColumn(out, F.when(v.isNotNull(), F.min(out).over(Window.partitionBy(line, "_run")))).drop("_b", "_run")
-
-    total = None
-    for _ in range(max_rounds):
-        now = cut(spread(spread(now, "r", "c"), "c", "r"))
-        was, total = total, now.agg(F.sum(F.col(out).cast("decimal(38,0)"))).first()[0]
-        if was == total:
-            return now
-    raise RuntimeError("regions did not settle")
+    row, column = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
+    begins = F.col("r").cast("long") * shape.cols + F.col("c")
+    known = cells.withColumn("_at", F.when(~v.eqNullSafe(F.lag(v).over(row)) | F.lag("c").over(row).isNull(), begins))
+    known = cut(known.withColumn("_at", F.when(v.isNotNull(), F.last("_at", ignorenulls=True).over(row))))
+    above = known.select("_at", F.when(v == F.lag(v).over(column), F.lag("_at").over(column)).alias("_up"))
+    found = components(above.where("_up is not null").select(F.col("_at").alias("a"), F.col("_up").alias("b")))
+    named = known.join(found.withColumnRenamed("node", "_at"), "_at", "left").withColumn(out, F.coalesce("component", "_at"))
+    return named.select(*[c for c in cells.columns if c != out], out)
 
 
 def boundary(cells: DataFrame, zone: str, out: str = "on_edge") -> DataFrame:

@@ -1,7 +1,7 @@
-"""Block processing: NumPy functions over tiles that carry a halo of their neighbours' cells.
+"""Block processing: NumPy functions over tiles that carry a halo of their neighbours' cells; superpixels.
 
-This is for what SQL cannot say well (Gaussian smoothing, superpixels, user functions). Every
-cell is sent to the tiles whose halo holds it, in one shuffle; a task holds one tile.
+Tiles are for what SQL cannot say well (Gaussian smoothing, user functions). Every cell is
+sent to the tiles whose halo holds it, in one shuffle; a task holds one tile.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.functions.staging import cut
 from shoalgrid.operators.grid import Shape, _ghosts
 
 
@@ -81,37 +82,29 @@ def smoothed_curvature(cells: DataFrame, shape: Shape, sigma: float, value: str
     return process(cells, shape, run, value, block, len(w) // 2 + 3, outputs=("mean_curvature", "gaussian_curvature", "gradient"))
 
 
-def superpixels(cells: DataFrame, shape: Shape, values: list[str], step: int = 16, compactness: float = 0.1, rounds: int = 5, block: int = 128) -> DataFrame:
+def superpixels(cells: DataFrame, shape: Shape, values: list[str], step: int = 16, compactness: float = 0.1, rounds: int = 5) -> DataFrame:
     """``(r, c, segment)``: local k-means in value and position, from seeds on a square grid of ``step`` cells.
 
-    Values are scaled to 0..1 over the raster. Tiles are segmented by themselves; a segment's
-    number is unique over the raster. Cells with a missing value belong to no segment.
+    Values are scaled to 0..1 over the raster. A cell goes to the nearest of the centres at most ``step``
+    away in row and column, ties to the smaller number; one that has none, as centres move, keeps its
+    segment. Centres lie in buckets of ``step`` cells and reach the cells of the nine buckets around them
+    as one list for each bucket, so segments know no tiles and no seams. Cells with a missing value belong to no segment.
     """
     m = F.broadcast(cells.agg(*[f(v).alias(f"_{k}{v}") for v in values for k, f in (("lo", F.min), ("hi", F.max))]))  # one row
-    scale = [F.when(F.col(f"_hi{v}") == F.col(f"_lo{v}"), 0.0).otherwise((F.col(v) - F.col(f"_lo{v}")) / (F.col(f"_hi{v}") - F.col(f"_lo{v}"))).alias(v) for v in values]
-    rows = cells.crossJoin(m).select("r", "c", *scale).dropna()
-    keyed = rows.withColumn("tr", F.floor(F.col("r") / block)).withColumn("tc", F.floor(F.col("c") / block))
-    across = -(-shape.cols // block)
-    per_tile = (-(-block // step)) ** 2
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["r", "c"]].to_numpy(float)
-        x = np.column_stack([pdf[values].to_numpy(float) / compactness, at / step])
-        side = -(-block // step)
-        corner = np.array([pdf["tr"].iloc[0], pdf["tc"].iloc[0]]) * block
-        cell = np.minimum((at - corner) // step, side - 1).astype(int)
-        label = cell[:, 0] * side + cell[:, 1]
-        for _ in range(rounds):
-            ids, inv = np.unique(label, return_inverse=True)
-            n = np.bincount(inv)
-            centre = np.column_stack([np.bincount(inv, c) / n for c in x.T])
-            best, label = np.full(len(x), np.inf), label.copy()
-            for k, mid in zip(ids, centre):
-                near = np.flatnonzero((np.abs(x[:, -2:] - mid[-2:]) <= 1).all(axis=1))
-                d = ((x[near] - mid) ** 2).sum(axis=1)
-                closer = d < best[near]
-                best[near[closer]], label[near[closer]] = d[closer], k
-        first = (int(pdf["tr"].iloc[0]) * across + int(pdf["tc"].iloc[0])) * per_tile
-        return pd.DataFrame({"r": pdf["r"], "c": pdf["c"], "segment": first + label})
-
-    return keyed.groupBy("tr", "tc").applyInPandas(run, "r int, c int, segment long")
+    scale = [F.when(F.col(f"_hi{v}") == F.col(f"_lo{v}"), 0.0).otherwise((F.col(v) - F.col(f"_lo{v}")) / (F.col(f"_hi{v}") - F.col(f"_lo{v}"))) for v in values]
+    at = [(F.col(x) / step).alias(f"_y{k}") for k, x in enumerate("rc")]
+    across = -(-shape.cols // step)
+    rows = cells.crossJoin(m).select("r", "c", *at, *[(x / compactness).alias(f"_x{k}") for k, x in enumerate(scale)]).dropna()
+    place = ["_y0", "_y1", *[f"_x{k}" for k in range(len(values))]]
+    rows = rows.withColumn("br", F.floor("_y0")).withColumn("bc", F.floor("_y1"))
+    now = cut(rows.withColumn("segment", F.col("br") * across + F.col("bc")))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    for _ in range(rounds):
+        centres = now.groupBy("segment").agg(*[F.avg(p).alias(p) for p in place])
+        near = centres.withColumn("_o", around).withColumn("br", F.floor("_y0") + F.col("_o.i")).withColumn("bc", F.floor("_y1") + F.col("_o.j"))
+        lists = near.groupBy("br", "bc").agg(F.collect_list(F.struct("segment", *place)).alias("_near"))  # of nine buckets of step by step cells
+        met = now.join(lists, ["br", "bc"], "left")
+        close = F.filter("_near", lambda k: (F.abs(k["_y0"] - F.col("_y0")) <= 1) & (F.abs(k["_y1"] - F.col("_y1")) <= 1))
+        far = F.transform(close, lambda k: F.struct(sum(((k[p] - F.col(p)) ** 2 for p in place[1:]), (k[place[0]] - F.col(place[0])) ** 2).alias("d"), k["segment"].alias("s")))
+        now = cut(met.withColumn("segment", F.coalesce(F.array_min(far)["s"], "segment")).drop("_near"))
+    return now.select("r", "c", "segment")

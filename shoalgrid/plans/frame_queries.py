@@ -274,3 +274,21 @@ def class_report(spark, sf_dir):  # T-3 K8: the lines of a report, by class
 @query(f"{ZONED_SQL} SELECT count(*) AS annotated FROM zo WHERE k IS NOT NULL")
 def annotated_cells(spark, sf_dir):  # P17
     return fr.valid_cells(zoned(spark, sf_dir), ["k"]).agg(F.count("*").alias("annotated"))
+
+
+def _rounds_sql(rounds: int, step: int, compactness: float) -> str:
+    ctes = f"""WITH {views.GRID_SQL}, m AS (SELECT min(z) AS lo, max(z) AS hi, max(c) // {step} + 1 AS across FROM g),
+x AS (SELECT r, c, r / {step}.0 AS y, c / {step}.0 AS x, (z - lo) / (hi - lo) / {compactness} AS v FROM g, m),
+s0 AS (SELECT r, c, y, x, v, CAST((r // {step}) * across + c // {step} AS BIGINT) AS segment FROM x, m)"""
+    for k in range(rounds):
+        ctes += f""",
+c{k} AS (SELECT segment, avg(y) AS cy, avg(x) AS cx, avg(v) AS cv FROM s{k} GROUP BY segment),
+n{k} AS (SELECT s.r, s.c, arg_min(k.segment, (s.y - cy) ** 2 + (s.x - cx) ** 2 + (s.v - cv) ** 2) AS best FROM s{k} AS s JOIN c{k} AS k ON abs(s.y - cy) <= 1 AND abs(s.x - cx) <= 1 GROUP BY ALL),
+s{k + 1} AS (SELECT s.r, s.c, y, x, v, coalesce(best, segment) AS segment FROM s{k} AS s LEFT JOIN n{k} USING (r, c))"""
+    return f"{ctes}\nSELECT r, c, segment FROM s{rounds}"
+
+
+@query(_rounds_sql(2, 16, 0.1))
+def superpixel_segments(spark, sf_dir):  # M21
+    cells = views.depth_grid(spark, sf_dir)
+    return tl.superpixels(cells, views.shape(cells), ["z"], 16, 0.1, 2)

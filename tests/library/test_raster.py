@@ -194,3 +194,41 @@ def test_regions_match_a_walk(spark):
                         want[y, x] = r * 15 + c
                         todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
     assert np.array_equal(got, want, equal_nan=True)
+
+
+def test_winding_regions_are_whole(spark):
+    from shoalgrid.operators import regions
+
+    z = np.zeros((41, 41))  # a spiral of one cell's width, and what lies between its arms
+    r, c, d, n = 0, -1, 0, 41
+    steps = [n] + [k for k in range(n - 1, 0, -2) for _ in range(2)]
+    for length in steps:
+        for _ in range(length):
+            r, c = r + (0, 1, 0, -1)[d], c + (1, 0, -1, 0)[d]
+            z[r, c] = 1
+        d = (d + 1) % 4
+    got = back(regions.connected(cells(spark, z), shape(z), "z"), "region", z.shape)
+    assert set(got[z == 1]) == {0.0} and len(set(got[z == 0])) == 1
+    none = regions.connected(cells(spark, np.full((2, 3), -9999.0), -9999), Shape(2, 3, 1.0), "z")
+    assert none.count() == 6 and none.where("region is not null").count() == 0
+    assert regions.connected(cells(spark, np.empty((0, 0))), Shape(0, 0, 1.0), "z").count() == 0
+
+
+def test_superpixels_match_a_loop(spark):
+    from shoalgrid.operators import tiles
+
+    z = np.random.default_rng(2).normal(0, 1, (19, 23))
+    z[4, 4] = -9999
+    step, compactness, rounds = 5, 0.5, 3
+    got = back(tiles.superpixels(cells(spark, z, -9999), shape(z), ["z"], step, compactness, rounds), "segment", z.shape)
+    at = [(r, c) for r in range(19) for c in range(23) if z[r, c] != -9999]
+    lo, hi = min(z[a] for a in at), max(z[a] for a in at)
+    x = np.array([(r / step, c / step, (z[r, c] - lo) / (hi - lo) / compactness) for r, c in at])
+    label = np.array([r // step * 5 + c // step for r, c in at])
+    for _ in range(rounds):
+        ids = np.unique(label)
+        mid = np.array([x[label == k].mean(axis=0) for k in ids])
+        d = ((x[:, None] - mid[None]) ** 2).sum(axis=2)
+        d[(np.abs(x[:, None, :2] - mid[None, :, :2]) > 1).any(axis=2)] = np.inf
+        label = np.where(np.isfinite(d.min(axis=1)), ids[d.argmin(axis=1)], label)
+    assert [got[a] for a in at] == label.tolist() and np.isnan(got[4, 4])
