@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.functions.staging import cut
+from shoalgrid.operators.frames import in_band
+from shoalgrid.operators.zonal import nearest
+
 MODELS = {
     "exponential": lambda h, s, r, n: n + s * (1 - np.exp(-3 * h / r)),
     "spherical": lambda h, s, r, n: n + s * np.where(h < r, 1.5 * h / r - 0.5 * (h / r) ** 3, 1.0),
@@ -91,3 +95,29 @@ def indicator(points: DataFrame, targets: DataFrame, label: str, classes: list[s
     total = sum((F.coalesce(f"prob_{c}", F.lit(0.0)) for c in classes), F.lit(0.0))
     even = F.lit(1.0 / len(classes))
     return out.withColumn("_t", total).select("id", *[F.when(F.col("_t") > 0, F.coalesce(f"prob_{c}", F.lit(0.0)) / F.col("_t")).otherwise(even).alias(f"prob_{c}") for c in classes])
+
+
+def stratified_indicator(points: DataFrame, targets: DataFrame, label: str, classes: list[str], zone: str, width: int = 1, least: int = 20, most: int = 1500, id_: str = "id", **how) -> DataFrame:
+    """``(id, prob_{class})``: indicator kriging of each zone's targets from the points within ``width`` zones, or from all if they are fewer than ``least``.
+
+    Zones are whole numbers; a target without one gets even probabilities.
+    """
+    served = in_band(points, targets, zone, width, least).drop(zone).withColumnRenamed("for_zone", zone)
+    return indicator(served, targets, label, classes, zone, id_=id_, most=most, **how)
+
+
+def surface(points: DataFrame, targets: DataFrame, value: str, zone: str, bucket: float, model: str = "spherical", lags: int = 6, least: int = 10, k: int = 5, id_: str = "id") -> DataFrame:
+    """``(id, estimate)``: a value kriged within zones; the mean of the ``k`` nearest points where a zone has fewer than ``least``, or none is named.
+
+    Targets without coordinates get the median of all points; null only if no point has a value.
+    """
+    known = points.where(F.col(value).isNotNull())
+    rich = known.groupBy(zone).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(zone)
+    kriged = ordinary(known.join(rich, zone, "left_semi"), targets.join(rich, zone, "left_semi"), value, zone, model, lags, id_=id_)
+    numbered = known.select(F.monotonically_increasing_id().alias("_k"), "x", "y", F.col(value).cast("double").alias("_v"))
+    others = cut(numbered)  # numbers must not change between the search and the join
+    near = nearest(targets.join(rich, zone, "left_anti"), others.withColumnRenamed("_k", id_), k, bucket, id_)
+    means = near.join(others.select(F.col("_k").alias("other"), "_v"), "other").groupBy("id").agg(F.avg("_v").alias("_near"))
+    middle = known.agg(F.median(F.col(value).cast("double")).alias("_middle"))  # one row
+    out = targets.select(F.col(id_).alias("id")).join(kriged, "id", "left").join(means, "id", "left").crossJoin(F.broadcast(middle))
+    return out.select("id", F.coalesce("estimate", "_near", "_middle").alias("estimate"))

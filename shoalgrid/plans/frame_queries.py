@@ -292,3 +292,24 @@ s{k + 1} AS (SELECT s.r, s.c, y, x, v, coalesce(best, segment) AS segment FROM s
 def superpixel_segments(spark, sf_dir):  # M21
     cells = views.depth_grid(spark, sf_dir)
     return tl.superpixels(cells, views.shape(cells), ["z"], 16, 0.1, 2)
+
+
+#: Outlines made of nations: a bent quadrilateral with a square hole, around a place that the key gives.
+SIDE, OUTLINE, HOLE = 9, [(-1, -1), (1, -0.75), (0.75, 1), (-0.5, 1.25), (-1, -1)], [(-0.25, -0.25), (0.25, -0.25), (0.25, 0.25), (-0.25, 0.25), (-0.25, -0.25)]
+
+
+def _side_sql(corners: list) -> str:
+    return " UNION ALL ".join(f"SELECT n_nationkey AS fid, mx + {SIDE} * {a} AS sx, my + {SIDE} * {b} AS sy, mx + {SIDE} * {c} AS tx, my + {SIDE} * {d} AS ty FROM m" for (a, b), (c, d) in zip(corners, corners[1:]))
+
+
+@query(f"""WITH m AS (SELECT n_nationkey, n_nationkey * 29 % 110 AS mx, -(n_nationkey * 17 % 150) AS my FROM nation),
+p AS (SELECT c_custkey AS id, c_custkey * 37 % 110 + 0.5 AS x, -(c_custkey * 53 % 155) - 0.5 AS y FROM customer),
+s AS ({_side_sql(OUTLINE)} UNION ALL {_side_sql(HOLE)}),
+h AS (SELECT id, fid FROM p JOIN s ON (sy > y) <> (ty > y) AND x < (tx - sx) * (y - sy) / (ty - sy) + sx GROUP BY id, fid HAVING count(*) % 2 = 1)
+SELECT p.id, h.fid FROM p LEFT JOIN h USING (id)""")
+def points_in_polygons(spark, sf_dir):  # J14
+    key = F.col("n_nationkey")
+    mx, my = key * 29 % 110, -(key * 17 % 150)
+    ring = lambda corners: F.array(*[F.struct((mx + F.lit(SIDE * a)).cast("double").alias("x"), (my + F.lit(SIDE * b)).cast("double").alias("y")) for a, b in corners])
+    polygons = views.read(spark, sf_dir, "nation").select(key.alias("fid"), F.array(ring(OUTLINE), ring(HOLE)).alias("rings"))
+    return zn.within(views.points(spark, sf_dir, 150), polygons, 8.0)

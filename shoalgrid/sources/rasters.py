@@ -6,10 +6,11 @@ kept as Parquet tables of cells, sorted by tile, which prune.
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -110,8 +111,8 @@ def lzw_encode(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def decode_tiff(raw: bytes) -> tuple[np.ndarray, Meta]:
-    """Band 1 and the map of a classic TIFF."""
+def _tags(raw: bytes) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the tags of a classic TIFF."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if not order or struct.unpack(order + "H", raw[2:4])[0] != 42:
         raise ValueError("not a classic TIFF")
@@ -126,6 +127,24 @@ def decode_tiff(raw: bytes) -> tuple[np.ndarray, Meta]:
         if size > 4:
             place = struct.unpack(order + "I", raw[place : place + 4])[0]
         tags[tag] = struct.unpack(f"{order}{n}{_KINDS[kind]}", raw[place : place + size])
+    return order, tags
+
+
+def _meta(tags: dict[int, tuple]) -> Meta:
+    meta = Meta(rows=tags[HEIGHT][0], cols=tags[WIDTH][0])
+    if PIXEL_SCALE in tags and TIEPOINT in tags:
+        sx, sy = tags[PIXEL_SCALE][:2]
+        i, j, _, x, y, _ = tags[TIEPOINT][:6]
+        meta = replace(meta, a=sx, e=-sy, c=x - i * sx, f=y + j * sy)
+    if NODATA in tags:
+        text = b"".join(tags[NODATA]).split(b"\0")[0].strip()
+        meta = replace(meta, nodata=float(text) if text else None)
+    return meta
+
+
+def decode_tiff(raw: bytes) -> tuple[np.ndarray, Meta]:
+    """Band 1 and the map of a classic TIFF."""
+    order, tags = _tags(raw)
     rows, cols = tags[HEIGHT][0], tags[WIDTH][0]
     bits, form, compression = tags.get(BITS, (1,))[0], tags.get(FORMAT, (1,))[0], tags.get(COMPRESSION, (1,))[0]
     if compression not in (1, 5):
@@ -143,15 +162,7 @@ def decode_tiff(raw: bytes) -> tuple[np.ndarray, Meta]:
         if tags.get(PREDICTOR, (1,))[0] == 2:
             part = np.cumsum(part, axis=1, dtype=part.dtype)
         out[r : r + high, c : c + w] = part[: rows - r, : cols - c]
-    meta = Meta(rows=rows, cols=cols)
-    if PIXEL_SCALE in tags and TIEPOINT in tags:
-        sx, sy = tags[PIXEL_SCALE][:2]
-        i, j, _, x, y, _ = tags[TIEPOINT][:6]
-        meta = replace(meta, a=sx, e=-sy, c=x - i * sx, f=y + j * sy)
-    if NODATA in tags:
-        text = b"".join(tags[NODATA]).split(b"\0")[0].strip()
-        meta = replace(meta, nodata=float(text) if text else None)
-    return out, meta
+    return out, _meta(tags)
 
 
 def encode_tiff(a: np.ndarray, meta: Meta, compress: bool = True) -> bytes:
@@ -186,10 +197,16 @@ def encode_tiff(a: np.ndarray, meta: Meta, compress: bool = True) -> bytes:
 
 
 def read_meta(spark: SparkSession, path: str) -> Meta:
-    rows = spark.read.format("binaryFile").load(path).limit(1).collect()
+    """Map, nodata and size of the first file under ``path``; its tags are read by a task, and no pixel is decoded."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            yield pd.DataFrame({"meta": [json.dumps(asdict(_meta(_tags(bytes(raw))[1]))) for raw in pdf["content"]]})
+
+    rows = spark.read.format("binaryFile").load(path).limit(1).select("content").mapInPandas(run, "meta string").collect()
     if not rows:
         raise FileNotFoundError(path)
-    return decode_tiff(bytes(rows[0]["content"]))[1]
+    return Meta(**json.loads(rows[0]["meta"]))
 
 
 def read_tiff(spark: SparkSession, path: str, value: str = "z") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,20 @@ def require_coordinates(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return df
 
 
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table at ``path`` if a write of it has ended; otherwise what ``build`` gives, written there first."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_zones(cells: DataFrame, zone: str, path: str, cell: float = 1.0, area: float = 100.0) -> None:
+    """Cells of the zones whose area is above ``area``, with the area, as Parquet: a polygon is the cells it covers."""
+    wide = cells.where(F.col(zone).isNotNull()).groupBy(zone).agg((F.count("*") * cell * cell).alias("area")).where(F.col("area") > area)
+    cells.join(wide, zone).write.mode("overwrite").parquet(path)
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The append-only registry of runs, with ``ord`` in the order of registration; a folder of JSON lines files, or none yet.
 

@@ -99,6 +99,23 @@ def test_kriging_reproduces_and_interpolates(spark):
     assert right > 70
 
 
+def test_kriging_in_bands_and_where_points_are_few(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 10, (2, 90))
+    zone = np.where(x < 4, 0, np.where(x < 9.5, 1, 4))
+    pts = spark.createDataFrame([(k, float(a), float(b), float(a + b), "A" if a < 5 else "B", int(z)) for k, (a, b, z) in enumerate(zip(x, y, zone))], "id long, x double, y double, v double, class string, zone int")
+    p = kriging.stratified_indicator(pts, pts, "class", ["A", "B"], "zone")
+    assert p.count() == 90 and p.where(F.abs(F.col("prob_A") + F.col("prob_B") - 1) > 1e-9).count() == 0
+    assert p.join(pts, "id").where((F.col("prob_A") > 0.5) == (F.col("class") == "A")).count() > 80
+    few = int((zone == 4).sum())
+    assert 0 < few < 10
+    targets = spark.createDataFrame([(0, 2.0, 5.0, 0), (1, 7.0, 5.0, 1), (2, 9.8, 5.0, 4), (3, 2.0, 5.0, None), (4, None, None, 4)], "id long, x double, y double, zone int")
+    got = {r["id"]: r["estimate"] for r in kriging.surface(pts, targets, "v", "zone", 2.0).collect()}
+    near = lambda a, b: float(np.mean((x + y)[np.argsort(np.hypot(x - a, y - b))[:5]]))
+    assert abs(got[0] - 7) < 0.5 and abs(got[1] - 12) < 0.5
+    assert got[2] == pytest.approx(near(9.8, 5)) and got[3] == pytest.approx(near(2, 5)) and got[4] == pytest.approx(float(np.median(x + y)))
+
+
 def test_nearest_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     a, b = rng.uniform(0, 50, (60, 2)), np.vstack([rng.uniform(0, 50, (90, 2)), rng.uniform(900, 950, (2, 2))])

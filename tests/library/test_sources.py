@@ -1,13 +1,14 @@
 """Dictionaries, TIFF files, registries and metadata."""
 
 import io
+import struct
 import zipfile
 
 import numpy as np
 import pytest
 
 from shoalgrid.sources import dictionaries as d
-from shoalgrid.sources import rasters, tables
+from shoalgrid.sources import geopackage, rasters, tables
 
 HEAD = "Class,Zone,BroadBPI_Lower,BroadBPI_Upper,FineBPI_Lower,FineBPI_Upper,Slope_Lower,Slope_Upper,Depth_Lower,Depth_Upper\n"
 
@@ -91,3 +92,40 @@ def test_metadata():
     assert got["title"] == got["description"] == "Survey" and got["source"] == "ship" and got["license"] == "open"
     with pytest.raises(ValueError):
         tables.parse_metadata("Title: T")
+
+
+def test_geopackage_round_trip_and_points(spark, tmp_path):
+    from shoalgrid.operators import zonal
+
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n), (x, y)]
+    rows = [(1, [square(0.0, 0.0, 10.0), square(4.0, 4.0, 2.0)], "reef"), (2, [square(8.0, 8.0, 5.0)], None), (3, None, "no place"), (4, [], "empty")]
+    held = spark.createDataFrame(rows, f"fid long, rings {geopackage.RINGS}, label string")
+    (tmp_path / "a.gpkg").write_bytes(geopackage.to_geopackage(held, "my zones", ["label"]))
+    got = {r["fid"]: r for r in geopackage.read_layer(spark, str(tmp_path / "a.gpkg"), "my zones").collect()}
+    assert [[tuple(p) for p in ring] for ring in got[1]["rings"]] == rows[0][1] and got[1]["attributes"] == {"label": "reef"}
+    assert got[2]["attributes"] == {} and got[3]["rings"] is None and got[4]["rings"] == [] and got[1]["layer"] == "my zones"
+    with pytest.raises(Exception, match="no layer"):
+        geopackage.read_layer(spark, str(tmp_path / "a.gpkg"), "other").collect()
+    with pytest.raises(ValueError):
+        geopackage.to_geopackage(held, "x", [], most=3)
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 9.0, 9.0), (4, 12.0, 12.0), (5, 50.0, 1.0), (6, None, 1.0)], "id long, x double, y double")
+    polygons = geopackage.read_layer(spark, str(tmp_path / "a.gpkg"))
+    for bucket in (1.0, 7.0, 100.0):
+        found = sorted(tuple(r) for r in zonal.within(points, polygons, bucket).na.fill(-1).collect())
+        assert found == [(1, 1), (2, -1), (3, 1), (3, 2), (4, 2), (5, -1), (6, -1)]
+    multi = struct.pack("<BII", 1, 6, 2) + 2 * geopackage.encode_geometry([square(1.0, 1.0, 2.0)])[8:]
+    assert len(geopackage.parse_geometry(b"GP" + struct.pack("<BBi", 0, 1, -1) + multi)) == 2
+
+
+def test_cached_tables_and_zones(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([(r, c, 1 if r < 12 else 2) for r in range(14) for c in range(10)], "r int, c int, zone int")
+
+    first = tables.cached(spark, f"{tmp_path}/features", build)
+    again = tables.cached(spark, f"{tmp_path}/features", build)
+    assert built == [1] and first.count() == again.count() == 140
+    tables.write_zones(again, "zone", f"{tmp_path}/zones")
+    assert {(r["zone"], r["area"]) for r in spark.read.parquet(f"{tmp_path}/zones").collect()} == {(1, 120.0)}
