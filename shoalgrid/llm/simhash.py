@@ -226,9 +226,9 @@ BLOCK_SHINGLES = 1 << 18
 
 
 def shingle_sets(docs: DataFrame, width: int, words: int) -> DataFrame:
-    """``(doc_id, node, w, fp, prefix, bits)`` of each row of ``docs(doc_id, text)``: the set of the text's shingles.
+    """``(doc_id, mark, node, w, fp, prefix, bits)`` of each row of ``docs(doc_id, text)``: the set of the text's shingles.
 
-    ``bits`` holds the sorted distinct hashes, ``w`` their number and ``node`` a hash of them all; ``fp`` is the
+    ``mark`` is a hash of the text; ``bits`` holds the sorted distinct hashes, ``w`` their number and ``node`` a hash of them all; ``fp`` is the
     majority fingerprint of the set. Two sets alike to 0.8 or more share a hash of their ``prefix``, the first
     ``w - ceil(0.8 w) + 1`` hashes, which sets of at most ``SHORT_MEETS`` shingles carry.
     """
@@ -241,12 +241,12 @@ def shingle_sets(docs: DataFrame, width: int, words: int) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(x, 7) for x in raw], np.uint64).view(np.int64)
             prefix = [h[: len(h) - -(-4 * len(h) // 5) + 1].view(np.int64).tolist() if 0 < len(h) <= SHORT_MEETS else [] for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.array([f.tolist() for f in fps], pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
-                ["doc_id", "node", "w", "fp", "prefix", "bits"],
+                [b.column(0), b.column(2), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.array([f.tolist() for f in fps], pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
+                ["doc_id", "mark", "node", "w", "fp", "prefix", "bits"],
             )
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, w int, fp array<long>, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, node long, w int, fp array<long>, prefix array<long>, bits binary")
 
 
 def alike(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -337,13 +337,14 @@ def verified_links(rows: DataFrame) -> DataFrame:
 
 
 def near_copy_groups(docs: DataFrame, width: int = 5, radius: int = 60, words: int = 4, first_radius: int = 24) -> DataFrame:
-    """``(doc_id, component_id)`` for each row of ``docs(doc_id, text)``: the smallest doc_id of its group of near copies.
+    """``(doc_id, component_id, mark, group)`` for each row of ``docs(doc_id, text)``: the smallest doc_id of its group of near copies.
 
     Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of 0.8 or more,
     and a group is what a chain of links joins. Fingerprints only find candidates: 256 bits, of which texts
     alike to 0.8 differ in 39 with a deviation of 6, within a loose ``radius``; texts of few shingles are found
     by shared shingles instead, without a miss. Texts without words are linked to each other only.
-    Null ids are kept and never name a group.
+    Null ids are kept and never name a group. ``group`` tells groups apart where an id is repeated over
+    different texts or all ids of a group are null, and ``mark``, a hash of the text, rows of one id.
     """
     told = shingle_sets(docs, width, words)
     prints = staged(told.drop("bits"), "fingerprints")
@@ -363,20 +364,27 @@ def near_copy_groups(docs: DataFrame, width: int = 5, radius: int = 60, words: i
     links = verified_links(sets.groupBy("comp", "node", "w").agg(F.first("bits").alias("bits")))
     named = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_node = staged(named.join(ids, "component").select("node", "component_id"), "classes")
-    return prints.join(by_node, "node", "left").select("doc_id", "component_id")
+    by_node = staged(named.join(ids, "component").select("node", F.col("component").alias("group"), "component_id"), "classes")
+    return prints.join(by_node, "node", "left").select("doc_id", "component_id", "mark", "group")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the smallest doc_id.
+    """Keep one document of each group of near copies: the one with the smallest doc_id, null ones last.
 
-    Rows repeated under that id are reduced to one (the smallest remaining columns); rows with
-    a null doc_id cannot name a group and are all kept. All columns are kept.
+    Of rows with that id in the group one text stays (the smallest hash), and of rows equal in id and text the one with the
+    smallest remaining columns. Different texts under one id are different documents. All columns are kept.
     """
     groups = near_copy_groups(docs.select("doc_id", "text"), **how)
-    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
-    if ids.where("n > 1").limit(1).count():
-        rest = [c for c in docs.columns if c != "doc_id"]
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", *[F.col("_row")[c].alias(c) for c in rest])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    per_row = groups.groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("k")
+    chosen = staged(per_row.groupBy("group").agg(first).select(F.col("k.doc_id").alias("id"), "k.mark", "k.n"), "chosen")
+
+    def picked(rows: DataFrame) -> DataFrame:
+        return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["mark"]), "left_semi")
+
+    if not chosen.where("n > 1").limit(1).count():
+        return picked(chosen)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = picked(chosen.where("n > 1")).groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *rest)).alias("_row"))
+    least = least.select("doc_id", "text", *[F.col("_row")[c].alias(c) for c in rest])
+    return picked(chosen.where("n = 1")).unionByName(least).select(*docs.columns)

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shoalgrid.llm import line_dedup, mixing, sharding, simhash
 from shoalgrid.llm.components import connected_components
@@ -74,7 +75,18 @@ def test_simhash_nulls_repeats_and_empty(spark):
     assert got == [(-1, -1), (-1, 7), (3, 3), (4, 3), (7, 7), (7, 7), (9, 7)]
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
     kept = sorted(str(r["doc_id"]) for r in simhash.drop_near_copies(df).collect())
-    assert kept == ["3", "7", "None", "None"]
+    assert kept == ["3", "7", "None"]  # the null id with the words of 7 is one of its group
+
+
+def test_near_copies_under_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(900)) for _ in range(50)) for _ in range(4))
+    rows = [(1, a, "s"), (1, b, "s"), (1, b, "t"), (2, a, "s"), (3, b + " more", "s"), (None, c, "s"), (None, c + " more", "s"), (None, c, "s"), (None, d, "s"), (5, d, "s"), (6, "", "s"), (None, None, "s")]
+    df = docs(spark, rows)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.drop_near_copies(df).collect())
+    assert kept[:4] == sorted([("1", a), ("1", b), ("5", d), ("6", "")]) and len(kept) == 5
+    assert kept[4][0] == "None" and kept[4][1] in (c, c + " more")
+    assert [r["source"] for r in simhash.drop_near_copies(df).where(F.col("text") == b).collect()] == ["s"]
 
 
 def test_near_copies_at_the_stage_defaults(spark):
