@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoalgrid.llm import embedding_dedup, line_dedup, mixing, nearest, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from shoalgrid.llm import decontamination, embedding_dedup, importance, line_dedup, mixing, nearest, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op13_importance": importance.op13_importance,
+}
+SQL = {
+    "op2_embedding_near_dedup": embedding_dedup.OP2_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_decontamination": decontamination.OP11_SQL,
+    "op13_importance": importance.OP13_SQL,
 }
-SQL = {"op2_embedding_near_dedup": embedding_dedup.OP2_SQL, "op8_url_filter": url_filter.OP8_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
