@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoalgrid.llm import decontamination, embedding_dedup, importance, line_dedup, mixing, nearest, quality, sentencepiece_codec, sharding, simhash, toxicity, url_filter
+from shoalgrid.llm import decontamination, embedding_dedup, importance, line_dedup, mixing, nearest, quality, sentencepiece_codec, sharding, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_nearest_neighbours": nearest.op10_nearest_neighbours,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_spelling": spelling.op12_spelling,
     "op13_importance": importance.op13_importance,
 }
 SQL = {
@@ -23,5 +24,6 @@ SQL = {
     "op8_url_filter": url_filter.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op11_decontamination": decontamination.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
     "op13_importance": importance.OP13_SQL,
 }
