@@ -45,18 +45,20 @@ def near_words(words: DataFrame) -> DataFrame:
 
     Bigrams are ordered by how often they occur, rare ones first; a word is filed under its three
     first ones (by order, then place). Of two words one edit apart, the first bigram in that order that the edit
-    leaves whole stands among the three of both, since the edit touches two at most. Its place is the same if their lengths are, else the
-    longer word's or one less. So words meet on (bigram, place, length) by equality alone, and no pair is lost.
+    leaves whole stands among the three of both, since the edit touches two at most; and the edit lies to its left or to its right. So the
+    words meet where all up to that bigram, or all from it on, is the same, and the lengths are the same or one apart:
+    equality alone, which limits the place as well, and no pair is lost.
     The table of bigrams, which is broadcast, is bounded by the square of the alphabet.
     """
     placed = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("at")).withColumn("gram", F.expr("substring(word, at, 2)"))
     counts = placed.groupBy("gram").agg(F.count("*").alias("seen"))
     first = F.slice(F.sort_array(F.collect_list(F.struct("seen", "gram", "at"))), 1, RAREST)
     filed = placed.join(F.broadcast(counts), "gram").groupBy("word").agg(first.alias("first")).select("word", F.explode("first").alias("x"))
-    filed = filed.select("word", F.col("x.gram").alias("gram"), F.col("x.at").alias("at"), F.char_length("word").alias("size"), _letters(F.col("word")).alias("letters"))
-    meets = F.array(*[F.struct((F.col("at") + a).alias("at"), (F.col("size") + b).alias("size")) for a, b in ((0, 0), (0, 1), (1, 1))])
-    sent = filed.select(F.col("word").alias("other"), F.col("letters").alias("other_letters"), F.col("size").alias("other_size"), "gram", F.explode(meets).alias("m")).select("other", "other_letters", "other_size", "gram", "m.at", "m.size")
-    pairs = filed.join(sent, ["gram", "at", "size"]).where(
+    at, size = F.col("x.at"), F.char_length("word")
+    sides = F.array(F.concat(F.lit("<"), F.substring("word", F.lit(1), at + 1)), F.concat(F.lit(">"), F.substring("word", at, size)))
+    held = filed.select("word", size.alias("size"), _letters(F.col("word")).alias("letters"), F.explode(sides).alias("part"))
+    sent = held.select(F.col("word").alias("other"), F.col("letters").alias("other_letters"), F.col("size").alias("other_size"), "part", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"))
+    pairs = held.join(sent, ["part", "size"]).where(
         (F.bit_count(F.col("letters").bitwiseXOR(F.col("other_letters"))) <= 2)
         & ((F.col("size") > F.col("other_size")) | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1),
     ).select("word", "other").distinct()
