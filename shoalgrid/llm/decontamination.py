@@ -113,14 +113,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "spans", n: i
     if remove not in ("spans", "documents"):
         raise ValueError("remove must be 'spans' or 'documents'")
     hit = contamination(docs, items, n).where("n_hit > 0").groupBy("_k1", "_k2").agg(F.first("spans").alias("_spans"))
-    found = skewed_left_join(with_text_key(docs), staged(hit, "hit-texts"), ["_k1", "_k2"])
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # so that no name of theirs clashes
+    found = skewed_left_join(with_text_key(whole), staged(hit, "hit-texts"), ["_k1", "_k2"])
     if remove == "documents":
-        return found.where("_spans is null").select(*docs.columns)
+        return found.where("_spans is null").select("_row.*")
     pieces = F.regexp_extract_all("text", F.lit(rf"{BETWEEN[:-1]}*[^{BETWEEN[1:-1]}+|{BETWEEN}$"), 0)
     found = found.withColumn("_pieces", F.when(F.col("_spans").isNotNull(), pieces))
     after = F.transform("_spans", lambda s, k: F.slice("_pieces", s["end"] + 1, F.coalesce(F.get("_spans", k + 1)["start"], F.size("_pieces")) - s["end"]))
     kept = F.concat(F.slice("_pieces", F.lit(1), F.get("_spans", F.lit(0))["start"]), F.flatten(after))
-    return found.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))).select(*docs.columns)
+    cleaned = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    return found.select(*[cleaned.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,9 +115,9 @@ def resample(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (5, 10
 def drawn_documents(docs: DataFrame, target: DataFrame, **settings) -> DataFrame:
     """The drawn rows of ``docs`` with all their columns; of equal rows (id and text) all stay if one is drawn."""
     drawn = resample(docs, target, **settings).where("rank is not null").select("doc_id", "_k1", "_k2").distinct().withColumnRenamed("doc_id", "_id")
-    keyed = with_text_key(docs)
-    met = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (keyed["_k1"] == drawn["_k1"]) & (keyed["_k2"] == drawn["_k2"])
-    return keyed.join(drawn, met, "left_semi").select(*docs.columns)
+    keyed = with_text_key(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))  # so that no name of theirs clashes
+    met = (keyed["doc_id"].eqNullSafe(drawn["_id"])) & (keyed["_k1"] == drawn["_k1"]) & (keyed["_k2"] == drawn["_k2"])
+    return keyed.join(drawn, met, "left_semi").select("_row.*")
 
 
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
