@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalgrid.functions.staging import cut
+from shoalgrid.functions.staging import cut, unwritten, written
 from shoalgrid.operators import grid as g
 from shoalgrid.operators import terrain as t
 from shoalgrid.operators.grid import Shape
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds: their number grows with the logarithm of the nodes, whatever
     the shape. Minima are combined before they are shuffled, so a hub's links are in no single task.
     """
-    now, seen = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    now, seen = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
         was, seen = seen, tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v").cast("decimal(38,0)"))).first())
         if was == seen:
@@ -27,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        unwritten(now)
+        now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

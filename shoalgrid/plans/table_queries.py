@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalgrid.operators import distance as ds
 from shoalgrid.operators import features as ft
 from shoalgrid.operators import metrics as mt
+from shoalgrid.operators import outlines as ol
 from shoalgrid.operators import records as rc
 from shoalgrid.operators import regions as rg
 from shoalgrid.operators import sampling as sp
 from shoalgrid.operators import terrain as t
 from shoalgrid.operators import texture as tx
 from shoalgrid.operators import zonal as zn
+from shoalgrid.operators.grid import Shape
 from shoalgrid.plans import views
 from shoalgrid.plans.terrain_queries import AREA, BASE, SLOPE, around, bpi_sql, horn, offsets, ring3, rounded, std_sql, vrm_sql
 from shoalgrid.plans.views import BOTH_SQL, GRID_SQL, POINTS_SQL, SIZE_SQL
@@ -287,7 +290,15 @@ def morans_i(spark, sf_dir):  # A24
 def isobath_distances(spark, sf_dir):  # O-F29 P14
     cells, s, points = _points(spark, sf_dir)
     here = located(points, s).where((F.col("r") < s.rows) & (F.col("c") < s.cols))
-    return rounded(zn.isobath_distance(here, cells, s, -10.0, 4.0), "distance")
+    whole = ds.distance_transform(cells, s, F.abs(F.col("z") + 10) < 0.5)
+    return rounded(here.join(whole, ["r", "c"]).select("id", "distance"), "distance")
+
+
+@query(f"WITH {GRID_SQL}, {SIZE_SQL}, i AS (SELECT r, c FROM g WHERE abs(z + 10) < 0.1) SELECT g.r, g.c, round(5 * sqrt(min((g.r - i.r) ** 2 + (g.c - i.c) ** 2)), 6) AS distance FROM g, i GROUP BY g.r, g.c")
+def isobath_raster(spark, sf_dir):  # O-F29
+    cells = views.depth_grid(spark, sf_dir)
+    s = views.shape(cells)
+    return rounded(ds.distance_transform(cells, Shape(s.rows, s.cols, 5.0), F.abs(F.col("z") + 10) < 0.1), "distance")
 
 
 @query(f"""{TABLES}, k AS (SELECT id, CAST(floor(-y) AS INT) AS pr, CAST(floor(x) AS INT) AS pc FROM p, n WHERE floor(-y) < nr AND floor(x) < nc),
@@ -367,11 +378,24 @@ def plane_rugosity(spark, sf_dir):  # L7
     return rounded(rounded(rounded(out, "rugosity"), "plane_slope", digits=5), "plane_aspect", digits=4)
 
 
-@query(f"""WITH RECURSIVE {GRID_SQL}, {SIZE_SQL}, d AS (SELECT r * nc + c AS id, r, c, z < -9 AS deep FROM g, n),
+REGIONS_SQL = f"""WITH RECURSIVE {GRID_SQL}, {SIZE_SQL}, d AS (SELECT r * nc + c AS id, r, c, z < -9 AS deep FROM g, n),
 h AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON b.r = a.r AND b.c = a.c + 1 AND b.deep = a.deep UNION ALL SELECT a.id, b.id FROM d a JOIN d b ON b.c = a.c AND b.r = a.r + 1 AND b.deep = a.deep),
 k AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
-w(id, region) USING KEY (id) AS (SELECT id, id FROM d UNION SELECT k.a, min(w.region) FROM w JOIN k ON k.b = w.id JOIN recurring.w AS old ON old.id = k.a WHERE w.region < old.region GROUP BY k.a)
-SELECT r, c, CAST(region AS BIGINT) AS region FROM d JOIN w USING (id)""")
+w(id, region) USING KEY (id) AS (SELECT id, id FROM d UNION SELECT k.a, min(w.region) FROM w JOIN k ON k.b = w.id JOIN recurring.w AS old ON old.id = k.a WHERE w.region < old.region GROUP BY k.a)"""
+
+
+@query(f"{REGIONS_SQL} SELECT r, c, CAST(region AS BIGINT) AS region FROM d JOIN w USING (id)")
 def connected_regions(spark, sf_dir):  # M27
     cells = views.depth_grid(spark, sf_dir).withColumn("deep", F.col("z") < -9)
     return rg.connected(cells, views.shape(cells), "deep").select("r", "c", "region")
+
+
+@query(f"""{REGIONS_SQL},
+m AS (SELECT r, c, region FROM d JOIN w USING (id)),
+q AS (SELECT region, r + dr AS y, c + dc AS x, count(*) AS n, sum(dr) AS sr, sum(dc) AS sc FROM m, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dr, dc) GROUP BY ALL),
+e AS (SELECT region, count(*) FILTER (n = 1) AS q1, count(*) FILTER (n = 3) AS q3, count(*) FILTER (n = 2 AND sr = 1 AND sc = 1) AS qd FROM q GROUP BY region),
+s AS (SELECT m.region, count(*) AS cells, count(f.r) + count(b.r) AS beside FROM m LEFT JOIN m f ON f.r = m.r AND f.c = m.c + 1 AND f.region = m.region LEFT JOIN m b ON b.r = m.r + 1 AND b.c = m.c AND b.region = m.region GROUP BY m.region)
+SELECT CAST(region AS BIGINT) AS fid, CAST(cells AS DOUBLE) AS area, CAST(2 - (q1 - q3 + 2 * qd) // 4 AS BIGINT) AS n_rings, CAST(q1 + q3 + 2 * qd AS BIGINT) AS n_vertices, CAST(4 * cells - 2 * beside AS DOUBLE) AS length FROM e JOIN s USING (region)""")
+def region_outlines(spark, sf_dir):  # M27 K16
+    cells = views.depth_grid(spark, sf_dir).withColumn("deep", F.col("z") < -9)
+    return ol.outlines(cells, views.shape(cells), "deep").drop("rings")
