@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.selection import average_ranks, exact_quantiles
+
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
@@ -33,11 +35,13 @@ class Statistics:
 
 
 def fit_statistics(df: DataFrame, columns: list[str] | None = None) -> Statistics:
-    """One aggregate over the frame; a column without values has median and mean 0 and deviation 1."""
+    """Exact medians, and one aggregate over the frame; a column without values has median and mean 0 and deviation 1."""
     columns = columns or numeric_columns(df)
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    row = df.agg(*[a for c, x in clean.items() for a in (F.median(x).alias(f"m_{c}"), F.avg(x).alias(f"a_{c}"), F.stddev_samp(x).alias(f"s_{c}"))]).first()
-    return Statistics({c: row[f"m_{c}"] or 0.0 for c in columns}, {c: row[f"a_{c}"] or 0.0 for c in columns}, {c: row[f"s_{c}"] or 1.0 for c in columns})
+    plain = df.select(*[x.alias(c) for c, x in clean.items()])
+    medians = {c: m[0] for c, m in exact_quantiles(plain, {c: [0.5] for c in columns}).items()}
+    row = plain.agg(*[a for c in columns for a in (F.avg(c).alias(f"a_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
+    return Statistics({c: medians[c] or 0.0 for c in columns}, {c: row[f"a_{c}"] or 0.0 for c in columns}, {c: row[f"s_{c}"] or 1.0 for c in columns})
 
 
 def impute(df: DataFrame, stats: Statistics) -> DataFrame:
@@ -47,11 +51,8 @@ def impute(df: DataFrame, stats: Statistics) -> DataFrame:
 
 
 def with_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Rank from 1 with ties at their mean, through the distinct values only: what is sorted in one task is their counts."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(column, (before + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, column, "left").select(*df.columns, out)
+    """Rank from 1 with ties at their mean, through the distinct values, which are ranked over all tasks."""
+    return df.join(average_ranks(df, column, out), column, "left").select(*df.columns, out)
 
 
 @dataclass(frozen=True)
@@ -99,14 +100,12 @@ class EcoModel:
     @classmethod
     def fit(cls, df: DataFrame, label: str | None = None, target: str = "SGAM") -> EcoModel:
         own = F.when(F.col(label) == target, F.col("bathymetry")) if label else F.lit(None).cast("double")
-        r = df.agg(
-            F.percentile("bathymetry", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("e"), F.percentile("terrain_fine_bpi", F.lit(0.25)).alias("b"),
-            F.percentile("terrain_slope", F.lit(0.25)).alias("s"), F.min(own).alias("lo"), F.max(own).alias("hi"),
-        ).first()
-        edges = list(r["e"])
+        r = df.agg(F.min(own).alias("lo"), F.max(own).alias("hi")).first()
+        q = exact_quantiles(df, {"bathymetry": [0.0, 0.25, 0.5, 0.75, 1.0], "terrain_fine_bpi": [0.25], "terrain_slope": [0.25]})
+        edges = q["bathymetry"]
         for k in range(1, len(edges)):
             edges[k] = max(edges[k], edges[k - 1] + 1e-9) if edges[k] <= edges[k - 1] else edges[k]
-        return cls(tuple(edges), r["b"], r["s"], r["lo"] or 0.0, r["hi"] or 0.0)
+        return cls(tuple(edges), q["terrain_fine_bpi"][0], q["terrain_slope"][0], r["lo"] or 0.0, r["hi"] or 0.0)
 
     def transform(self, df: DataFrame) -> DataFrame:
         zone = sum((F.when(F.col("bathymetry") > e, 1).otherwise(0) for e in self.depth_bin_edges[1:-1]), F.lit(1))
@@ -125,8 +124,8 @@ class EcoModel:
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Exact quantiles that bound equal shares, without repeats."""
-    q = df.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("q")).first()["q"]
-    return sorted(set(q or []))
+    q = exact_quantiles(df, {column: [k / bins for k in range(bins + 1)]})[column]
+    return sorted({e for e in q if e is not None})
 
 
 def quantile_bin(column: str, edges: list[float]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoalgrid.functions.staging import cut
 from shoalgrid.operators.frames import in_band
+from shoalgrid.operators.selection import exact_quantiles
 from shoalgrid.operators.zonal import nearest
 
 MODELS = {
@@ -118,6 +119,6 @@ def surface(points: DataFrame, targets: DataFrame, value: str, zone: str, bucket
     others = cut(numbered)  # numbers must not change between the search and the join
     near = nearest(targets.join(rich, zone, "left_anti"), others.withColumnRenamed("_k", id_), k, bucket, id_)
     means = near.join(others.select(F.col("_k").alias("other"), "_v"), "other").groupBy("id").agg(F.avg("_v").alias("_near"))
-    middle = known.agg(F.median(F.col(value).cast("double")).alias("_middle"))  # one row
-    out = targets.select(F.col(id_).alias("id")).join(kriged, "id", "left").join(means, "id", "left").crossJoin(F.broadcast(middle))
-    return out.select("id", F.coalesce("estimate", "_near", "_middle").alias("estimate"))
+    middle = exact_quantiles(known, {value: [0.5]})[value][0]
+    out = targets.select(F.col(id_).alias("id")).join(kriged, "id", "left").join(means, "id", "left")
+    return out.select("id", F.coalesce(F.col("estimate"), F.col("_near"), F.lit(middle).cast("double")).alias("estimate"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalgrid.operators.grid import Shape
+from shoalgrid.operators.selection import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,8 @@ def sample(points: DataFrame, cells: DataFrame, shape: Shape, t: Affine, values:
 def lookup_with_median(points: DataFrame, stats: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Left join on ``key``; what has no match gets the column's median over the matched points."""
     got = points.join(stats.select(key, *columns), key, "left")
-    medians = F.broadcast(got.agg(*[F.median(c).alias(f"_m_{c}") for c in columns]))  # one row
-    return got.crossJoin(medians).select(*points.columns, *[F.coalesce(c, f"_m_{c}").alias(c) for c in columns])
+    medians = {c: m[0] for c, m in exact_quantiles(got, {c: [0.5] for c in columns}).items()}
+    return got.select(*points.columns, *[F.coalesce(F.col(c), F.lit(medians[c])).alias(c) for c in columns])
 
 
 def habitat_interactions(df: DataFrame, prefix: str = "terrain_") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalgrid.functions.staging import cut
+from shoalgrid.operators import neighbours
 from shoalgrid.operators.grid import Shape
 
 
@@ -54,43 +54,13 @@ def large_zones(cells: DataFrame, zone: str, cell: float, area: float) -> DataFr
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, bucket: float, id_: str = "id", x: str = "x", y: str = "y", with_self: bool = True) -> DataFrame:
-    """``(id, other, d, rank)``: the k nearest of ``others`` for each point, ties to the smaller id.
+    """``(id, other, d, rank)``: the k nearest of ``others`` for each point, ties to the smaller id (``neighbours.nearest``).
 
-    Points and others meet in square buckets: a ring of neighbouring buckets is searched first,
-    which is complete for every point whose k-th distance is within the ring; points for which
-    it is not are searched again with buckets twice the size, until none is left. No pair is
-    formed across buckets that are not adjacent.
+    ``bucket``, once the side of the squares that were searched, must be positive and has no other effect: cells follow the data.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
-    left = points.select(F.col(id_).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    right = others.select(F.col(id_).alias("other"), F.col(x).cast("double").alias("ox"), F.col(y).cast("double").alias("oy")).where("ox is not null and oy is not null")
-    total = right.count()
-    k = min(k, total if with_self else max(0, total - 1)) or 1
-    both = left.select("x", "y").unionByName(right.select(F.col("ox").alias("x"), F.col("oy").alias("y")))  # a point may lie far from all others
-    span = both.agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    farthest = max(span["w"] or 0.0, span["h"] or 0.0)
-    done, size = None, bucket
-    order = Window.partitionBy("id").orderBy("d", "other")
-    while True:
-        near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        here = left.withColumn("_o", F.explode(near)).withColumn("bx", (F.floor(F.col("x") / size) + F.col("_o.a")).cast("long")).withColumn("by", (F.floor(F.col("y") / size) + F.col("_o.b")).cast("long")).drop("_o")
-        there = right.withColumn("bx", F.floor(F.col("ox") / size).cast("long")).withColumn("by", F.floor(F.col("oy") / size).cast("long"))
-        pairs = here.join(there, ["bx", "by"]).withColumn("d", F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2))
-        if not with_self:
-            pairs = pairs.where("id != other")
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "other", "d", "rank")
-        best = cut(best)  # read three times
-        last = size > farthest
-        full = best.where((F.col("rank") == k) & (F.col("d") <= (float("inf") if last else size))).select("id")
-        found = best if last else best.join(full, "id", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        left = cut(left.join(full, "id", "left_anti"))
-        if not left.limit(1).count():
-            return done
-        size *= 2
+    if not bucket > 0:
+        raise ValueError("bucket must be positive")
+    return neighbours.nearest(points, others, k, id_, x, y, with_self)
 
 
 def smooth_probabilities(rows: DataFrame, columns: list[str], k: int, bucket: float, blend: float = 0.2, id_: str = "id") -> DataFrame:
