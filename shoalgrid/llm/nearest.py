@@ -5,7 +5,8 @@ is assigned. Vectors are turned by a random rotation, so that the first columns
 tell, up to a known deviation, how long all of it is. A probed list is scanned in blocks of
 columns: after each block a hypothesis test compares a candidate's partial distance with the
 query's current tenth-best and abandons it when it is too long to be explained by chance. What is
-left is measured on the original vectors in double precision.
+left is measured on the original vectors in double precision. Before vectors are compared they are moved to
+where they lie and scaled by a power of two, so neither an offset nor a scale costs digits.
 """
 
 from __future__ import annotations
@@ -74,16 +75,21 @@ def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, rotate: np.ndarray, o
 
     Rows must come in the order of their ids: of rows at the same distance the first are kept.
     ``own`` marks pairs that must not meet. After ``d`` of ``D`` columns the partial distance,
-    scaled by ``D / d``, is tested against ``(1 + slack / sqrt(d))**2`` times the k-th best so far.
+    scaled by ``D / d``, is tested against ``(1 + slack / sqrt(d))**2`` times the k-th best so far. Partial distances
+    are taken from the list's mean, in doubles, and every test allows for what rounding can have added to them.
     """
     dim = q.shape[1]
-    tq, tr = (q @ rotate).astype(np.float32), (rows @ rotate).astype(np.float32)
+    unit = power_of_two(q, rows)
+    q, rows = q * unit, rows * unit
+    middle = rows.mean(axis=0)
+    tq, tr = (q - middle) @ rotate, (rows - middle) @ rotate
+    rounding = 8 * (dim + 8) * np.finfo(float).eps * ((tq**2).sum(1).max() + (tr**2).sum(1).max())
     bound = np.full(len(q), np.inf)
     best_d, best_r = np.full((len(q), 0), np.inf), np.empty((len(q), 0), np.int64)
     for at in range(0, len(rows), chunk):
         part = tr[at : at + chunk]
         i, j = np.nonzero(~own[:, at : at + chunk])
-        partial = np.zeros(len(i), np.float32)
+        partial = np.zeros(len(i))
         for done in range(0, dim, columns):
             upto = min(dim, done + columns)
             if len(i) > len(q) * len(part) // 4:  # dense: by matrix products
@@ -94,9 +100,9 @@ def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, rotate: np.ndarray, o
                 diff = tq[i, done:upto] - part[j, done:upto]
                 partial = partial + np.einsum("ij,ij->i", diff, diff)
             if upto < dim:
-                keep = partial * (dim / upto) <= bound[i] * (1 + slack / np.sqrt(upto)) ** 2
+                keep = partial * (dim / upto) <= bound[i] * (1 + slack / np.sqrt(upto)) ** 2 + rounding * dim / upto
                 i, j, partial = i[keep], j[keep], partial[keep]
-        keep = partial <= bound[i] * 1.001 + 1e-6
+        keep = partial <= bound[i] * (1 + 1e-9) + rounding
         i, j = i[keep], j[keep] + at
         diff = q[i] - rows[j]
         exact = np.einsum("ij,ij->i", diff, diff)
@@ -114,7 +120,30 @@ def adaptive_scan(q: np.ndarray, rows: np.ndarray, k: int, rotate: np.ndarray, o
             best_d, best_r = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_r, order, 1)
             bound = best_d[:, k - 1]
     i, s = np.nonzero(np.isfinite(best_d))
-    return i, best_r[i, s], np.sqrt(best_d[i, s])
+    return i, best_r[i, s], np.sqrt(best_d[i, s]) / unit
+
+
+def power_of_two(*parts: np.ndarray) -> float:
+    """What brings the largest component near 1; as a power of two it changes no digit."""
+    most = max((float(np.abs(x).max()) for x in parts if x.size), default=0.0)
+    return 2.0 ** -min(1000, max(-1000, int(np.floor(np.log2(most))))) if most > 0 else 1.0
+
+
+def slack_needed(sample: np.ndarray, k: int, recall: float, rotate: np.ndarray, queries: int = 128) -> float:
+    """The smallest slack with which a scan of the whole sample finds the share ``recall`` of its ``k`` nearest; at last, one that abandons nothing."""
+    at = np.arange(0, len(sample), max(1, len(sample) // queries))[:queries]
+    own = at[:, None] == np.arange(len(sample))[None, :]
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 2.5
+    d = np.stack([((sample - sample[x]) ** 2).sum(axis=1) for x in at])
+    d[own] = np.inf
+    reach = np.sort(d, axis=1)[:, k - 1]
+    for slack in (2.5, 4.0, 8.0):
+        i, j, _ = adaptive_scan(sample[at], sample, k, rotate, own, slack=slack)
+        if (d[i, j] <= reach[i]).sum() >= recall * k * len(at):
+            return slack
+    return 1e9
 
 
 def nearest_neighbours(
@@ -127,7 +156,7 @@ def nearest_neighbours(
     null or non-finite components take no part, nor do null ids, nor vectors of another length
     than most; rows repeated under an id count once, with the smallest vector. With fewer
     candidates than ``k`` all are returned; without any, the query has no row. ``recall`` is
-    what the probes are fitted for on the sample (see ``probes_needed``); a query whose probed lists hold
+    what the probes and the scan's slack are fitted for on the sample (see ``probes_needed``, ``slack_needed``); a query whose probed lists hold
     too few rows probes further ones. Lists and their queries
     are split into blocks of bounded size, so neither a popular list nor many queries meet in one task.
     """
@@ -145,14 +174,23 @@ def nearest_neighbours(
     dim, n = shape["dim"], shape["n"]
     every = every.where(F.size("v") == dim)
     sample = np.array([r["v"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()])
+    scale = power_of_two(sample)
+    origin = (sample * scale).mean(axis=0)
+
+    def placed_at(v: np.ndarray) -> np.ndarray:
+        return np.clip(v * scale, -1e150, 1e150) - origin
+
+    sample = placed_at(sample)
     c = centroids(sample, max(1, min(MAX_LISTS, int(np.sqrt(n) / 2), len(sample))))
     probes = probes_needed(sample, c, k, recall)
+    rotate = rotation(dim)
+    slack = slack_needed(sample, k, recall, rotate)
 
     def assign(n_lists: int, sizes: np.ndarray | None):
         def run(pdfs):
             for pdf in pdfs:
                 if len(pdf):
-                    v = np.array(pdf["v"].tolist())
+                    v = placed_at(np.array(pdf["v"].tolist()))
                     lists = list(nearest_lists(v, c, n_lists).astype(np.int32))
                     if sizes is not None:
                         # the query itself may be among the rows, so k others are sure from k + 1 on
@@ -185,7 +223,6 @@ def nearest_neighbours(
         own_block = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(own)).cast("int")
         return df.join(blocks, "list").select("list", "vec_id", "v", own_block.alias(f"b_{own}"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"b_{other}"))
 
-    rotate = rotation(dim)
     key = ["list", "b_of_rows", "b_of_queries"]
 
     def scan(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +231,7 @@ def nearest_neighbours(
         r, q = r.sort_values("vec_id"), q.sort_values("vec_id")
         qi, ri = q["vec_id"].to_numpy(np.int64), r["vec_id"].to_numpy(np.int64)
         qv, rv = np.array(q["v"].tolist()), np.array(r["v"].tolist())
-        found = [adaptive_scan(qv[a : a + 256], rv, k, rotate, qi[a : a + 256, None] == ri[None, :]) for a in range(0, len(qi), 256)]
+        found = [adaptive_scan(qv[a : a + 256], rv, k, rotate, qi[a : a + 256, None] == ri[None, :], slack=slack) for a in range(0, len(qi), 256)]
         i = np.concatenate([x[0] + 256 * t for t, x in enumerate(found)])
         return pd.DataFrame({"query_id": qi[i], "vec_id": ri[np.concatenate([x[1] for x in found])], "score": np.concatenate([x[2] for x in found])})
 

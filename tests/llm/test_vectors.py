@@ -115,3 +115,35 @@ def test_scan_abandons_only_far_rows(slack):
     assert np.allclose(d, exact[i, j])
     best = {(a, b) for a in range(20) for b in np.argsort(exact[a])[:5]}
     assert len(best & set(zip(i.tolist(), j.tolist()))) >= (0.95 if slack else 0.3) * len(best)
+
+
+@pytest.mark.parametrize(("shift", "scale"), [(0.0, 1.0), (10.0, 1.0), (100.0, 1.0), (1e6, 1.0), (0.0, 1e-25), (0.0, 1e25), (3.0, 1e200), (0.0, 1e-200)])
+def test_scan_of_shifted_huge_and_tiny_vectors(shift, scale):
+    g = np.random.default_rng(12)
+    v = ((g.standard_normal((8, 64))[g.integers(0, 8, 2000)] + 0.01 * g.standard_normal((2000, 64))) + shift) * scale
+    rows, own = v, np.arange(40)[:, None] == np.arange(2000)[None, :]
+    i, j, score = nearest.adaptive_scan(v[:40], rows, 10, nearest.rotation(64), own)
+    u = v / scale
+    hits = 0
+    for x in range(40):
+        d = np.sqrt(((u - u[x]) ** 2).sum(axis=1))
+        d[x] = np.inf
+        want = np.argsort(d, kind="stable")[:10]
+        got = j[i == x]
+        hits += len(set(got) & set(want))
+        assert np.allclose(score[i == x] / scale, d[got], rtol=1e-9, atol=0)
+    assert hits >= 0.98 * 400
+
+
+@pytest.mark.parametrize(("shift", "scale"), [(100.0, 1.0), (0.0, 1e25)])
+def test_search_of_shifted_and_huge_vectors(spark, shift, scale):
+    g = np.random.default_rng(13)
+    v = (g.standard_normal((3, 32))[g.integers(0, 3, 3000)] + 0.01 * g.standard_normal((3000, 32)) + shift) * scale
+    rows = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = nearest.nearest_neighbours(rows, rows.where("vec_id % 100 = 0")).collect()
+    hits = 0
+    for x in range(0, 3000, 100):
+        d = np.sqrt((((v - v[x]) / scale) ** 2).sum(axis=1))
+        d[x] = np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == x} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 300
