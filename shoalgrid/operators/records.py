@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.asof import asof_join
+
 
 def grid_indices(points: DataFrame, x: str = "x", y: str = "y", width: float | None = None) -> DataFrame:
     """``gx`` and ``gy``: dense ranks of the coordinates from 0, by joins with the distinct values.
@@ -86,6 +88,16 @@ def latest_baseline(runs: DataFrame, run_type: str = "baseline", before: int | N
     return r.groupBy().agg(F.max_by(F.struct(*runs.columns), "ord").alias("r")).where("r is not null").select("r.*")
 
 
+def earlier_baselines(runs: DataFrame, by: list[str], run_type: str = "baseline") -> DataFrame:
+    """Every run that is no baseline, with the last baseline of the same ``by`` registered before it and how much the score has risen.
+
+    ``(run_id, ord, baseline, baseline_ord, rise)``; the last three are null for runs without an earlier baseline.
+    """
+    told = asof_join(runs.where(F.col("run_type") != run_type), runs.where(F.col("run_type") == run_type), by, "ord", "run_id")
+    rise = F.col("metric_weighted_f1") - F.col("earlier.metric_weighted_f1")
+    return told.select("run_id", "ord", F.col("earlier.run_id").alias("baseline"), F.col("earlier.ord").alias("baseline_ord"), rise.alias("rise"))
+
+
 def compare_runs(candidate: DataFrame, baseline: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """Per-class scores side by side; ``(class, f1)`` each."""
     both = candidate.select("class", F.col("f1").alias("candidate_f1")).join(baseline.select("class", F.col("f1").alias("baseline_f1")), "class", "full")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.functions.staging import cut
 from shoalgrid.operators import grid as g
+from shoalgrid.operators import tiles
 from shoalgrid.operators.grid import Shape
 
 def position_index(cells: DataFrame, shape: Shape, inner: int, outer: int, value: str = "z", out: str = "bpi", legacy_round: bool = False) -> DataFrame:
@@ -283,7 +284,7 @@ def slope_cosine_complexity(cells: DataFrame, shape: Shape, value: str = "z", ou
     return b.withColumn(out, 1 / F.cos(F.col("_s") / F.col("_k"))).select(*cells.columns, out)
 
 
-FILTERS = ("median", "uniform", "minimum", "maximum", "percentile")
+FILTERS = ("median", "uniform", "gaussian", "minimum", "maximum", "percentile")
 
 
 def scale_sizes(low: int, high: int, count: int) -> list[int]:
@@ -291,15 +292,47 @@ def scale_sizes(low: int, high: int, count: int) -> list[int]:
     return [int(low + (high - low) * k / (count - 1)) for k in range(count)] if count > 1 else [int(low)]
 
 
+def extremes(cells: DataFrame, size: int, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add, for each name, the ``minimum`` or ``maximum`` of a column over the size x size square around each cell.
+
+    Cells beyond the raster's end mirror cells that the square holds already, so it is cut off there. Missing values
+    count as nothing. The raster must be dense. Along rows, then down columns, the line is cut into
+    blocks as long as the square; running extremes from either end of a block are combined for
+    two cells of the line, so a cell costs the same at any size.
+    """
+    low, high = g.frame(size)
+    for line, at in (("r", "c"), ("c", "r")):
+        cells = cells.repartition(line).withColumn("_block", F.floor(F.col(at) / size))  # satisfies both windows below
+        whole = Window.partitionBy(line).orderBy(at)
+        ends = Window.partitionBy(line).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ahead, back = [Window.partitionBy(line, "_block").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(at), F.desc(at))]
+        pick = {"minimum": (F.min, F.least), "maximum": (F.max, F.greatest)}
+        for name, (kind, value) in wanted.items():
+            run, best = pick[kind]
+            source = F.col(value if line == "r" else name)
+            cells = cells.withColumns({"_to": run(source).over(ahead), "_from": run(source).over(back)})
+            begin = F.struct(F.col("_from").alias("v"), F.col("_block").alias("b"))
+            left = F.lag(begin, -low).over(whole)
+            right = F.coalesce(F.lead(F.struct(F.col("_to").alias("v"), F.col("_block").alias("b")), high).over(whole), F.last(F.struct(F.col("_to").alias("v"), F.col("_block").alias("b"))).over(ends))
+            both = F.when(left["b"] == right["b"], left["v"]).otherwise(best(left["v"], right["v"]))
+            cells = cells.withColumn(name, F.when(left.isNull(), right["v"]).otherwise(both)).drop("_to", "_from")
+        cells = cells.drop("_block")
+    return cells
+
+
 def scale_filter(cells: DataFrame, shape: Shape, name: str, size: int, value: str = "z", q: float = 0.5) -> DataFrame:
-    """Add ``filtered``: the median, mean, minimum, maximum or a percentile of the n x n square."""
+    """Add ``filtered``: the median, mean, minimum, maximum or a percentile of the n x n square, or smoothing by a gaussian of deviation n."""
     if name not in FILTERS:
         raise ValueError(f"filter {name!r}; known: {', '.join(FILTERS)}")
     if size < 1:
         raise ValueError("the window must have at least one cell")
     if name == "uniform":
         return box_moments(cells, shape, size, value).withColumnRenamed("mean", "filtered").drop("std")
-    agg = {"minimum": F.min("v"), "maximum": F.max("v"), "median": F.percentile("v", F.lit(0.5)), "percentile": F.percentile("v", F.lit(q))}[name]
+    if name == "gaussian":
+        return cells.join(tiles.gaussian(cells, shape, float(size), value, "filtered").select("r", "c", "filtered"), ["r", "c"], "left")
+    if name in ("minimum", "maximum"):
+        return extremes(cells, size, {"filtered": (name, value)})
+    agg = {"median": F.percentile("v", F.lit(0.5)), "percentile": F.percentile("v", F.lit(q))}[name]
     got = g.scatter(cells, shape, g.square(size), value, {"filtered": agg}).drop("e")
     return cells.join(got, ["r", "c"], "left")
 

@@ -365,6 +365,12 @@ def latest_baseline(spark, sf_dir):  # J17 T-4
     return rc.latest_baseline(runs(spark, sf_dir)).select("run_id", F.round("metric_weighted_f1", 6).alias("f1"))
 
 
+@query(f"""WITH {RUNS_SQL}, b AS (SELECT a.ord, max(e.ord) AS o FROM u a JOIN u e ON e.config_ref = a.config_ref AND e.run_type = 'baseline' AND e.ord < a.ord WHERE a.run_type <> 'baseline' GROUP BY a.ord)
+SELECT a.run_id, a.ord, e.run_id AS baseline, e.ord AS baseline_ord, round(a.f - e.f, 6) AS rise FROM u a LEFT JOIN b ON b.ord = a.ord LEFT JOIN u e ON e.ord = b.o WHERE a.run_type <> 'baseline'""")
+def earlier_baselines(spark, sf_dir):  # J17
+    return rounded(rc.earlier_baselines(runs(spark, sf_dir), ["config_ref"]), "rise")
+
+
 @query(f"""{BASE}, zo AS (SELECT *, (r // 10) * 10 + c // 10 AS zone FROM g), {ring3('clamp')},
 s AS (SELECT r, c, {AREA} AS area FROM ring),
 e AS (SELECT zo.*, area, NOT (r > 0 AND r < nr - 1 AND c > 0 AND c < nc - 1 AND r % 10 BETWEEN 1 AND 8 AND c % 10 BETWEEN 1 AND 8) AS edge FROM zo JOIN s USING (r, c), n),

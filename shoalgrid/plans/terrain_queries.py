@@ -307,6 +307,12 @@ def scale_filters(spark, sf_dir):  # O-F15 L10
     return rounded(out.select("r", "c", "median", "minimum", "maximum", "p90"), "median", "minimum", "maximum", "p90")
 
 
+@query(f"{BASE} SELECT a.r, a.c, round(min(b.z), 6) AS lowest, round(max(b.z), 6) AS highest FROM g a JOIN g b ON b.r BETWEEN a.r - 15 AND a.r + 15 AND b.c BETWEEN a.c - 15 AND a.c + 15 GROUP BY a.r, a.c")
+def wide_extremes(spark, sf_dir):  # O-F15 O-F8d
+    out = t.extremes(views.depth_grid(spark, sf_dir), 31, {"lowest": ("minimum", "z"), "highest": ("maximum", "z")})
+    return rounded(out.select("r", "c", "lowest", "highest"), "lowest", "highest")
+
+
 @query(f"{BASE}, {ring3('reflect')}, s1 AS (SELECT r, c, radians({SLOPE}) AS s FROM {horn('ring')}), {around(offsets(-1, 1), 'symmetric', 's', 's1')} SELECT r, c, round(1 / cos(avg(v)), 6) AS secant FROM nb GROUP BY r, c")
 def slope_secant(spark, sf_dir):  # O-F19
     cells = views.depth_grid(spark, sf_dir)
