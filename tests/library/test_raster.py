@@ -135,7 +135,7 @@ def test_relative_deviation_and_filters(spark, rough):
     assert np.allclose(got, [[np.median(wide[r : r + 3, c : c + 3]) for c in range(11)] for r in range(13)])
     assert terrain.scale_sizes(3, 11, 5) == [3, 5, 7, 9, 11]
     with pytest.raises(ValueError):
-        terrain.scale_filter(cells(spark, rough), shape(rough), "gaussian", 3)
+        terrain.scale_filter(cells(spark, rough), shape(rough), "sobel", 3)
 
 
 def test_standardise(spark):
