@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.functions.staging import unwritten, written
 from shoalgrid.operators.selection import average_ranks, exact_quantiles
 
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
@@ -38,9 +39,10 @@ def fit_statistics(df: DataFrame, columns: list[str] | None = None) -> Statistic
     """Exact medians, and one aggregate over the frame; a column without values has median and mean 0 and deviation 1."""
     columns = columns or numeric_columns(df)
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    plain = df.select(*[x.alias(c) for c, x in clean.items()])
-    medians = {c: m[0] for c, m in exact_quantiles(plain, {c: [0.5] for c in columns}).items()}
+    plain = written(df.select(*[x.alias(c) for c, x in clean.items()]))  # read by the medians and the aggregate
+    medians = {c: m[0] for c, m in exact_quantiles(plain, {c: [0.5] for c in columns}, stored=True).items()}
     row = plain.agg(*[a for c in columns for a in (F.avg(c).alias(f"a_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
+    unwritten(plain)
     return Statistics({c: medians[c] or 0.0 for c in columns}, {c: row[f"a_{c}"] or 0.0 for c in columns}, {c: row[f"s_{c}"] or 1.0 for c in columns})
 
 
@@ -79,8 +81,11 @@ def engineer(df: DataFrame, stats: Statistics | None = None, flags: Flags = Flag
             if c in has:
                 out = out.withColumn(f"{c}_z", (F.col(c) - F.lit(stats.mean[c])) / F.lit(stats.std[c]))
         if pair:
-            n = df.count()
-            out = with_average_rank(with_average_rank(out, "bathymetry", "_rb"), "backscatter", "_rk")
+            two = written(out.select("bathymetry", "backscatter"))  # counted, and read by both ranks
+            n = two.count()
+            for c, rank in (("bathymetry", "_rb"), ("backscatter", "_rk")):
+                out = out.join(average_ranks(two, c, rank), c, "left").select(*out.columns, rank)
+            unwritten(two)
             out = out.withColumn("bathymetry_backscatter_rank", (F.col("_rb") + F.col("_rk")) / (2.0 * n)).drop("_rb", "_rk")
     if flags.include_eco_features:
         out = (eco or EcoModel.fit(out)).transform(out)

@@ -38,17 +38,18 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     return told.select(column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], wide: int = WIDE) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], wide: int = WIDE, stored: bool = False) -> dict[str, list[float | None]]:
     """The quantiles of each column that ``percentile`` gives: between the two nearest ranks, linearly; None without values.
 
     Nulls are left out, NaN counts as the largest value. A mergeable sketch brackets each wanted rank; what lies
     within the bracket is sketched again while it is more than ``wide`` rows (a few times at most: a
     bracket holds some 1 in 2,500 of what it is taken from), and then counted by value and ranked over all tasks. That the
     brackets hold the ranks is checked by counts, and one that doesn't is opened to all values. Only counts, borders and the
-    wanted values come to the driver.
+    wanted values come to the driver. The columns are written once, unless ``df`` is ``stored`` already.
     """
     columns = list(wanted)
-    held = written(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    held = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    held = held if stored else written(held)
     value = [F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")) for i in range(len(columns))]
     sizes = held.agg(*[a for i, v in enumerate(value) for a in (F.count(v).alias(f"n{i}"), F.count(f"c{i}").alias(f"a{i}"))]).first()
     marks = []  # column, probability, lower and upper rank
@@ -100,7 +101,8 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], wide: int = W
             for rank in {marks[q][2], top(q)}:
                 if r["before"] <= first[q] + rank - bracket[q][2] < r["before"] + r["n"]:
                     result[q][rank] = r["v"]
-    unwritten(held)
+    if not stored:
+        unwritten(held)
     out: dict[str, list[float | None]] = {c: [] for c in columns}
     for q, (i, p, lo, hi) in enumerate(marks):
         if not sizes[f"a{i}"]:
