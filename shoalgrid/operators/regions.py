@@ -51,6 +51,47 @@ def connected(cells: DataFrame, shape: Shape, value: str, out: str = "region") -
     return named.select(*[c for c in cells.columns if c != out], out)
 
 
+def borders(cells: DataFrame, region: str) -> DataFrame:
+    """``(u, v, n)``: neighbouring regions, ``u < v``, and how many cell edges they share."""
+    here = F.col(region)
+    pairs = [cells.select(here.alias("a"), F.lead(region).over(Window.partitionBy(x).orderBy(y)).alias("b")) for x, y in ("rc", "cr")]
+    return pairs[0].unionByName(pairs[1]).where("a != b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("n"))
+
+
+def merged(cells: DataFrame, shape: Shape, zone: str, least: int, out: str = "region") -> DataFrame:
+    """Connected regions of equal ``zone``, those of fewer than ``least`` cells taken up by a neighbour; named by their smallest cell number.
+
+    In each round every small region joins the neighbour with which it shares the longest border, ties to the smaller
+    number, and what joins hangs together; so the small ones are at least halved, and the rounds grow with their
+    logarithm. Rounds see one row a region and one a border, never the cells again. A small region whose neighbours
+    are all missing cells stays. Missing values belong to no region. The raster must be dense.
+    """
+    named = written(connected(cells, shape, zone, "_region"))
+    size = written(named.where("_region is not null").groupBy(F.col("_region").alias("region")).agg(F.count("*").alias("n")))
+    edge, name = written(borders(named, "_region")), written(size.select(F.col("region").alias("_region"), "region"))
+    while True:
+        both = edge.select(F.col("u").alias("a"), F.col("v").alias("b"), "n").unionByName(edge.select(F.col("v").alias("a"), F.col("u").alias("b"), "n"))
+        small = size.where(F.col("n") < least).select(F.col("region").alias("a"))
+        choice = written(both.join(small, "a").groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("b")))
+        if choice.isEmpty():
+            break
+        joined = written(components(choice))
+        to = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("component").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")  # noqa: E731,B023
+        ends = to(to(edge, "u"), "v").where("u != v")
+        after = (
+            written(to(size, "region").groupBy("region").agg(F.sum("n").alias("n"))),
+            written(ends.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("n").alias("n"))),
+            written(to(name, "region")),
+        )
+        for was in (size, edge, name, choice, joined):
+            unwritten(was)
+        size, edge, name = after
+    for was in (size, edge, choice):
+        unwritten(was)
+    told = named.join(name.withColumnRenamed("region", "_name"), "_region", "left")
+    return told.withColumn(out, F.col("_name")).select(*[c for c in cells.columns if c != out], out)
+
+
 def boundary(cells: DataFrame, zone: str, out: str = "on_edge") -> DataFrame:
     """True for cells beside another zone, a missing one or the raster's end."""
     ring = g.ring(cells, zone, "none")

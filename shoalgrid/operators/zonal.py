@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.operators import neighbours
+from shoalgrid.operators import polygons as pg
 from shoalgrid.operators.grid import Shape
 
 
@@ -107,20 +108,13 @@ def isobath_distance(points: DataFrame, cells: DataFrame, shape: Shape, depth: f
 def within(points: DataFrame, polygons: DataFrame, bucket: float, id_: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """``(id, fid)``: every polygon ``(fid, rings)`` that holds a point, by the even-odd rule; ``fid`` is null for a point in none.
 
-    Rings are closed arrays of ``(x, y)``, outer ones and holes alike; of the points on an edge, those on a lower or left one are
-    inside. Points meet the squares of ``bucket`` that a polygon's box touches, by an equi-join. Points without coordinates are in no polygon.
+    Rings are arrays of ``(x, y)``, outer ones and holes alike; of the points on an edge, those on a lower or left one are
+    inside. Points meet the squares of about ``bucket`` that a polygon covers by an equi-join, each with only the sides that
+    reach it (``polygons.cover``). Points whose coordinates are missing or not finite are in no polygon. Ids of points are unique, as are ``fid``.
     """
-    flat = F.flatten("rings")
-    low, high = [[F.floor(f(F.transform(flat, lambda p: p[a])) / bucket).cast("long") for a in "xy"] for f in (F.array_min, F.array_max)]
-    spread = polygons.where(F.size(flat) > 0).select("fid", "rings", *[F.sequence(a, b).alias(f"_{n}") for a, b, n in zip(low, high, "xy")])
-    spread = spread.withColumn("bx", F.explode("_x")).withColumn("by", F.explode("_y")).drop("_x", "_y")
+    side = pg.square(bucket)
     at = points.select(F.col(id_).alias("id"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
-    met = at.withColumn("bx", F.floor(F.col("px") / bucket).cast("long")).withColumn("by", F.floor(F.col("py") / bucket).cast("long")).join(spread, ["bx", "by"])
-    px, py = F.col("px"), F.col("py")
-
-    def crossed(a, b):
-        return F.when((a["y"] > py) != (b["y"] > py), px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(False)
-
-    sides = F.transform("rings", lambda r: F.size(F.filter(F.zip_with(r, F.slice(r, 2, F.size(r)), lambda a, b: F.when(b.isNotNull(), crossed(a, b)).otherwise(False)), lambda t: t)))
-    held = met.where(F.aggregate(sides, F.lit(0), lambda t, n: t + n) % 2 == 1).select("id", "fid")
-    return at.select("id").join(held, "id", "left")
+    known = at.where(pg.finite(F.col("px")) & pg.finite(F.col("py")))
+    placed = known.withColumn("bx", F.floor(F.col("px") / side)).withColumn("by", F.floor(F.col("py") / side))
+    found = placed.join(pg.cover(polygons, side), ["bx", "by"]).where(pg.held(F.col("px"), F.col("py"), side)).select("id", "fid")
+    return at.select("id").join(found, "id", "left")

@@ -10,6 +10,7 @@ from shoalgrid.operators import frames as fr
 from shoalgrid.operators import grid as g
 from shoalgrid.operators import learning as ln
 from shoalgrid.operators import metrics as mt
+from shoalgrid.operators import regions as rg
 from shoalgrid.operators import sampling as sp
 from shoalgrid.operators import terrain as t
 from shoalgrid.operators import tiles as tl
@@ -276,8 +277,8 @@ def annotated_cells(spark, sf_dir):  # P17
     return fr.valid_cells(zoned(spark, sf_dir), ["k"]).agg(F.count("*").alias("annotated"))
 
 
-def _rounds_sql(rounds: int, step: int, compactness: float) -> str:
-    ctes = f"""WITH {views.GRID_SQL}, m AS (SELECT min(z) AS lo, max(z) AS hi, max(c) // {step} + 1 AS across FROM g),
+def _rounds_ctes(rounds: int, step: int, compactness: float) -> str:
+    ctes = f"""WITH RECURSIVE {views.GRID_SQL}, m AS (SELECT min(z) AS lo, max(z) AS hi, max(c) // {step} + 1 AS across FROM g),
 x AS (SELECT r, c, r / {step}.0 AS y, c / {step}.0 AS x, (z - lo) / (hi - lo) / {compactness} AS v FROM g, m),
 s0 AS (SELECT r, c, y, x, v, CAST((r // {step}) * across + c // {step} AS BIGINT) AS segment FROM x, m)"""
     for k in range(rounds):
@@ -285,15 +286,38 @@ s0 AS (SELECT r, c, y, x, v, CAST((r // {step}) * across + c // {step} AS BIGINT
 c{k} AS (SELECT segment, avg(y) AS cy, avg(x) AS cx, avg(v) AS cv FROM s{k} GROUP BY segment),
 n{k} AS (SELECT s.r, s.c, arg_min(k.segment, (s.y - cy) ** 2 + (s.x - cx) ** 2 + (s.v - cv) ** 2) AS best FROM s{k} AS s JOIN c{k} AS k ON abs(s.y - cy) <= 1 AND abs(s.x - cx) <= 1 GROUP BY ALL),
 s{k + 1} AS (SELECT s.r, s.c, y, x, v, coalesce(best, segment) AS segment FROM s{k} AS s LEFT JOIN n{k} USING (r, c))"""
-    return f"{ctes}\nSELECT r, c, segment FROM s{rounds}"
+    return ctes
 
 
-@query(_rounds_sql(2, 16, 0.1))
+@query(f"{_rounds_ctes(2, 16, 0.1)}\nSELECT r, c, segment FROM s2")
 def superpixel_segments(spark, sf_dir):  # M21
     cells = views.depth_grid(spark, sf_dir)
     return tl.superpixels(cells, views.shape(cells), ["z"], 16, 0.1, 2)
 
 
+def _merged_sql(rounds: int, least: int) -> str:
+    """``q{rounds}(id, region)`` after that many rounds, more than are needed, over ``d(id, r, c, v)``."""
+    smallest = "{0}({1}, {2}) USING KEY ({1}) AS (SELECT {1}, {1} FROM {3} UNION SELECT {4}.a, min({0}.{2}) FROM {0} JOIN {4} ON {4}.b = {0}.{1} JOIN recurring.{0} AS old ON old.{1} = {4}.a WHERE {0}.{2} < old.{2} GROUP BY {4}.a)"
+    ctes = f"""h AS (SELECT a.id AS a, b.id AS b, a.v = b.v AS same FROM d a JOIN d b ON b.r = a.r AND b.c = a.c + 1 UNION ALL SELECT a.id, b.id, a.v = b.v FROM d a JOIN d b ON b.c = a.c AND b.r = a.r + 1),
+k AS (SELECT a, b, same FROM h UNION ALL SELECT b, a, same FROM h), ks AS (SELECT a, b FROM k WHERE same), {smallest.format('w', 'id', 'region', 'd', 'ks')}, q0 AS (SELECT id, region FROM w)"""
+    for i in range(rounds):
+        ctes += f""",
+z{i} AS (SELECT region, count(*) AS n FROM q{i} GROUP BY region),
+b{i} AS (SELECT x.region AS a, y.region AS b, count(*) AS n FROM k JOIN q{i} x ON x.id = k.a JOIN q{i} y ON y.id = k.b WHERE x.region <> y.region GROUP BY ALL),
+l{i} AS (SELECT a, b.b FROM b{i} AS b JOIN z{i} ON region = a AND z{i}.n < {least} QUALIFY row_number() OVER (PARTITION BY a ORDER BY b.n DESC, b.b) = 1),
+u{i} AS (SELECT a, b FROM l{i} UNION SELECT b, a FROM l{i}),
+{smallest.format(f'j{i}', 'region', 'target', f'z{i}', f'u{i}')},
+q{i + 1} AS (SELECT id, target AS region FROM q{i} JOIN j{i} USING (region))"""
+    return ctes
+
+
+@query(f"""{_rounds_ctes(2, 16, 0.1)}, {SIZE_SQL}, d AS (SELECT r * nc + c AS id, r, c, segment AS v FROM s2, n), {_merged_sql(6, 12)}
+SELECT r, c, segment, CAST(region AS BIGINT) AS region FROM s2, n JOIN q6 ON id = r * nc + c""")
+def whole_segments(spark, sf_dir):  # M21: every segment in one piece, small pieces taken up by the neighbour with the longest border
+    cells = superpixel_segments(spark, sf_dir)
+    return rg.merged(cells, views.shape(cells), "segment", 12)
+
+
 #: Outlines made of nations: a bent quadrilateral with a square hole, around a place that the key gives.
 SIDE, OUTLINE, HOLE = 9, [(-1, -1), (1, -0.75), (0.75, 1), (-0.5, 1.25), (-1, -1)], [(-0.25, -0.25), (0.25, -0.25), (0.25, 0.25), (-0.25, 0.25), (-0.25, -0.25)]
 
