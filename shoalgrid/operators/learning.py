@@ -12,13 +12,14 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.operators import boosting as bo
 from shoalgrid.operators import features as ft
 from shoalgrid.operators import metrics as mt
 
@@ -57,10 +58,6 @@ def _estimator(kind: str, params: dict, inputs: int, classes: int):
     p = dict(params)
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=p.get("trees", 300), maxDepth=p.get("depth", 15), minInstancesPerNode=p.get("leaf", 2), seed=p.get("seed", 42), featuresCol="_x", labelCol="_y", weightCol="_w")
-    if kind in ("boosted", "deep_boosted"):
-        deep = kind == "deep_boosted"
-        g = GBTClassifier(maxIter=p.get("rounds", 60 if deep else 40), maxDepth=p.get("depth", 7 if deep else 5), stepSize=p.get("rate", 0.1), seed=p.get("seed", 42), featuresCol="_x", labelCol="_y", weightCol="_w")
-        return OneVsRest(classifier=g, featuresCol="_x", labelCol="_y", weightCol="_w")
     if kind == "logistic":
         return LogisticRegression(maxIter=p.get("rounds", 600), regParam=p.get("ridge", 1e-3), featuresCol="_x", labelCol="_y", weightCol="_w")
     if kind == "mlp":
@@ -72,7 +69,7 @@ def _estimator(kind: str, params: dict, inputs: int, classes: int):
 class Fitted:
     """Fitted parts with their weights, the features' order and medians, and the classes by index."""
 
-    parts: list[tuple[PipelineModel, float]]
+    parts: list[tuple[PipelineModel | bo.SoftmaxTrees, float]]
     columns: list[str]
     stats: ft.Statistics
     classes: list[str]
@@ -81,14 +78,14 @@ class Fitted:
         """Write the parts, and beside them what prediction needs to know."""
         spark = SparkSession.getActiveSession()
         for k, (model, _) in enumerate(self.parts):
-            model.write().overwrite().save(f"{path}/part{k}")
-        told = {"weights": [w for _, w in self.parts], "columns": self.columns, "statistics": asdict(self.stats), "classes": self.classes}
+            (model if isinstance(model, bo.SoftmaxTrees) else model.write().overwrite()).save(f"{path}/part{k}")
+        told = {"trees": [isinstance(m, bo.SoftmaxTrees) for m, _ in self.parts], "weights": [w for _, w in self.parts], "columns": self.columns, "statistics": asdict(self.stats), "classes": self.classes}
         spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode("overwrite").text(f"{path}/told")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Fitted:
         told = json.loads(spark.read.text(f"{path}/told").first()["value"])
-        parts = [(PipelineModel.load(f"{path}/part{k}"), w) for k, w in enumerate(told["weights"])]
+        parts = [(bo.SoftmaxTrees.load(spark, f"{path}/part{k}") if trees else PipelineModel.load(f"{path}/part{k}"), w) for k, (w, trees) in enumerate(zip(told["weights"], told["trees"]))]
         return cls(parts, told["columns"], ft.Statistics(**told["statistics"]), told["classes"])
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -97,11 +94,7 @@ class Fitted:
         out = ready
         for k, (model, _) in enumerate(self.parts):
             told = model.transform(out)
-            if "probability" in told.columns:
-                p = vector_to_array("probability")
-            else:  # one against the rest: margins to shares
-                raw = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
-                p = F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(1e-12), lambda a, b: a + b))
+            p = F.col("probability") if isinstance(model, bo.SoftmaxTrees) else vector_to_array("probability")
             out = told.withColumn(f"_p{k}", p).select(*out.columns, f"_p{k}")
         total = sum(w for _, w in self.parts)
         prob = {c: sum((F.coalesce(F.try_element_at(f"_p{k}", F.lit(i + 1)), F.lit(0.0)) * (w / total) for k, (_, w) in enumerate(self.parts)), F.lit(0.0)) for i, c in enumerate(self.classes)}
@@ -126,6 +119,11 @@ def train(df: DataFrame, label: str, columns: list[str] | None = None, spec: Spe
     kinds = {"forest_boosted": [("random_forest", 0.5), ("boosted", 0.5)], "forest_mlp": [("random_forest", spec.forest_weight), ("mlp", 1 - spec.forest_weight)]}.get(spec.kind, [(spec.kind, 1.0)])
     parts = []
     for kind, w in kinds:
+        if kind in ("boosted", "deep_boosted"):
+            p, deep = spec.params, kind == "deep_boosted"
+            fitted = bo.fit(ready, columns, "_y", "_w", len(index.labels), p.get("rounds", 60 if deep else 40), p.get("depth", 7 if deep else 5), p.get("rate", 0.1), held=p.get("held", 0.1), patience=p.get("patience", 10), seed=p.get("seed", 42))
+            parts.append((fitted, w))
+            continue
         raw = VectorAssembler(inputCols=columns, outputCol="_raw")
         scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
         parts.append((Pipeline(stages=[raw, scaled, _estimator(kind, spec.params, len(columns), len(index.labels))]).fit(repeated_by_weight(ready, spec.params.get("seed", 42)) if kind == "mlp" else ready), w))
