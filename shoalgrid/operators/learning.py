@@ -1,6 +1,6 @@
 """Models over feature frames: a factory of estimators, blocked cross-validation, votes, selection, stacking.
 
-Everything is ``pyspark.ml``; class weights are columns, folds are columns, and predictions come
+Forests and logistic models are ``pyspark.ml``, boosted trees and networks our own; class weights are columns, folds are columns, and predictions come
 back as DataFrames that the metrics module scores.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 from shoalgrid.operators import boosting as bo
 from shoalgrid.operators import features as ft
 from shoalgrid.operators import metrics as mt
+from shoalgrid.operators import networks as nw
 
 MODELS = ("random_forest", "boosted", "deep_boosted", "logistic", "mlp", "forest_boosted", "forest_mlp")
 
+#: Models that are not of pyspark.ml, by the name under which a written model tells its kind.
+OWN = {"SoftmaxTrees": bo.SoftmaxTrees, "Network": nw.Network}
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -47,21 +51,12 @@ def weighted(df: DataFrame, label: str, weights: DataFrame) -> DataFrame:
     return df.join(F.broadcast(weights.select(label, F.col("weight").alias("_w"))), label)
 
 
-def repeated_by_weight(df: DataFrame, seed: int) -> DataFrame:
-    """Rows as often as their weight says, in units of the smallest one, for estimators that take no weights."""
-    least = df.agg(F.min("_w").alias("w")).first()["w"] or 1.0
-    copies = F.floor(F.col("_w") / F.lit(least) + F.rand(seed)).cast("int")
-    return df.withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies))).drop("_c")
-
-
-def _estimator(kind: str, params: dict, inputs: int, classes: int):
+def _estimator(kind: str, params: dict):
     p = dict(params)
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=p.get("trees", 300), maxDepth=p.get("depth", 15), minInstancesPerNode=p.get("leaf", 2), seed=p.get("seed", 42), featuresCol="_x", labelCol="_y", weightCol="_w")
     if kind == "logistic":
         return LogisticRegression(maxIter=p.get("rounds", 600), regParam=p.get("ridge", 1e-3), featuresCol="_x", labelCol="_y", weightCol="_w")
-    if kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=[inputs, *p.get("hidden", (128, 64, 32)), classes], maxIter=p.get("rounds", 200), seed=p.get("seed", 42), featuresCol="_x", labelCol="_y")
     raise ValueError(f"model {kind!r}; known: {', '.join(MODELS)}")
 
 
@@ -69,7 +64,7 @@ def _estimator(kind: str, params: dict, inputs: int, classes: int):
 class Fitted:
     """Fitted parts with their weights, the features' order and medians, and the classes by index."""
 
-    parts: list[tuple[PipelineModel | bo.SoftmaxTrees, float]]
+    parts: list[tuple[PipelineModel | bo.SoftmaxTrees | nw.Network, float]]
     columns: list[str]
     stats: ft.Statistics
     classes: list[str]
@@ -78,14 +73,14 @@ class Fitted:
         """Write the parts, and beside them what prediction needs to know."""
         spark = SparkSession.getActiveSession()
         for k, (model, _) in enumerate(self.parts):
-            (model if isinstance(model, bo.SoftmaxTrees) else model.write().overwrite()).save(f"{path}/part{k}")
-        told = {"trees": [isinstance(m, bo.SoftmaxTrees) for m, _ in self.parts], "weights": [w for _, w in self.parts], "columns": self.columns, "statistics": asdict(self.stats), "classes": self.classes}
+            (model if type(model) in OWN.values() else model.write().overwrite()).save(f"{path}/part{k}")
+        told = {"kinds": [type(m).__name__ for m, _ in self.parts], "weights": [w for _, w in self.parts], "columns": self.columns, "statistics": asdict(self.stats), "classes": self.classes}
         spark.createDataFrame([(json.dumps(told),)], "told string").coalesce(1).write.mode("overwrite").text(f"{path}/told")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Fitted:
         told = json.loads(spark.read.text(f"{path}/told").first()["value"])
-        parts = [(bo.SoftmaxTrees.load(spark, f"{path}/part{k}") if trees else PipelineModel.load(f"{path}/part{k}"), w) for k, (w, trees) in enumerate(zip(told["weights"], told["trees"]))]
+        parts = [(OWN[kind].load(spark, f"{path}/part{k}") if kind in OWN else PipelineModel.load(f"{path}/part{k}"), w) for k, (w, kind) in enumerate(zip(told["weights"], told["kinds"]))]
         return cls(parts, told["columns"], ft.Statistics(**told["statistics"]), told["classes"])
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -94,7 +89,7 @@ class Fitted:
         out = ready
         for k, (model, _) in enumerate(self.parts):
             told = model.transform(out)
-            p = F.col("probability") if isinstance(model, bo.SoftmaxTrees) else vector_to_array("probability")
+            p = F.col("probability") if type(model) in OWN.values() else vector_to_array("probability")
             out = told.withColumn(f"_p{k}", p).select(*out.columns, f"_p{k}")
         total = sum(w for _, w in self.parts)
         prob = {c: sum((F.coalesce(F.try_element_at(f"_p{k}", F.lit(i + 1)), F.lit(0.0)) * (w / total) for k, (_, w) in enumerate(self.parts)), F.lit(0.0)) for i, c in enumerate(self.classes)}
@@ -105,7 +100,7 @@ class Fitted:
 def train(df: DataFrame, label: str, columns: list[str] | None = None, spec: Spec = Spec(), weights: DataFrame | None = None) -> Fitted:  # noqa: B008
     """Fit with balanced class weights, or those of ``weights(label, weight)``; statistics for imputation are those of the training frame.
 
-    Networks take no weights: their rows are repeated by them.
+    All kinds take the weights inside their loss. Boosted trees and networks keep rows out to tell when to stop.
     """
     if spec.kind not in MODELS:
         raise ValueError(f"model {spec.kind!r}; known: {', '.join(MODELS)}")
@@ -121,12 +116,15 @@ def train(df: DataFrame, label: str, columns: list[str] | None = None, spec: Spe
     for kind, w in kinds:
         if kind in ("boosted", "deep_boosted"):
             p, deep = spec.params, kind == "deep_boosted"
-            fitted = bo.fit(ready, columns, "_y", "_w", len(index.labels), p.get("rounds", 60 if deep else 40), p.get("depth", 7 if deep else 5), p.get("rate", 0.1), held=p.get("held", 0.1), patience=p.get("patience", 10), seed=p.get("seed", 42))
-            parts.append((fitted, w))
+            parts.append((bo.fit(ready, columns, "_y", "_w", len(index.labels), p.get("rounds", 60 if deep else 40), p.get("depth", 7 if deep else 5), p.get("rate", 0.1), held=p.get("held", 0.1), patience=p.get("patience", 10), seed=p.get("seed", 42)), w))
+            continue
+        if kind == "mlp":
+            p = spec.params
+            parts.append((nw.fit(ready, columns, "_y", "_w", len(index.labels), tuple(p.get("hidden", (128, 64, 32))), p.get("rounds", 200), held=p.get("held", 0.1), patience=p.get("patience", 15), seed=p.get("seed", 42)), w))
             continue
         raw = VectorAssembler(inputCols=columns, outputCol="_raw")
         scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
-        parts.append((Pipeline(stages=[raw, scaled, _estimator(kind, spec.params, len(columns), len(index.labels))]).fit(repeated_by_weight(ready, spec.params.get("seed", 42)) if kind == "mlp" else ready), w))
+        parts.append((Pipeline(stages=[raw, scaled, _estimator(kind, spec.params)]).fit(ready), w))
     return Fitted(parts, columns, stats, list(index.labels))
 
 
