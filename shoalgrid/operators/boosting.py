@@ -78,7 +78,10 @@ class SoftmaxTrees:
 
 
 def _sums(rows: DataFrame, done: list[list[dict]], growing: list[dict], level: int, classes: int, features: int, bins: int, depth: int) -> DataFrame:
-    """Sums of derivatives by class, node, feature and bin; at the first level also, as class -1, the held-out loss and its weight."""
+    """Sums of derivatives by class, node, feature and bin; at the first level also, as class -1, the held-out loss and its weight.
+
+    A task sends each sum once, so there is nothing to combine before the shuffle, which serves the windows over bins too.
+    """
     size = 2**level * bins
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,14 +109,14 @@ def _sums(rows: DataFrame, done: list[list[dict]], growing: list[dict], level: i
             out.loc[len(out)] = [-1, 0, -1, 0, *loss]
         yield out.astype({c: "int32" for c in ("k", "node", "f", "bin")})
 
-    return rows.mapInPandas(run, SUMS).groupBy("k", "node", "f", "bin").agg((F.sum("g") / GRAIN).alias("g"), (F.sum("h") / GRAIN).alias("h"))
+    return rows.mapInPandas(run, SUMS).repartition("k", "node", "f").groupBy("k", "node", "f", "bin").agg((F.sum("g") / GRAIN).alias("g"), (F.sum("h") / GRAIN).alias("h"))
 
 
 def _splits(sums: DataFrame, ridge: float, least: float) -> DataFrame:
     """The best split of each node, one row: ``gain`` (not above 0: none), ``f``, ``bin`` and the sums on its left and in all."""
     own = Window.partitionBy("k", "node", "f")
     upto = own.orderBy("bin")
-    each = sums.repartition("k", "node").select("k", "node", "f", "bin", *[F.sum(c).over(upto).alias(f"l{c}") for c in "gh"], *[F.sum(c).over(own).alias(c) for c in "gh"])
+    each = sums.select("k", "node", "f", "bin", *[F.sum(c).over(upto).alias(f"l{c}") for c in "gh"], *[F.sum(c).over(own).alias(c) for c in "gh"])
     score = lambda g, h: g * g / (h + ridge)
     right = (F.col("g") - F.col("lg"), F.col("h") - F.col("lh"))
     gain = F.when((F.col("lh") >= least) & (right[1] >= least), score(F.col("lg"), F.col("lh")) + score(*right) - score(F.col("g"), F.col("h")))
