@@ -87,12 +87,18 @@ def ordinary(points: DataFrame, targets: DataFrame, value: str, zone: str | None
     return lists.mapInPandas(run, f"id {kind}, estimate double").withColumn("estimate", F.nanvl("estimate", F.lit(None)))
 
 
-def indicator(points: DataFrame, targets: DataFrame, label: str, classes: list[str], zone: str | None = None, id_: str = "id", **how) -> DataFrame:
-    """``(id, prob_{class})``: kriged indicators of each class, clipped to 0..1 and scaled to sum to one."""
-    out = targets.select(F.col(id_).alias("id"))
-    for c in classes:
-        e = ordinary(points.withColumn("_i", (F.col(label) == c).cast("double")), targets, "_i", zone, id_=id_, **how)
-        out = out.join(e.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "estimate")).alias(f"prob_{c}")), "id", "left")
+def indicator(points: DataFrame, targets: DataFrame, label: str, classes: list[str], zone: str | None = None, fewest: int = 5, id_: str = "id", **how) -> DataFrame:
+    """``(id, prob_{class})``: kriged indicators of each class, clipped to 0..1 and scaled to sum to one.
+
+    Where fewer than ``fewest`` of a zone's points are of a class, or fewer are not, its share of all the zone's points takes the estimate's place.
+    """
+    z = F.col(zone) if zone else F.lit(0)
+    own = [(F.col(label) == c).cast("double") for c in classes]
+    few = points.groupBy(z.alias("_z")).agg(*[F.when(F.least(F.sum(i), F.sum(1 - i)) < fewest, F.avg(i)).alias(f"_few{k}") for k, i in enumerate(own)])
+    out = targets.select(F.col(id_).alias("id"), z.alias("_z")).join(few, "_z", "left")
+    for k, c in enumerate(classes):
+        e = ordinary(points.withColumn("_i", own[k]), targets, "_i", zone, id_=id_, **how)
+        out = out.join(e.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "estimate")).alias("_e")), "id", "left").withColumn(f"prob_{c}", F.coalesce(f"_few{k}", "_e")).drop("_e")
     total = sum((F.coalesce(f"prob_{c}", F.lit(0.0)) for c in classes), F.lit(0.0))
     even = F.lit(1.0 / len(classes))
     return out.withColumn("_t", total).select("id", *[F.when(F.col("_t") > 0, F.coalesce(f"prob_{c}", F.lit(0.0)) / F.col("_t")).otherwise(even).alias(f"prob_{c}") for c in classes])

@@ -99,6 +99,24 @@ def test_kriging_reproduces_and_interpolates(spark):
     assert right > 70
 
 
+def test_classes_of_few_points_get_their_share(spark):
+    rows = [(k, float(k % 7), float(k // 7), "A" if k % 7 < 3 else "B", k % 2) for k in range(60)] + [(60 + k, k + 0.5, 2.5, "C", 0) for k in range(4)]
+    pts = spark.createDataFrame(rows, "id long, x double, y double, class string, zone int")
+    got = {r["id"]: r for r in kriging.indicator(pts, pts.where("id < 60"), "class", ["A", "B", "C"], "zone").collect()}
+    plain = {r["id"]: r for r in kriging.indicator(pts, pts.where("id < 60"), "class", ["A", "B", "C"], "zone", fewest=0).collect()}
+    n = sum(z == 0 for *_, z in rows)
+    kriged = {r["id"]: r["estimate"] for r in kriging.ordinary(pts.withColumn("c", (F.col("class") == "C").cast("double")), pts.where("id < 60"), "c", "zone").collect()}
+    for k in range(60):
+        share = 4 / n if k % 2 == 0 else 0.0
+        p, q = got[k], plain[k]
+        rest = q["prob_A"] + q["prob_B"]
+        if q["prob_C"] > 1e-6:  # kriged C over its scaled value is what all three summed up to
+            others = rest * min(max(kriged[k], 0.0), 1.0) / q["prob_C"]
+            assert p["prob_C"] == pytest.approx(share / (share + others), abs=1e-6)
+        assert p["prob_A"] / (p["prob_A"] + p["prob_B"]) == pytest.approx(q["prob_A"] / rest, abs=1e-9)
+    assert {r["prob_C"] for r in got.values() if r["id"] % 2} == {0.0}
+
+
 def test_kriging_in_bands_and_where_points_are_few(spark):
     rng = np.random.default_rng(8)
     x, y = rng.uniform(0, 10, (2, 90))
