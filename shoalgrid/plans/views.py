@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.operators.classify import ClassEntry
@@ -25,8 +25,15 @@ def depth_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def both_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth, and backscatter ``k`` with natural gaps."""
-    back = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.sum("l_extendedprice") / 1013.0).alias("k"))
+    """Depth, and backscatter ``k`` with natural gaps.
+
+    Doubles are added in the order of the files' rows, as SQL does in one thread: sums of partial sums differ in
+    their last bit, which parts equal values and so changes their ranks.
+    """
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    order = Window.partitionBy("l_orderkey").orderBy("_file", "_row")
+    so_far = F.sum("l_extendedprice").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    back = lines.withColumns({"_sum": so_far, "_next": F.lead("_row").over(order)}).where("_next IS NULL").select("l_orderkey", (F.col("_sum") / 1013.0).alias("k"))
     orders = read(spark, sf_dir, "orders")
     return orders.join(back, orders["o_orderkey"] == back["l_orderkey"], "left").select(*_cell("o_orderkey"), (-F.col("o_totalprice") / DEPTH).alias("z"), "k")
 
