@@ -48,7 +48,8 @@ def near_words(words: DataFrame) -> DataFrame:
     leaves whole stands among the three of both, since the edit touches two at most; and the edit lies to its left or to its right. So the
     words meet where all up to that bigram, or all from it on, is the same, and the lengths are the same or one apart:
     equality alone, which limits the place as well, and no pair is lost.
-    The table of bigrams, which is broadcast, is bounded by the square of the alphabet.
+    The table of bigrams, which is broadcast, is bounded by the square of the alphabet. No other side of a join is, here and in
+    ``group_variants``: the planner takes a word's six parts for one row, and its broadcast would hold them all in the driver.
     """
     placed = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("at")).withColumn("gram", F.expr("substring(word, at, 2)"))
     counts = placed.groupBy("gram").agg(F.count("*").alias("seen"))
@@ -58,7 +59,7 @@ def near_words(words: DataFrame) -> DataFrame:
     sides = F.array(F.concat(F.lit("<"), F.substring("word", F.lit(1), at + 1)), F.concat(F.lit(">"), F.substring("word", at, size)))
     held = filed.select("word", size.alias("size"), _letters(F.col("word")).alias("letters"), F.explode(sides).alias("part"))
     sent = held.select(F.col("word").alias("other"), F.col("letters").alias("other_letters"), F.col("size").alias("other_size"), "part", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"))
-    pairs = held.join(sent, ["part", "size"]).where(
+    pairs = held.join(sent.hint("merge"), ["part", "size"]).where(
         (F.bit_count(F.col("letters").bitwiseXOR(F.col("other_letters"))) <= 2)
         & ((F.col("size") > F.col("other_size")) | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1),
     ).select("word", "other").distinct()
@@ -86,10 +87,10 @@ def group_variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
         raise ValueError("factor must be 2 or more")
     known = staged(words.select("word", F.col("n").cast("long").alias("n")).where("word is not null and n is not null"), "words")
     counted = known.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
-    near = near_words(known.where(F.char_length("word") >= 4).select("word")).join(counted, "other")
+    near = near_words(known.where(F.char_length("word") >= 4).select("word")).join(counted.hint("merge"), "other")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best"))
     is_form = -F.col("best.minus") >= F.lit(factor) * F.col("n")
-    told = staged(known.join(best, "word", "left").select(
+    told = staged(known.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best.other")).alias("form"), F.when(is_form, -F.col("best.minus")).alias("form_n"),
     ), "forms")
     unstage(known)
@@ -98,11 +99,11 @@ def group_variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     ups = told.where("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(max(1, math.ceil(math.log2(longest)))):
         further = ups.select(F.col("word").alias("root"), F.col("root").alias("_up"))
-        after = staged(ups.join(further, "root", "left").select("word", F.coalesce("_up", "root").alias("root")), "roots")
+        after = staged(ups.join(further.hint("merge"), "root", "left").select("word", F.coalesce("_up", "root").alias("root")), "roots")
         if ups.inputFiles() and ups.inputFiles()[0].rsplit("/", 1)[0] not in {f.rsplit("/", 1)[0] for f in told.inputFiles()}:
             unstage(ups)
         ups = after
-    return told.join(ups, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return told.join(ups.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
