@@ -8,13 +8,14 @@ its hits only a spanning forest leaves the task, so a group of copies never beco
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.components import connected_components
@@ -219,34 +220,123 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Sets of up to so many shingles meet by shared shingles, longer ones by fingerprints; a pair alike to 0.8 has one side above SHORT only if the other is at most SHORT_MEETS.
+#: Sets of up to so many shingles meet by shared shingles, longer ones by shared parts; a pair alike to 0.8 has one side above SHORT only if the other is at most SHORT_MEETS.
 SHORT, SHORT_MEETS = 32, 40
 #: Shingles (and 256 for each set) that one task compares with as many others, about.
 BLOCK_SHINGLES = 1 << 18
+#: Up to so many sets of one key are paired; more are joined to one of them.
+FEW = 64
+#: The smallest sizes of the classes that longer sets fall into, each class up to 1.25 times its smallest size.
+CLASSES = [SHORT + 1]
+while CLASSES[-1] < 1 << 31:
+    CLASSES.append(CLASSES[-1] * 5 // 4 + 1)
 
 
-def shingle_sets(docs: DataFrame, width: int, words: int) -> DataFrame:
-    """``(doc_id, mark, node, w, fp, prefix, bits)`` of each row of ``docs(doc_id, text)``: the set of the text's shingles.
+def meeting_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of the set of sorted distinct hashes ``h``: any two sets alike to 0.8 or more share one.
 
-    ``mark`` is a hash of the text; ``bits`` holds the sorted distinct hashes, ``w`` their number and ``node`` a hash of them all; ``fp`` is the
-    majority fingerprint of the set. Two sets alike to 0.8 or more share a hash of their ``prefix``, the first
-    ``w - ceil(0.8 w) + 1`` hashes, which sets of at most ``SHORT_MEETS`` shingles carry.
+    Short sets: the first ``w - ceil(0.8 w) + 1`` hashes. Longer ones: two such sets differ in at most a ninth of the sum of their sizes, and the larger one is
+    of the smaller one's class or of the next. For the class of the larger one, hashes are cut by value into more
+    parts than the sets can differ in, so some part is the same in both, and a part's content is a key. Parts without
+    hashes are no keys: there are ``spare`` parts besides, and a set that leaves more than these empty has the first hashes as keys as well.
+    """
+    w = len(h)
+    first = h[: w - -(-4 * w // 5) + 1]
+    if w <= SHORT:
+        return first
+    keys, own, scarce = [], bisect.bisect_right(CLASSES, w) - 1, w <= SHORT_MEETS
+    mixed = _mixed(h, 1)
+    for c in (own, own + 1) if 5 * w // 4 >= CLASSES[own + 1] else (own,):
+        differ = 2 * (CLASSES[c + 1] - 1) // 9
+        spare = 3 + differ // 12
+        parts = differ + 1 + spare
+        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        with np.errstate(over="ignore"):
+            keys.append(_mixed(np.add.reduceat(mixed, starts) + part[starts] * _MIX[2] + np.uint64(c) * _MIX[3], 3))
+        scarce |= parts - len(starts) > spare
+    return np.concatenate([*keys, first]) if scarce else np.concatenate(keys)
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """A bit for each value of the hashes' last bits, as many as there are hashes or up to twice that: whether an odd number of them ends so.
+
+    What two sets share cancels out, so their bits differ in at most as many places as the sets in hashes.
+    """
+    bits = max(64, 1 << max(0, len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
+
+
+def _may_be_alike() -> Column:
+    """Of a pair of sets ``(w, fine)`` and ``(w2, fine2)``: false only if they are less alike than 0.8."""
+    n, n2 = F.size("fine"), F.size("fine2")
+    half = lambda x, k: F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), lambda a, b: a.bitwiseXOR(b))
+    left = F.when(n > n2, half("fine", n2)).otherwise(F.col("fine"))
+    right = F.when(n2 > n, half("fine2", n)).otherwise(F.col("fine2"))
+    differ = F.aggregate(F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return (5 * F.least("w", "w2") >= 4 * F.greatest("w", "w2")) & (9 * differ <= F.col("w") + F.col("w2"))
+
+
+def candidate_links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``prints(node, keys)`` and ``nodes(node, w, fine)`` -> ``(a, b)``, whose components hold all pairs alike to 0.8 or more.
+
+    Sets that share a key are paired, and pairs whose parities tell them apart are left out, lest passages that many texts hold
+    chain them all. The sets of a key that more than ``FEW`` have are joined to one of them instead, so no key brings forth the square of its sets.
+    """
+    per_key = Window.partitionBy("key")
+    keys = prints.select("node", F.explode("keys").alias("key"))
+    met = keys.withColumns({"low": F.min("node").over(per_key), "high": F.max("node").over(per_key), "n": F.count("*").over(per_key)}).where("low != high")
+    met = staged(met.select("node", "key", "low", "n"), "met")
+    few = met.where(F.col("n") <= FEW).select("node", "key")
+    pairs = few.join(few.select(F.col("node").alias("node2"), "key").hint("merge"), "key").where("node < node2").select("node", "node2").distinct()
+    marks = nodes.select("node", "w", "fine")
+    both = pairs.join(marks.hint("merge"), "node").join(marks.select(F.col("node").alias("node2"), F.col("w").alias("w2"), F.col("fine").alias("fine2")).hint("merge"), "node2")
+    many = met.where((F.col("n") > FEW) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return staged(both.where(_may_be_alike()).select(F.col("node").alias("a"), F.col("node2").alias("b")).unionByName(many.distinct()), "links")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, mark, node, w, fine, keys)`` of each row of ``docs(doc_id, text)``: of the set of the text's shingles.
+
+    ``mark`` is a hash of the text, ``w`` the number of distinct hashes and ``node`` a hash of them all; ``fine`` is ``parities``. ``keys`` are those by
+    which sets meet (``meeting_keys``); a set that a task has seen before has none there again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             sets = [np.unique(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
-            fps = [(_WEIGHTS[None, :] * (2 * np.array([_bit_sums(_mixed(h, k)) for k in range(words)]) > len(h))).sum(axis=1, dtype=np.uint64).view(np.int64) for h in sets]
-            raw = [h.astype("<u8").tobytes() for h in sets]
-            node = np.array([xxhash.xxh64_intdigest(x, 7) for x in raw], np.uint64).view(np.int64)
-            prefix = [h[: len(h) - -(-4 * len(h) // 5) + 1].view(np.int64).tolist() if 0 < len(h) <= SHORT_MEETS else [] for h in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.array([f.tolist() for f in fps], pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
-                ["doc_id", "mark", "node", "w", "fp", "prefix", "bits"],
-            )
+            node, keys = _nodes(sets), []
+            for x, h in zip(node.tolist(), sets):
+                keys.append(meeting_keys(h).view(np.int64) if len(h) and x not in seen else np.empty(0, np.int64))
+                seen.add(x)
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.array([parities(h).tolist() for h in sets], pa.list_(pa.int64())), lists], ["doc_id", "mark", "node", "w", "fine", "keys"])
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, node long, w int, fp array<long>, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, node long, w int, fine array<long>, keys array<long>")
+
+
+def shingle_bits(docs: DataFrame, width: int) -> DataFrame:
+    """``(node, bits)`` of each row of ``docs(doc_id, text)``: the sorted distinct hashes of the text's shingles, and their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(_nodes(sets)), pa.array([_raw(h) for h in sets], pa.binary())], ["node", "bits"])
+        release_memory()
+
+    return docs.select("text").mapInArrow(run, "node long, bits binary")
+
+
+def _raw(h: np.ndarray) -> bytes:
+    return h.astype("<u8").tobytes()
+
+
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(_raw(h), 7) for h in sets], np.uint64).view(np.int64)
 
 
 def alike(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -336,31 +426,25 @@ def verified_links(rows: DataFrame) -> DataFrame:
     return staged(links.unionByName(_alike_edges(_all_pairs(now.join(parts, "comp")))), "links")
 
 
-def near_copy_groups(docs: DataFrame, width: int = 5, radius: int = 60, words: int = 4, first_radius: int = 24) -> DataFrame:
+def near_copy_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     """``(doc_id, component_id, mark, group)`` for each row of ``docs(doc_id, text)``: the smallest doc_id of its group of near copies.
 
     Texts are linked if the sets of their ``width``-word shingles have a Jaccard similarity of 0.8 or more,
-    and a group is what a chain of links joins. Fingerprints only find candidates: 256 bits, of which texts
-    alike to 0.8 differ in 39 with a deviation of 6, within a loose ``radius``; texts of few shingles are found
-    by shared shingles instead, without a miss. Texts without words are linked to each other only.
+    and a group is what a chain of links joins. Candidates are sets that share a key (``meeting_keys``), which no
+    linked pair lacks, and differ in few parities (``candidate_links``); no set is compared with all others. Texts without words are linked to each other only.
     Null ids are kept and never name a group. ``group`` tells groups apart where an id is repeated over
     different texts or all ids of a group are null, and ``mark``, a hash of the text, rows of one id.
     """
-    told = shingle_sets(docs, width, words)
-    prints = staged(told.drop("bits"), "fingerprints")
-    nodes = staged(prints.groupBy("node", "w", "fp", "prefix").agg(F.min("doc_id").alias("rep")), "reps")
-    keys = nodes.where("w > 0").select("node", F.explode("prefix").alias("key"))
-    lowest = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    by_key = keys.join(lowest, "key").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    by_print = fingerprint_links(nodes.where(F.col("w") > SHORT).select("node", "fp"), radius, words, first_radius)
-    candidates = connected_components(staged(by_key.unionByName(by_print), "links"))
+    prints = staged(shingle_sets(docs, width), "sets")
+    nodes = staged(prints.groupBy("node", "w").agg(F.first("fine").alias("fine"), F.min("doc_id").alias("rep")), "reps")
+    candidates = connected_components(candidate_links(prints, nodes))
     held = staged(nodes.join(candidates, "node").select("node", "w", "rep", F.col("component").alias("comp")), "held")
     # the texts of candidates are read again, one document of each set
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = again.join(held.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     if held.where("rep is null").limit(1).count():
         texts = texts.unionByName(again.where("doc_id is null"))
-    sets = shingle_sets(texts, width, 1).select("node", "bits").join(held.select("node", "w", "comp"), "node")
+    sets = shingle_bits(texts, width).join(held.select("node", "w", "comp"), "node")
     links = verified_links(sets.groupBy("comp", "node", "w").agg(F.first("bits").alias("bits")))
     named = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
