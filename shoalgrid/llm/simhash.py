@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.components import connected_components
@@ -224,7 +224,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHORT, SHORT_MEETS = 32, 40
 #: Shingles (and 256 for each set) that one task compares with as many others, about.
 BLOCK_SHINGLES = 1 << 18
-#: Up to so many sets of one key are paired; more are joined to one of them.
+#: Up to so many sets of one key are compared with each other; more are joined to one of them.
 FEW = 64
 #: The smallest sizes of the classes that longer sets fall into, each class up to 1.25 times its smallest size.
 CLASSES = [SHORT + 1]
@@ -268,32 +268,80 @@ def parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
 
 
-def _may_be_alike() -> Column:
-    """Of a pair of sets ``(w, fine)`` and ``(w2, fine2)``: false only if they are less alike than 0.8."""
-    n, n2 = F.size("fine"), F.size("fine2")
-    half = lambda x, k: F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), lambda a, b: a.bitwiseXOR(b))
-    left = F.when(n > n2, half("fine", n2)).otherwise(F.col("fine"))
-    right = F.when(n2 > n, half("fine2", n)).otherwise(F.col("fine2"))
-    differ = F.aggregate(F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return (5 * F.least("w", "w2") >= 4 * F.greatest("w", "w2")) & (9 * differ <= F.col("w") + F.col("w2"))
+def may_be_alike(w: np.ndarray, at: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of sets of ``w`` hashes, whose parities are ``bits[at[k] : at[k + 1]]``: false only if they are less alike than 0.8."""
+    size = np.diff(at)
+    passed = 5 * np.minimum(w[i], w[j]) >= 4 * np.maximum(w[i], w[j])  # one's parities are then at most twice as many as the other's
+    close = np.flatnonzero(passed)
+    short = np.minimum(size[i[close]], size[j[close]])
+
+    def folded(k: np.ndarray, m: int) -> np.ndarray:
+        out, longer = bits[at[k][:, None] + np.arange(m)], np.flatnonzero(size[k] > m)
+        out[longer] ^= bits[at[k[longer]][:, None] + np.arange(m, 2 * m)]
+        return out
+
+    for m in np.unique(short).tolist():
+        of, step = close[short == m], max(1, (1 << 20) // m)
+        for k in range(0, len(of), step):
+            p = of[k : k + step]
+            differ = np.bitwise_count(folded(i[p], m) ^ folded(j[p], m)).sum(axis=1, dtype=np.int64)
+            passed[p] = 9 * differ <= w[i[p]] + w[j[p]]
+    return passed
+
+
+def _spanned(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Whole keys, one after the other, of ``rows(key, node, w, fine)`` -> ``(a, b)`` spanning what pairs that may be alike connect within each key."""
+    key, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    w, at, bits = rows.column(2).to_numpy().astype(np.int64), rows.column(3).offsets.to_numpy(), rows.column(3).values.to_numpy().view(np.uint64)
+    ends = np.searchsorted(key, key, side="right")
+    forest, i, away = Forest(len(key)), np.arange(len(key)), 1
+    while len(i := i[i + away < ends[i]]):
+        passed = may_be_alike(w, at, bits, i, i + away)
+        forest.link_many(i[passed], i[passed] + away)
+        away += 1
+    e = np.array([(x, y) for x, y in forest.edges() if node[x] != node[y]], np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], ["a", "b"])
+
+
+def key_links(few: DataFrame) -> DataFrame:
+    """``few(key, node, w, fine)``, few sets of each key -> ``(a, b)``, fewer links of each key than it has sets.
+
+    A task holds whole keys, compares a key's sets there by their parities and gives only a spanning forest of the pairs
+    that may be alike, so near copies that meet by many keys never become rows for their pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if rest is None else pa.concat_batches([rest, b])
+            key = b.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if cut:
+                yield _spanned(b.slice(0, cut))
+            rest = b.slice(cut)
+        if rest is not None:
+            yield _spanned(rest)
+        release_memory()
+
+    return few.select("key", "node", "w", "fine").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
 def candidate_links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """``prints(node, keys)`` and ``nodes(node, w, fine)`` -> ``(a, b)``, whose components hold all pairs alike to 0.8 or more.
 
-    Sets that share a key are paired, and pairs whose parities tell them apart are left out, lest passages that many texts hold
-    chain them all. The sets of a key that more than ``FEW`` have are joined to one of them instead, so no key brings forth the square of its sets.
+    Sets that share a key are compared in one task (``key_links``), and pairs whose parities tell them apart are left out, lest passages that many texts
+    hold chain them all. The sets of a key that more than ``FEW`` have are joined to one of them instead. A key gives fewer links than it has
+    sets, so the links grow with the sets' keys and not with the pairs of a group.
     """
     per_key = Window.partitionBy("key")
     keys = prints.select("node", F.explode("keys").alias("key"))
     met = keys.withColumns({"low": F.min("node").over(per_key), "high": F.max("node").over(per_key), "n": F.count("*").over(per_key)}).where("low != high")
     met = staged(met.select("node", "key", "low", "n"), "met")
-    few = met.where(F.col("n") <= FEW).select("node", "key")
-    pairs = few.join(few.select(F.col("node").alias("node2"), "key").hint("merge"), "key").where("node < node2").select("node", "node2").distinct()
-    marks = nodes.select("node", "w", "fine")
-    both = pairs.join(marks.hint("merge"), "node").join(marks.select(F.col("node").alias("node2"), F.col("w").alias("w2"), F.col("fine").alias("fine2")).hint("merge"), "node2")
+    few = met.where(F.col("n") <= FEW).select("node", "key").join(nodes.select("node", "w", "fine").hint("merge"), "node")
     many = met.where((F.col("n") > FEW) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return staged(both.where(_may_be_alike()).select(F.col("node").alias("a"), F.col("node2").alias("b")).unionByName(many.distinct()), "links")
+    return staged(key_links(few).unionByName(many.distinct()), "links")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:

@@ -52,3 +52,46 @@ def test_near_copies_need_no_comparison_of_all(spark, monkeypatch):
     assert len(set(up)) < len(up)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(up))
+
+
+def test_a_group_gives_no_rows_for_its_pairs(spark):
+    """Links of sets that meet by many keys are fewer than the keys' rows, and connect what pairs of a key connect that parities don't tell apart; keys go over the batches' borders."""
+    g = np.random.default_rng(3)
+    sets, rows = [], []
+    for family in range(5):
+        x = g.integers(0, 2**64, int(g.integers(56, 140)), np.uint64)
+        for _ in range(40):
+            sets.append(np.unique(np.concatenate([x[int(g.integers(0, len(x) // 6)) :], g.integers(0, 2**64, int(g.integers(0, len(x) // 8)), np.uint64)])))
+    order = g.permutation(len(sets)).tolist()  # families meet in keys as well
+    rows += [(n, [k for k in range(-9, 20) if 10 * k <= at < 10 * k + 60]) for at, n in enumerate(range(len(sets)))]
+    rows += [(n, [1000 + at // 9]) for at, n in enumerate(order)]
+    marks = [simhash.parities(h).view(np.uint64).tolist() for h in sets]
+
+    def apart(i, j):
+        n = min(len(marks[i]), len(marks[j]))
+        fold = lambda m: [a ^ b for a, b in zip(m[:n], m[n:])] if len(m) > n else m
+        a, b = len(sets[i]), len(sets[j])
+        return 5 * min(a, b) < 4 * max(a, b) or 9 * sum((p ^ q).bit_count() for p, q in zip(fold(marks[i]), fold(marks[j]))) > a + b
+
+    def labels(pairs):
+        up = list(range(len(sets)))
+        for i, j in pairs:
+            old, low = max(up[i], up[j]), min(up[i], up[j])
+            up = [low if u == old else u for u in up]
+        return up
+
+    by_key = {}
+    for n, keys in rows:
+        for k in keys:
+            by_key.setdefault(k, []).append(n)
+    want = {(i, j) for held in by_key.values() for i in held for j in held if i < j and not apart(i, j)}
+    assert len({len(m) for m in marks}) > 1 and 1 < len(set(labels(want))) < len(sets) / 2
+    prints = spark.createDataFrame(rows, "node long, keys array<long>")
+    nodes = spark.createDataFrame([(n, len(h), simhash.parities(h).tolist()) for n, h in enumerate(sets)], "node long, w int, fine array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        links = [(r["a"], r["b"]) for r in simhash.candidate_links(prints, nodes).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert labels(links) == labels(want)
+    assert len(links) <= sum(len(keys) for _, keys in rows) < len(want)
