@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: The word pattern of every contract: runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting by which a query's shuffle files are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,10 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here.
+
+    The shuffle files of the write go with it; else they stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shoalgrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

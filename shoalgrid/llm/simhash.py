@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.components import connected_components
-from shoalgrid.llm.shared import release_memory, staged, table
+from shoalgrid.llm.shared import release_memory, staged, table, unstage
 
 SPACES = bytes(range(9, 14)) + b" "
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -120,6 +121,12 @@ class Forest:
             x = up[x]
         return x
 
+    def roots(self) -> np.ndarray:
+        up = np.array(self.up)
+        while not np.array_equal(up, again := up[up]):
+            up = again
+        return up
+
     def link(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
         if a != b:
@@ -224,8 +231,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHORT, SHORT_MEETS = 32, 40
 #: Shingles (and 256 for each set) that one task compares with as many others, about.
 BLOCK_SHINGLES = 1 << 18
-#: Up to so many sets of one key are compared with each other; more are joined to one of them.
-FEW = 64
+#: Up to so many sets of one key are compared in one group; more are dealt by size into groups of about that many.
+FEW = 1024
+#: Keys meet in so many rounds, each a shuffle of its share of them that is deleted before the next.
+KEY_ROUNDS = 4
 #: The smallest sizes of the classes that longer sets fall into, each class up to 1.25 times its smallest size.
 CLASSES = [SHORT + 1]
 while CLASSES[-1] < 1 << 31:
@@ -295,9 +304,13 @@ def _spanned(rows: pa.RecordBatch) -> pa.RecordBatch:
     w, at, bits = rows.column(2).to_numpy().astype(np.int64), rows.column(3).offsets.to_numpy(), rows.column(3).values.to_numpy().view(np.uint64)
     ends = np.searchsorted(key, key, side="right")
     forest, i, away = Forest(len(key)), np.arange(len(key)), 1
+    root = i
     while len(i := i[i + away < ends[i]]):
-        passed = may_be_alike(w, at, bits, i, i + away)
-        forest.link_many(i[passed], i[passed] + away)
+        apart = i[root[i] != root[i + away]]  # the others hang together already
+        passed = apart[may_be_alike(w, at, bits, apart, apart + away)]
+        if len(passed):
+            forest.link_many(passed, passed + away)
+            root = forest.roots()
         away += 1
     e = np.array([(x, y) for x, y in forest.edges() if node[x] != node[y]], np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(node[e[:, 0]]), pa.array(node[e[:, 1]])], ["a", "b"])
@@ -328,20 +341,44 @@ def key_links(few: DataFrame) -> DataFrame:
     return few.select("key", "node", "w", "fine").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def candidate_links(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+def _dealt(sets: DataFrame) -> DataFrame:
+    """``sets(key, node, n, w, fine)``, ``n`` the sets of the key -> the same, ``key`` now a group's: any two sets of a key whose sizes differ by up to a quarter share one.
+
+    Sizes fall into classes that grow by more than a quarter, and a group holds two neighbouring ones. Each is cut into
+    blocks of about ``FEW`` sets, and every two blocks are a group. Keys of up to ``FEW`` sets stay whole.
+    """
+    class_, blocks = F.floor(F.log("w") / F.log(F.lit(1.26))), F.ceil(F.col("n") / FEW)
+    mine = F.pmod(F.xxhash64("node", F.lit(11)), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("lo"), F.greatest("mine", o).alias("hi")))
+    where = F.when(F.col("n") <= FEW, F.array(F.struct(F.lit(None).cast("long").alias("class"), F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("pairs")))).otherwise(
+        F.array(F.struct(F.col("class"), pairs.alias("pairs")), F.struct((F.col("class") - 1).alias("class"), pairs.alias("pairs"))))
+    placed = sets.withColumns({"class": class_, "blocks": blocks, "mine": mine}).withColumn("_to", F.explode(where))
+    placed = placed.withColumn("_pair", F.explode_outer("_to.pairs"))
+    key = F.when(F.col("n") <= FEW, F.col("key")).otherwise(F.xxhash64("key", "_to.class", "_pair.lo", "_pair.hi"))
+    return placed.select(key.alias("key"), "node", "w", "fine")
+
+
+def candidate_links(prints: DataFrame, nodes: DataFrame, last: bool = False) -> DataFrame:
     """``prints(node, keys)`` and ``nodes(node, w, fine)`` -> ``(a, b)``, whose components hold all pairs alike to 0.8 or more.
 
     Sets that share a key are compared in one task (``key_links``), and pairs whose parities tell them apart are left out, lest passages that many texts
-    hold chain them all. The sets of a key that more than ``FEW`` have are joined to one of them instead. A key gives fewer links than it has
-    sets, so the links grow with the sets' keys and not with the pairs of a group.
+    hold chain them all. The sets of a key that more than ``FEW`` have are dealt into groups (``_dealt``). A key gives fewer links than it has
+    rows, so the links grow with the sets' keys and not with the pairs of a group. With ``last`` the files of ``prints`` are deleted once the keys have met.
     """
     per_key = Window.partitionBy("key")
     keys = prints.select("node", F.explode("keys").alias("key"))
-    met = keys.withColumns({"low": F.min("node").over(per_key), "high": F.max("node").over(per_key), "n": F.count("*").over(per_key)}).where("low != high")
-    met = staged(met.select("node", "key", "low", "n"), "met")
-    few = met.where(F.col("n") <= FEW).select("node", "key").join(nodes.select("node", "w", "fine").hint("merge"), "node")
-    many = met.where((F.col("n") > FEW) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return staged(key_links(few).unionByName(many.distinct()), "links")
+    rounds = []
+    for k in range(KEY_ROUNDS):
+        part = keys.where(F.pmod("key", F.lit(KEY_ROUNDS)) == k)
+        part = part.withColumns({"low": F.min("node").over(per_key), "high": F.max("node").over(per_key), "n": F.count("*").over(per_key)}).where("low != high")
+        rounds.append(staged(part.select("node", "key", "n"), "met"))
+    if last:
+        unstage(prints)
+    met = reduce(DataFrame.unionByName, rounds)
+    sets = met.select("node", "key", "n").join(nodes.select("node", "w", "fine").hint("merge"), "node")
+    links = staged(key_links(_dealt(sets)), "links")
+    unstage(met)
+    return links
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -434,9 +471,9 @@ def _alike_edges(rows: DataFrame) -> DataFrame:
     return rows.select("g", "lo", "hi", "comp", "node", "label", "bits").groupBy("g", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
-    """Add ``blocks``, the number of blocks of the row's component, and ``block``."""
-    sizes = rows.groupBy("comp").agg(F.ceil(F.sum(F.col("w") + 256) / BLOCK_SHINGLES).alias("blocks"))
+def _blocked(rows: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """Add ``blocks``, the number of blocks of the row's component, and ``block``. ``sized(comp, w)`` are the same rows, if they are at hand already."""
+    sizes = (rows if sized is None else sized).groupBy("comp").agg(F.ceil(F.sum(F.col("w") + 256) / BLOCK_SHINGLES).alias("blocks"))
     return rows.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")))
 
 
@@ -446,15 +483,16 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     return other.withColumn("g", F.col("comp")).withColumn("lo", F.least("block", "_o")).withColumn("hi", F.greatest("block", "_o"))
 
 
-def verified_links(rows: DataFrame) -> DataFrame:
+def verified_links(rows: DataFrame, sized: DataFrame | None = None) -> DataFrame:
     """``rows(comp, node, w, bits)``: sets in components of candidates -> ``(a, b)``, links of sets alike to 0.8 or more.
 
     Sets are connected by the result exactly if a chain of such pairs joins them. Small components are
     compared whole, several to a task. A large one is cut into blocks; the sets of a block are linked first,
     then the smallest of what hangs together in each block, which joins copies without pairing them
-    all; only a component still in parts after that is compared over all pairs of its blocks.
+    all; only a component still in parts after that is compared over all pairs of its blocks. ``sized(comp, w)`` are
+    the same rows, so that they need not be worked out for their sizes as well.
     """
-    rows = staged(_blocked(rows), "candidates")
+    rows = staged(_blocked(rows, sized), "candidates")
     total = rows.agg(F.sum(F.col("w") + 256).alias("t")).first()["t"] or 0
     shared = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // BLOCK_SHINGLES))))
     small = rows.where("blocks = 1").select(shared.alias("g"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"), "comp", "node", F.col("node").alias("label"), "bits")
@@ -462,6 +500,7 @@ def verified_links(rows: DataFrame) -> DataFrame:
     links = staged(_alike_edges(small.unionByName(inside)), "links")
     large = rows.where("blocks > 1")
     if not large.limit(1).count():
+        unstage(rows)
         return links
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -471,7 +510,9 @@ def verified_links(rows: DataFrame) -> DataFrame:
     links = staged(links.unionByName(_alike_edges(_all_pairs(_blocked(firsts)))), "links")
     now = labelled(links)
     parts = now.groupBy("comp").agg(F.countDistinct("label").alias("n")).where("n > 1").select("comp")
-    return staged(links.unionByName(_alike_edges(_all_pairs(now.join(parts, "comp")))), "links")
+    links = staged(links.unionByName(_alike_edges(_all_pairs(now.join(parts, "comp")))), "links")
+    unstage(rows)
+    return links
 
 
 def near_copy_groups(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -482,22 +523,30 @@ def near_copy_groups(docs: DataFrame, width: int = 5) -> DataFrame:
     linked pair lacks, and differ in few parities (``candidate_links``); no set is compared with all others. Texts without words are linked to each other only.
     Null ids are kept and never name a group. ``group`` tells groups apart where an id is repeated over
     different texts or all ids of a group are null, and ``mark``, a hash of the text, rows of one id.
+    Tables written on the way are deleted when they have been read for the last time; those that the result reads stay.
     """
     prints = staged(shingle_sets(docs, width), "sets")
     nodes = staged(prints.groupBy("node", "w").agg(F.first("fine").alias("fine"), F.min("doc_id").alias("rep")), "reps")
-    candidates = connected_components(candidate_links(prints, nodes))
+    rows = staged(prints.select("doc_id", "mark", "node"), "rows")
+    links = candidate_links(prints, nodes, last=True)
+    candidates = connected_components(links)
     held = staged(nodes.join(candidates, "node").select("node", "w", "rep", F.col("component").alias("comp")), "held")
+    unstage(candidates)
+    unstage(links)
     # the texts of candidates are read again, one document of each set
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = again.join(held.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     if held.where("rep is null").limit(1).count():
         texts = texts.unionByName(again.where("doc_id is null"))
     sets = shingle_bits(texts, width).join(held.select("node", "w", "comp"), "node")
-    links = verified_links(sets.groupBy("comp", "node", "w").agg(F.first("bits").alias("bits")))
-    named = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = verified_links(sets.groupBy("comp", "node", "w").agg(F.first("bits").alias("bits")), held.select("comp", "w"))
+    comps = connected_components(links)
+    named = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_node = staged(named.join(ids, "component").select("node", F.col("component").alias("group"), "component_id"), "classes")
-    return prints.join(by_node, "node", "left").select("doc_id", "component_id", "mark", "group")
+    for read in (comps, links, held, nodes):
+        unstage(read)
+    return rows.join(by_node, "node", "left").select("doc_id", "component_id", "mark", "group")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
@@ -510,6 +559,7 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     per_row = groups.groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "n")).alias("k")
     chosen = staged(per_row.groupBy("group").agg(first).select(F.col("k.doc_id").alias("id"), "k.mark", "k.n"), "chosen")
+    unstage(groups)
 
     def picked(rows: DataFrame) -> DataFrame:
         return docs.join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["mark"]), "left_semi")

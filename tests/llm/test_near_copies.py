@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from shoalgrid.llm import simhash
+from shoalgrid.llm import components, shared, simhash
 
 
 def test_sets_alike_share_a_key():
@@ -54,6 +54,47 @@ def test_near_copies_need_no_comparison_of_all(spark, monkeypatch):
     assert got == dict(enumerate(up))
 
 
+def test_tables_on_the_way_do_not_pile_up(spark, tmp_path, monkeypatch):
+    """Keys are shuffled in shares, no table stays once it has been read, and the documents kept are the first of each group."""
+    held, most, staged = tmp_path / "held", [], simhash.staged
+
+    def watched(df, name):
+        out = staged(df, name)
+        most.append((name, out.count(), sum(f.stat().st_size for f in held.rglob("*.parquet"))))
+        return out
+
+    monkeypatch.setattr(simhash, "staged", watched)
+    monkeypatch.setattr(components, "staged", watched)
+    g = np.random.default_rng(8)
+    base = [[f"w{x}" for x in g.integers(0, 10**6, 300)] for _ in range(12)]
+    rows = [(n * 10 + k, " ".join([*words[: 300 - 2 * k], *[f"v{n}{k}"] * k])) for n, words in enumerate(base) for k in range(3)]
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{held}")
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [n * 10 for n in range(12)]
+    left = {p.parent.name.rsplit("-", 1)[0] for p in held.rglob("*.parquet")}
+    assert left == {"chosen"}, left
+    assert max(size for _, _, size in most) == max(size for name, _, size in most if name in ("sets", "reps", "rows", "met"))  # nothing beside the keys later
+    met = [n for name, n, _ in most if name == "met"]
+    assert len(met) > 1 and max(met) < sum(met) / 2  # no round shuffles half of them
+
+
+def test_a_common_key_chains_nothing(spark, monkeypatch):
+    """Sets that share a key with many others are linked to those only that they may be like, in whatever group they fall."""
+    monkeypatch.setattr(simhash, "FEW", 20)
+    g = np.random.default_rng(4)
+    sets = []
+    for size in (10, 30, 31, 90, 400, 499, 500):
+        for _ in range(30):
+            x = np.unique(g.integers(0, 2**64, size, np.uint64))
+            sets += [x, x[: size - size // 12]]
+    prints = spark.createDataFrame([(n, [7]) for n in range(len(sets))], "node long, keys array<long>")
+    nodes = spark.createDataFrame([(n, len(h), simhash.parities(h).tolist()) for n, h in enumerate(sets)], "node long, w int, fine array<long>")
+    links = simhash.candidate_links(prints, nodes).collect()
+    got = {(min(r), max(r)) for r in links}
+    assert {(n, n + 1) for n in range(0, len(sets), 2)} <= got
+    assert len(got) < len(sets)  # the key's sets no longer hang together
+
+
 def test_a_group_gives_no_rows_for_its_pairs(spark):
     """Links of sets that meet by many keys are fewer than the keys' rows, and connect what pairs of a key connect that parities don't tell apart; keys go over the batches' borders."""
     g = np.random.default_rng(3)
