@@ -201,6 +201,27 @@ def stencils(cells: DataFrame, shape: Shape, value: str, annuli: dict[str, tuple
     )
 
 
+def ordered(cells: DataFrame, shape: Shape, offsets: Iterable[tuple[int, int]], value: str, mode: str = "symmetric") -> DataFrame:
+    """Add ``total`` and ``n`` of the values at the offsets ``(row, column)``, added one by one in their order.
+
+    Doubles added in another order differ in their last bits, which parts a sum from a border that it lies on. For small
+    footprints: each offset is a term. The raster must be dense; it is shuffled twice.
+    """
+    offsets = list(offsets)
+    far = max(max(abs(y), abs(x)) for y, x in offsets)
+    wide = _ghosts(_ghosts(cells, "c", shape.cols, far, far, mode), "r", shape.rows, far, far, mode)
+    along, down = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
+    columns = F.array(*[F.lag(value, -y).over(down) for y in range(-far, far + 1)])
+    wide = wide.withColumn("_0", columns).where(F.col("r").between(0, shape.rows - 1))
+    beside = {x: f"_{x + far + 1}" for x in sorted({x for _, x in offsets})}
+    wide = wide.withColumns({k: F.lag("_0", -x).over(along) for x, k in beside.items()}).where(F.col("c").between(0, shape.cols - 1))
+    seen = [F.col(beside[x])[y + far] for y, x in offsets]
+    total, n = F.lit(0.0), F.lit(0)
+    for v in seen:
+        total, n = total + F.coalesce(v, F.lit(0.0)), n + F.when(v.isNull(), 0).otherwise(1)
+    return wide.select(*cells.columns, total.alias("total"), n.cast("long").alias("n")).withColumn("total", F.when(F.col("n") > 0, F.col("total")))
+
+
 def scatter(cells: DataFrame, shape: Shape, offsets: Iterable[tuple[int, int]], value: str, aggs: dict[str, Column], mode: str = "symmetric") -> DataFrame:
     """``(r, c, e, aggs...)``: aggregates over the footprint, with the footprint's values as column ``v``.
 

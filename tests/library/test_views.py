@@ -1,8 +1,9 @@
 """Sums of lines against the SQL, on lines of one order that lie far apart."""
 
 import duckdb
+import numpy as np
 
-from shoalgrid.plans import table_queries
+from shoalgrid.plans import table_queries, terrain_queries
 
 
 def test_ranks_of_copied_orders_are_those_of_the_sql(spark, tmp_path):
@@ -21,3 +22,25 @@ def test_ranks_of_copied_orders_are_those_of_the_sql(spark, tmp_path):
     got = sorted(map(tuple, table_queries.engineered(spark, str(tmp_path)).collect()))
     assert len(got) == len(want)
     assert sum(a != b for a, b in zip(got, want)) == 0
+
+
+def test_differences_on_a_border_fall_as_in_the_sql(spark, tmp_path):
+    """Cells whose difference from their surroundings lies midway between two integers: the last bit of the sum decides."""
+    g = np.random.default_rng(2)
+    cents = g.integers(10**5, 10**7, (70, 100))
+    ring = [(y, x) for y in range(-3, 4) for x in range(-3, 4) if 1 <= x * x + y * y <= 9]
+    for r in range(3, 67, 7):
+        for c in range(3, 97, 7):
+            cents[r + 3, c] += -sum(int(cents[r + y, c + x]) for y, x in ring) % len(ring)
+            cents[r, c] = sum(int(cents[r + y, c + x]) for y, x in ring) // len(ring) + 50_650 * (2 * int(g.integers(1, 20)) - 1)
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    rows = ", ".join(f"({k}, {x / 100})" for k, x in enumerate(cents.ravel().tolist()))
+    con.execute(f"CREATE TABLE orders AS SELECT k AS o_orderkey, CAST(p AS DOUBLE) AS o_totalprice FROM (VALUES {rows}) t(k, p)")
+    con.execute("CREATE TABLE lineitem AS SELECT o_orderkey AS l_orderkey, o_totalprice AS l_extendedprice FROM orders")
+    for name in ("orders", "lineitem"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    want = sorted(con.execute(terrain_queries.SQL["position_legacy"]).fetchall())
+    got = sorted(map(tuple, terrain_queries.position_legacy(spark, str(tmp_path)).collect()))
+    assert len(got) == len(want)
+    assert sum(a != b for a, b in zip(got, want)) == 0
