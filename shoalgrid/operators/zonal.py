@@ -32,9 +32,20 @@ def dominant_class(rows: DataFrame, zone: str, label: str) -> DataFrame:
     )
 
 
-def relabel_by_mean(cells: DataFrame, zone: str, value: str, out: str = "rank") -> DataFrame:
-    """Zones numbered from 0 by ascending mean of ``value``; one row per zone is ranked."""
-    means = cells.where(F.col(zone).isNotNull()).groupBy(zone).agg(F.avg(value).alias("zone_mean"))
+def relabel_by_mean(cells: DataFrame, zone: str, value: str, out: str = "rank", order: list[str] | None = None) -> DataFrame:
+    """Zones numbered from 0 by ascending mean of ``value``; one row per zone is ranked.
+
+    With ``order``, columns that tell all cells apart, a zone's cells are added one by one in that order: sums of partial sums differ in
+    their last bit, which parts equal means and so changes their ranks.
+    """
+    known = cells.where(F.col(zone).isNotNull())
+    if order:
+        along = Window.partitionBy(zone).orderBy(*order)
+        so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = known.withColumns({"zone_mean": F.sum(value).over(so_far) / F.count(value).over(so_far), "_after": F.lead(F.lit(1)).over(along)})
+        means = run.where("_after IS NULL").select(zone, "zone_mean")
+    else:
+        means = known.groupBy(zone).agg(F.avg(value).alias("zone_mean"))
     return means.withColumn(out, (F.row_number().over(Window.orderBy("zone_mean", zone)) - 1).cast("int"))
 
 

@@ -221,8 +221,8 @@ def seed_vote(spark, sf_dir):  # A22 D21 S15
 ZONED_SQL = f"WITH {BOTH_SQL}, {SIZE_SQL}, zo AS (SELECT *, (r // 10) * 10 + c // 10 AS zone FROM g)"
 
 
-def zoned(spark, sf_dir) -> DataFrame:
-    return views.both_grids(spark, sf_dir).withColumn("zone", F.floor(F.col("r") / 10) * 10 + F.floor(F.col("c") / 10))
+def zoned(spark, sf_dir, placed: bool = False) -> DataFrame:
+    return views.both_grids(spark, sf_dir, placed).withColumn("zone", F.floor(F.col("r") / 10) * 10 + F.floor(F.col("c") / 10))
 
 
 def _skew(v: str) -> str:
@@ -236,7 +236,7 @@ def zone_statistics(spark, sf_dir):  # A17 A18
 
 @query(f"{ZONED_SQL}, m AS (SELECT zone, avg(z) AS a FROM zo GROUP BY zone) SELECT zone, round(a, 6) AS zone_mean, CAST(row_number() OVER (ORDER BY a, zone) - 1 AS INT) AS rank FROM m")
 def zone_order(spark, sf_dir):  # R11
-    return rounded(zn.relabel_by_mean(zoned(spark, sf_dir), "zone", "z"), "zone_mean")
+    return rounded(zn.relabel_by_mean(zoned(spark, sf_dir, placed=True), "zone", "z", order=["_file", "_row"]), "zone_mean")
 
 
 @query("WITH k AS (SELECT c_nationkey AS zone, c_mktsegment AS class, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY zone) AS t, row_number() OVER (PARTITION BY zone ORDER BY n DESC, class) AS rn FROM k) SELECT zone, class AS dominant, round(n / t, 6) AS share, CAST(t AS BIGINT) AS n_rows FROM t WHERE rn = 1")

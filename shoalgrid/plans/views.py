@@ -24,8 +24,8 @@ def depth_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(*_cell("o_orderkey"), (-F.col("o_totalprice") / DEPTH).alias("z"))
 
 
-def both_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth, and backscatter ``k`` with natural gaps.
+def both_grids(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """Depth, and backscatter ``k`` with natural gaps; if ``placed``, each order's ``_file`` and ``_row`` as well.
 
     Doubles are added in the order of the files' rows, as SQL does in one thread: sums of partial sums differ in
     their last bit, which parts equal values and so changes their ranks.
@@ -35,7 +35,10 @@ def both_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     so_far = F.sum("l_extendedprice").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     back = lines.withColumns({"_sum": so_far, "_next": F.lead("_row").over(order)}).where("_next IS NULL").select("l_orderkey", (F.col("_sum") / 1013.0).alias("k"))
     orders = read(spark, sf_dir, "orders")
-    return orders.join(back, orders["o_orderkey"] == back["l_orderkey"], "left").select(*_cell("o_orderkey"), (-F.col("o_totalprice") / DEPTH).alias("z"), "k")
+    place = ["_file", "_row"] if placed else []
+    if placed:
+        orders = orders.select("o_orderkey", "o_totalprice", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return orders.join(back, orders["o_orderkey"] == back["l_orderkey"], "left").select(*_cell("o_orderkey"), (-F.col("o_totalprice") / DEPTH).alias("z"), "k", *place)
 
 
 def shape(cells: DataFrame) -> Shape:

@@ -44,3 +44,27 @@ def test_differences_on_a_border_fall_as_in_the_sql(spark, tmp_path):
     got = sorted(map(tuple, terrain_queries.position_legacy(spark, str(tmp_path)).collect()))
     assert len(got) == len(want)
     assert sum(a != b for a, b in zip(got, want)) == 0
+
+
+def test_zones_of_equal_means_are_ordered_as_in_the_sql(spark, tmp_path):
+    """Eight copies of one block of zones: their means are equal only if their cells are added in one order."""
+    g = np.random.default_rng(6)
+    prices = np.tile(g.integers(10**5, 10**7, 1000) / 100, 8).tolist()
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    rows = ", ".join(f"({k}, {p})" for k, p in enumerate(prices))
+    con.execute(f"CREATE TABLE orders AS SELECT k AS o_orderkey, CAST(p AS DOUBLE) AS o_totalprice FROM (VALUES {rows}) t(k, p)")
+    con.execute("CREATE TABLE lineitem AS SELECT o_orderkey AS l_orderkey, o_totalprice AS l_extendedprice FROM orders")
+    for name in ("orders", "lineitem"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    want = sorted(con.execute(table_queries.SQL["zone_order"]).fetchall())
+    dealt = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # a zone's cells come from several tasks, as in large tables
+    for k, v in dealt.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(map(tuple, table_queries.zone_order(spark, str(tmp_path)).collect()))
+    finally:
+        for k in dealt:
+            spark.conf.unset(k)
+    assert len(got) == len(want) == 80
+    assert sum(a != b for a, b in zip(got, want)) == 0
